@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, tokenfile
+from . import jaccard, packing, pieces, tokenfile
 from .common import read_table
 
 
@@ -16,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(read_table(spark, sf_dir, "documents"), size=3, t=Fraction(9, 10))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -29,7 +34,7 @@ def op10_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_best_fit_packing, op9_prefix_table_pieces, op10_bit_packed_tokens)}
+    return {f.__name__: f for f in (op2_parity_sketch_join, op8_best_fit_packing, op9_prefix_table_pieces, op10_bit_packed_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
