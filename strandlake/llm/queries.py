@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, pieces, tokenfile
+from . import chat, gif, jaccard, packing, pieces, tokenfile, warc
 from .common import read_table
 
 
@@ -21,6 +21,18 @@ def op2_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(read_table(spark, sf_dir, "documents"), size=3, t=Fraction(9, 10))
 
 
+def op4_two_level_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
+def op6_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.text_digests(gif.store_texts(read_table(spark, sf_dir, "documents")))
+
+
+def op7_reply_tree_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.round_trip(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -34,8 +46,8 @@ def op10_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_parity_sketch_join, op8_best_fit_packing, op9_prefix_table_pieces, op10_bit_packed_tokens)}
+    return {f.__name__: f for f in (op2_parity_sketch_join, op4_two_level_capture_index, op6_gif_columns, op7_reply_tree_chats, op8_best_fit_packing, op9_prefix_table_pieces, op10_bit_packed_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_two_level_capture_index": warc.ORACLE_SQL, "op7_reply_tree_chats": chat.ORACLE_SQL}
