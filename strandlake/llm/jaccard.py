@@ -5,11 +5,13 @@
 2. Sets of a similarity t differ in at most (1-t)/(1+t) of their sizes' sum. Size bands overlap so that two sets that
    can be linked share one; within a band a sketch has one 64-bit word more than elements may differ. By the pigeonhole
    principle linked sets then agree in a whole word, so rows join on (band, word number, word).
-3. Sets that share a word with the least of such a group form candidate clusters (connected components). Equal sets
-   are one set here, whatever the number of their copies.
-4. Within a cluster whole sketches are compared, nearest first, and a pair is verified on its sets unless it is in one
-   component already. A cluster beyond a fixed size is dealt into blocks, and each pair of blocks is a task of its own;
-   a task returns at most one verified link for each of its sets, and components join them. No pair is left out.
+3. Sets that share a word are gathered around the least of them, and their whole sketches are compared: a forest over
+   the pairs whose sketches differ in few enough bits holds every linked pair within one tree. The trees' connected
+   components are candidate clusters. Equal sets are one set here, whatever the number of their copies.
+4. Within a cluster sketches are compared again, nearest first, and a pair is verified on its sets unless it is in one
+   component already; components join the verified links.
+A gathering or cluster beyond a fixed size is dealt into blocks, and each pair of blocks is a task of its own, which
+returns at most one pair for each of its sets. No pair is left out, and none is written out for being in a group.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words it has the empty set and is linked
 with nothing; a null id is linked with nothing; repeated rows have equal sets; an empty table gives an empty result.
@@ -31,10 +33,14 @@ from .words import mix, shingle_set
 
 #: Set sizes of a band lie within this factor.
 BAND = Fraction(3, 2)
+#: A sketch's word with fewer shingles is thin.
+THIN = 2
 #: Shingles that one block of a large cluster holds, about.
 BLOCK_SHINGLES = 1_000_000
 #: Sets of such a block, about.
 BLOCK_SETS = 4000
+#: Bits of the widest whole sketch.
+WIDEST = 1 << 13
 #: Bits of the maps that spare rows a shuffle; larger inputs only pass more rows.
 FILTER_BITS = 1 << 25
 
@@ -55,10 +61,12 @@ def bands(top: int = 1 << 40) -> np.ndarray:
 _BANDS = bands()
 
 
-def words_in(band: int, t: Fraction) -> int:
-    """Words of a band's sketches: one more than two of its sets at ``t`` may differ in elements."""
+def words_in(band: int, t: Fraction) -> tuple[int, int]:
+    """(words of a band's sketches, words that may be thin): two of its sets at ``t`` agree in one word more than may be thin."""
     total = 2 * (int(_BANDS[band + 1]) - 1)
-    return total * (t.denominator - t.numerator) // (t.denominator + t.numerator) + 1
+    apart = total * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+    spare = -(-apart * max(1, round(40 * float(1 - t) ** 2 * 10)) // 100) + 1 if apart else 0
+    return apart + 1 + spare, spare
 
 
 def bands_of(n: int, t: Fraction) -> list[int]:
@@ -71,12 +79,22 @@ def bands_of(n: int, t: Fraction) -> list[int]:
     return out
 
 
-def sketch(tokens: np.ndarray, n_words: int) -> np.ndarray:
-    """The parity sketch of a set in ``n_words`` 64-bit words."""
-    h = mix(tokens)
-    bit = ((h >> np.uint64(6)) % np.uint64(n_words)) * np.uint64(64) + (h & np.uint64(63))
-    parity = np.bincount(bit.astype(np.int64), minlength=64 * n_words) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
+def whole_sketch(tokens: np.ndarray) -> bytes:
+    """A parity sketch of about as many bits as the set has elements: a power of two, so that it can be folded."""
+    bits = min(WIDEST, max(64, 1 << max(0, len(tokens) - 1).bit_length()))
+    return np.packbits((np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the narrowest: halves are joined by exclusive or, as bits are taken modulo the width."""
+    width = min(map(len, sketches)) // 8
+    rows = []
+    for raw in sketches:
+        words = np.frombuffer(raw, dtype=np.uint64)
+        while len(words) > width:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        rows.append(words)
+    return np.stack(rows)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -88,13 +106,30 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def word_keys(tokens: np.ndarray, t: Fraction) -> np.ndarray:
-    """The join keys of a set: a hash of (band, word number, word) for all words of its sketches."""
+    """The join keys of a set: a hash of (band, word number, word) for the words of its sketches.
+
+    Words where fewer than ``THIN`` shingles fall say little and are left out while no more of them than spare words are
+    thin: sets that agree in a word have equally many shingles there, so a linked pair still agrees in one that stays.
+    A set with more thin words gives all its words, so that two such sets meet too. A word of 2**58 bits is never
+    laid out: the exclusive or of its flipped bits' hashes stands for it.
+    """
     keys = []
     for band in bands_of(len(tokens), t) if len(tokens) else []:
-        n_words = words_in(band, t)
-        if n_words > 1:  # with one word only equal sets can be linked, and these are one set
-            place = mix(np.arange(n_words, dtype=np.uint64) + np.uint64(band << 40))
-            keys.append(mix(sketch(tokens, n_words) ^ place) + place)
+        n_words, spare = words_in(band, t)
+        if n_words == 1:
+            continue  # only equal sets can be linked, and these are one set
+        h = mix(tokens + np.uint64(band))
+        word = ((h >> np.uint64(32)) * np.uint64(n_words)) >> np.uint64(32)
+        order = np.argsort(word, kind="stable")
+        count = np.bincount(word.astype(np.int64), minlength=n_words)
+        begin = np.concatenate([[0], np.cumsum(count)[:-1]])
+        filled = count > 0
+        value = np.zeros(n_words, dtype=np.uint64)
+        value[filled] = np.bitwise_xor.reduceat(mix(h)[order], begin[filled])
+        thin = count < THIN
+        stay = ~thin if np.count_nonzero(thin) <= spare else np.ones(n_words, dtype=bool)
+        place = mix(np.arange(n_words, dtype=np.uint64) + np.uint64(band << 40))
+        keys.append((mix(value ^ place) + place)[stay])
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
@@ -103,14 +138,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_table(texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id) per document."""
+    """(doc_id, n_shingles, set_id, sketch) per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(v, size) for v in utf8_rows(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+            for part in slices(batch, 512):
+                sets = [shingle_set(v, size) for v in utf8_rows(part.column(1))]
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([whole_sketch(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "sketch"])
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
 
 
 def key_table(texts: DataFrame, size: int, t: Fraction, only: np.ndarray | None = None) -> DataFrame:
@@ -148,26 +185,81 @@ def in_bit_map(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((table[low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def candidates(texts: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """Edges (a, b) from each set a to the least set b that has an equal word.
+def gatherings(texts: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """Rows (set_id, hub): each set that has a word in common with others, and the least set that has this word.
 
     Keys are aggregated first. The few that two sets share then pick their rows through a bit map and a join, in which
     a frequent key meets a single row and can be dealt to several tasks.
     """
-    found = key_table(texts, size, t).groupBy("key").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).filter("b < top").select("key", "b")
+    found = key_table(texts, size, t).groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).filter("hub < top").select("key", "hub")
     shared = materialize(found, "shared")
     again = key_table(texts, size, t, bit_map(shared, "key"))
-    return again.join(shared, "key").filter("set_id != b").select(F.col("set_id").alias("a"), "b").distinct()
+    return again.join(shared, "key").select("set_id", "hub").distinct()
 
 
-def verified_links(ids: list[int], sets: list[np.ndarray], t: Fraction, split: int | None = None) -> list[tuple[int, int]]:
-    """Links that connect whatever is connected by pairs at ``t`` or more; with ``split``, pairs across that position only.
+def _blocked(rows: DataFrame, group: str, weight: str, most_weight: int, most_rows: int) -> DataFrame:
+    """Adds own, x and y: the block of a row and the pair of blocks that a task compares; a row goes to as many tasks as its group has blocks."""
+    need = F.greatest(F.ceil(F.sum(weight) / most_weight), F.ceil(F.count("*") / most_rows)).cast("int")
+    blocks = rows.groupBy(group).agg(need.alias("blocks"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    return (
+        rows.join(blocks, group)
+        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+        .drop("other", "blocks")
+    )
 
-    Pairs come by rising Hamming distance of sketches of one width; each is checked on the sets unless already connected.
+
+def near_edges(gathered: DataFrame, sets: DataFrame, t: Fraction, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """Edges (a, b) of forests over the pairs of each gathering whose sketches are near enough to be linked."""
+    rows = gathered.join(sets.select("set_id", "n_shingles", "sketch"), "set_id")
+    dealt = _blocked(rows, "hub", "n_shingles", 1 << 40, block_sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ("hub", "x", "y")):
+            own, ids = group["own"], group["set_id"]
+            split = None if group["x"][0] == group["y"][0] else sum(o == group["x"][0] for o in own)
+            links = connecting(ids, np.array(group["n_shingles"], dtype=np.int64), folded(group["sketch"]), t, split) if len(ids) > 1 and (split is None or 0 < split < len(ids)) else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
+
+    parts = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, "hub", "x", "y").sortWithinPartitions("hub", "x", "y", "own", "set_id")
+    return ordered.select("hub", "x", "y", "own", "set_id", "n_shingles", "sketch").mapInArrow(run, "a long, b long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """The runs of rows with equal ``key`` of sorted batches, as columns; a run may go over several batches."""
+    held: dict[str, list] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
+        keys = list(zip(*(columns[k] for k in key), strict=True))
+        at = 0
+        while at < len(keys):
+            end = at + 1
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            part = {name: values[at:end] for name, values in columns.items()}
+            if held is not None and tuple(held[k][0] for k in key) == keys[at]:
+                for name, values in part.items():
+                    held[name] += values
+            else:
+                if held is not None:
+                    yield held
+                held = part
+            at = end
+    if held is not None:
+        yield held
+
+
+def connecting(ids: list[int], n: np.ndarray, sketches: np.ndarray, t: Fraction, split: int | None = None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect whatever pairs within reach of ``t`` connect; with ``split``, of pairs across that position only.
+
+    Pairs come by rising Hamming distance. Without ``sets`` a distance that ``t`` allows is enough, with them each pair is
+    checked on its sets unless already connected.
     """
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    words = max(8, min(256, int(n.max()) // 8))
-    sketches = np.stack([sketch(s, words) for s in sets])
     allowed = np.array([most_apart(int(x), t) for x in range(int(2 * n.max()) + 1)], dtype=np.int64)
     parent = list(range(len(ids)))
 
@@ -184,7 +276,8 @@ def verified_links(ids: list[int], sets: list[np.ndarray], t: Fraction, split: i
         mine = np.arange(at, min(at + step, rows.stop))
         first = at + 1 if split is None else split
         apart = np.bitwise_count(sketches[mine, None, :] ^ sketches[None, first:, :]).sum(axis=2, dtype=np.int64)
-        near = apart <= allowed[n[mine, None] + n[None, first:]]
+        a, b = n[mine, None], n[None, first:]
+        near = (apart <= allowed[a + b]) & (np.minimum(a, b) * t.denominator >= np.maximum(a, b) * t.numerator)
         if split is None:
             near &= mine[:, None] < np.arange(first, len(ids))[None, :]
         i, j = np.nonzero(near)
@@ -192,24 +285,18 @@ def verified_links(ids: list[int], sets: list[np.ndarray], t: Fraction, split: i
         for x, y in zip((mine[i[order]]).tolist(), (j[order] + first).tolist(), strict=True):
             rx, ry = root(x), root(y)
             if rx != ry:
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if both * t.denominator >= t.numerator * (int(n[x]) + int(n[y]) - both):
-                    parent[rx] = ry
-                    links.append((ids[x], ids[y]))
+                if sets is not None:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both * t.denominator < t.numerator * (int(n[x]) + int(n[y]) - both):
+                        continue
+                parent[rx] = ry
+                links.append((ids[x], ids[y]))
     return links
 
 
 def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fraction, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Verified links (a, b) between sets; members: doc_id, set_id, cluster, n_shingles, one document per set."""
-    need = F.greatest(F.ceil(F.sum("n_shingles") / block_shingles), F.ceil(F.count("*") / block_sets)).cast("int")
-    blocks = members.groupBy("cluster").agg(need.alias("blocks"))
-    # A set of block x goes to the tasks of (x, y) for all y: to as many tasks as there are blocks.
-    dealt = (
-        members.join(blocks, "cluster")
-        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "set_id", "cluster", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    )
+    dealt = _blocked(members.select("doc_id", "set_id", "cluster", "n_shingles"), "cluster", "n_shingles", block_shingles, block_sets).drop("n_shingles")
     wanted = bit_map(members, "doc_id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +310,8 @@ def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fracti
         found = zip(table.column("set_id").to_pylist(), table.column("own").to_pylist(), (shingle_set(v, size) for chunk in table.column("text").chunks for v in utf8_rows(chunk)), strict=True)
         rows = [r for r in found if set_id(r[2]) == r[0]]  # ids may repeat with other texts
         split = None if x == y else sum(r[1] == x for r in rows)
-        links = verified_links([r[0] for r in rows], [r[2] for r in rows], t, split) if len(rows) > 1 and (split is None or 0 < split < len(rows)) else []
+        sets = [r[2] for r in rows]
+        links = connecting([r[0] for r in rows], np.array([len(s) for s in sets], dtype=np.int64), folded([whole_sketch(s) for s in sets]), t, split, sets) if len(rows) > 1 and (split is None or 0 < split < len(rows)) else []
         return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
 
     rows = texts.mapInArrow(pick, texts.schema).join(dealt, "doc_id").select("set_id", "cluster", "own", "x", "y", "text")
@@ -235,13 +323,15 @@ def linked_components(docs: DataFrame, size: int = 5, t: Fraction = Fraction(4,
     texts = _texts(docs, id_col, text_col)
     sets = materialize(set_table(texts, size), "sets")
     first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    clusters = components(candidates(texts, size, t)).withColumnsRenamed({"node": "set_id", "component": "cluster"})
+    gathered = materialize(gatherings(texts, size, t), "gatherings")
+    distinct = sets.filter("n_shingles > 0").dropDuplicates(["set_id"])
+    clusters = components(near_edges(gathered, distinct, t)).withColumnsRenamed({"node": "set_id", "component": "cluster"})
     members = materialize(clusters.join(first, "set_id"), "members")
     groups = components(links_in_clusters(texts, members, size, t)).withColumnsRenamed({"node": "set_id", "component": "grp"})
     named = groups.join(first, "set_id").groupBy("grp").agg(F.min("doc_id").alias("component_id"))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "least")).otherwise(F.col("doc_id"))
     by_set = first.select("set_id", F.col("doc_id").alias("least")).join(groups, "set_id", "left").join(named, "grp", "left").select("set_id", "least", "component_id")
-    return sets.join(by_set, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return sets.drop("sketch").join(by_set, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
