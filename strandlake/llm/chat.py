@@ -103,7 +103,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = ends.join(messages.filter("parent is not null").select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "node"))
     paths = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches).select("tree", F.col("node").alias("leaf"), "branch", "path_score", "node")
-    for table in tables[:-1] if len(tables) > 1 else []:
+    for table in reversed(tables[:-1]):  # long reaches first, so paths grow only in the last steps
         up = table.filter("anc is not null").select("tree", "node", "anc")
         both = paths.join(up, ["tree", "node"], "left").withColumn("node", F.explode(F.array_compact(F.array("node", "anc"))))
         paths = both.select("tree", "leaf", "branch", "path_score", "node")
