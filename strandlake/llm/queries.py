@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, jaccard, packing, pieces, tokenfile, warc
+from . import chat, gif, jaccard, langid, packing, pieces, quality, tokenfile, toxicity, warc
 from .common import read_table
 
 
@@ -17,14 +17,26 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_learned_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(read_table(spark, sf_dir, "documents"), size=3, t=Fraction(9, 10))
 
 
+def op3_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_two_level_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
 
 
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.text_digests(gif.store_texts(read_table(spark, sf_dir, "documents")))
 
@@ -46,7 +58,19 @@ def op10_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_parity_sketch_join, op4_two_level_capture_index, op6_gif_columns, op7_reply_tree_chats, op8_best_fit_packing, op9_prefix_table_pieces, op10_bit_packed_tokens)}
+    found = (
+        op1_learned_quality_rules,
+        op2_parity_sketch_join,
+        op3_ftrl_language_id,
+        op4_two_level_capture_index,
+        op5_counterfactual_toxicity,
+        op6_gif_columns,
+        op7_reply_tree_chats,
+        op8_best_fit_packing,
+        op9_prefix_table_pieces,
+        op10_bit_packed_tokens,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
