@@ -77,20 +77,28 @@ def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
     return found
 
 
-def reach_tables(messages: DataFrame, most: int = 40) -> list[DataFrame]:
-    """Tables (tree, node, anc, gain, size): 2**k steps up is ``anc``, null beyond the root; gain and size sum over those steps' messages."""
+def reach_tables(messages: DataFrame, most: int = 40) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (tree, node, anc, gain, size) for reaches of 1, 2, 4, ... replies, and one of all messages that reach their root.
+
+    ``anc`` is so many replies up; gain and size sum over the messages below it. Messages that reach beyond their root
+    go over to the last table, so each round joins only those on longer paths.
+    """
     own = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("gain"))
     there = own.select("tree", F.col("node").alias("parent")).distinct().withColumn("there", F.lit(True))
     first = own.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("anc"), "gain", F.lit(1).cast("long").alias("size"))
-    tables = [materialize(first, "reach")]
-    while not tables[-1].filter("anc is not null").isEmpty():
-        if len(tables) > most:
+    levels, now = [], materialize(first, "reach")
+    ended = now.filter("anc is null")
+    while True:
+        active = now.filter("anc is not null")
+        if active.isEmpty():
+            return levels, ended.drop("anc")
+        if len(levels) > most:
             raise RuntimeError("the replies form a cycle")
-        a = tables[-1]
-        b = a.select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("gain").alias("more"), F.col("size").alias("longer"))
-        step = a.join(b, ["tree", "anc"], "left").select("tree", "node", F.col("far").alias("anc"), (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"), (F.col("size") + F.coalesce("longer", F.lit(0))).alias("size"))
-        tables.append(materialize(step, "reach"))
-    return tables
+        levels.append(active)
+        b = active.unionByName(ended).select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("gain").alias("more"), F.col("size").alias("longer"))
+        step = active.join(b, ["tree", "anc"]).select("tree", "node", F.col("far").alias("anc"), (F.col("gain") + F.col("more")).alias("gain"), (F.col("size") + F.col("longer")).alias("size"))
+        now = materialize(step, "reach")
+        ended = ended.unionByName(now.filter("anc is null"))
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -98,17 +106,15 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     A path's score is the mean score of its messages. messages: tree, node, parent (long), score.
     """
-    tables = reach_tables(messages)
-    ends = tables[-1].select("tree", "node", (F.col("gain") / F.col("size")).alias("path_score"), "size")
+    levels, ended = reach_tables(messages)
+    ends = ended.select("tree", "node", (F.col("gain") / F.col("size")).alias("path_score"))
     leaves = ends.join(messages.filter("parent is not null").select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "node"))
     paths = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches).select("tree", F.col("node").alias("leaf"), "branch", "path_score", "node")
-    for table in reversed(tables[:-1]):  # long reaches first, so paths grow only in the last steps
-        up = table.filter("anc is not null").select("tree", "node", "anc")
-        both = paths.join(up, ["tree", "node"], "left").withColumn("node", F.explode(F.array_compact(F.array("node", "anc"))))
+    for level in reversed(levels):  # long reaches first, so paths grow only in the last steps
+        both = paths.join(level.select("tree", "node", "anc"), ["tree", "node"], "left").withColumn("node", F.explode(F.array_compact(F.array("node", "anc"))))
         paths = both.select("tree", "leaf", "branch", "path_score", "node")
-    depth = tables[-1].select("tree", "node", (F.col("size") - 1).alias("depth"))
-    return paths.join(depth, ["tree", "node"])
+    return paths.join(ended.select("tree", "node", (F.col("size") - 1).alias("depth")), ["tree", "node"])
 
 
 def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
