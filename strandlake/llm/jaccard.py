@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8_rows
+from .common import materialize, slices, small_batches, utf8_rows
 from .components import components
 from .words import mix, shingle_set
 
@@ -320,6 +320,7 @@ def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fracti
 
 def linked_components(docs: DataFrame, size: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; component_id is the least doc_id reachable by links of at least ``t``."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     sets = materialize(set_table(texts, size), "sets")
     first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))

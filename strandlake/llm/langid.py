@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, slices
+from .common import crc_bucket, keep_rows, slices, small_batches
 from .ftrl import Ftrl, softmax, temperature
 
 #: Hashed n-gram features, and the lengths of the n-grams.
@@ -164,6 +164,10 @@ def identify(docs: DataFrame, held_out_of: int = 4, held_out: int = 2) -> DataFr
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without those whose language is unknown or scored below ``least``; learned from rows not held out."""
-    flag = crc_bucket("doc_id", 4) == 2
-    found = predict(docs, train(docs, ~flag), *docs.columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    small_batches(docs.sparkSession)
+    model = train(docs, ~(crc_bucket("doc_id", 4) == 2))
+
+    def decide(texts: list[str | None]) -> list[bool]:
+        return [name != UNKNOWN and score >= least for name, score in map(model.predict, texts)]
+
+    return keep_rows(docs, decide)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_batches
 
 WINDOW = 2048
 #: Groups among which pieces of one length are ranked side by side, so that no length is one task.
@@ -141,4 +141,5 @@ def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """Tokenise, cut and pack ``docs``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     return place(materialize(pieces(docs, vocabulary, end_id, window), "pieces"), window)

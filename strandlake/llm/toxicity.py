@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, slices
+from .common import crc_bucket, keep_rows, slices, small_batches
 from .ftrl import Ftrl
 from .words import hashes
 
@@ -131,6 +131,11 @@ def rate(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, held_out: int
 
 def keep_civil(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
     """``docs`` without those that score ``most`` or more; labels of rows held out are not learned."""
-    model = train(docs, labels, ~(crc_bucket("doc_id", 5) == 0))
-    found = score(docs.withColumn("_row", F.struct(*docs.columns)), model, "_row")
-    return found.filter(F.col("score") < most).select("_row.*")
+    small_batches(docs.sparkSession)
+    weights, bias = train(docs, labels, ~(crc_bucket("doc_id", 5) == 0))
+    border = np.log(most / (1 - most))
+
+    def decide(texts: list[str | None]) -> list[bool]:
+        return [weights[features(t)].sum(dtype=np.float64) + bias < border for t in texts]
+
+    return keep_rows(docs, decide)
