@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,13 +70,19 @@ def read_bed(spark: SparkSession, path: str, names: tuple[str, ...] = ()) -> Dat
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 65536) -> DataFrame:
-    """A genome as chunks (chrom, chunk, seq) of fixed length, upper-cased. Records are split at ``>``, so a record is one row on its way."""
+    """A genome as chunks (chrom, chunk, seq) of fixed length, upper-cased. Records are split at ``>``; each is one row until it is cut."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for record in batch.column(0):
+                head, _, body = record.as_py().partition("\n")
+                body = "".join(body.split()).upper()
+                name = head.split()[0] if head.split() else ""
+                parts = [body[i : i + chunk] for i in range(0, max(len(body), 1), chunk)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], names=["name", "chunk", "seq"])
+
     records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    head = F.regexp_extract("value", r"^(\S+)", 1)
-    body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", ""))
-    whole = records.select(with_chr(head).alias("chrom"), body.alias("body"))
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("body") - 1, F.lit(0)), F.lit(chunk)), lambda i: F.substring(F.col("body"), i + 1, F.lit(chunk))))
-    return whole.select("chrom", at.alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("bigint"))
+    return records.mapInArrow(cut, "name string, chunk bigint, seq string").select(with_chr("name").alias("chrom"), "chunk", "seq")
 
 
 def read_bedgraph(spark: SparkSession, paths: list[str]) -> DataFrame:
