@@ -73,5 +73,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+OP2_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+p as (select a.doc_id as i, b.doc_id as j, a.n as ni, b.n as nj, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id where 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) group by all),
+l as (select i, j from p where 100 * c >= 90 * (ni + nj - c)),
+u as (select i, j from l union all select j, i from l),
+r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, u.j from r join u on r.reach = u.i)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, (select min(reach) from r where r.doc_id = s.doc_id) as component_id from s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_two_level_capture_index": warc.ORACLE_SQL, "op7_reply_tree_chats": chat.ORACLE_SQL}
+    return {"op2_parity_sketch_join": OP2_SQL, "op4_two_level_capture_index": warc.ORACLE_SQL, "op7_reply_tree_chats": chat.ORACLE_SQL}
