@@ -33,8 +33,8 @@ from .words import mix, shingle_set
 
 #: Set sizes of a band lie within this factor.
 BAND = Fraction(3, 2)
-#: A sketch's word with fewer shingles is thin.
-THIN = 2
+#: A key that more documents have is popular.
+POPULAR = 64
 #: Shingles that one block of a large cluster holds, about.
 BLOCK_SHINGLES = 1_000_000
 #: Sets of such a block, about.
@@ -62,10 +62,10 @@ _BANDS = bands()
 
 
 def words_in(band: int, t: Fraction) -> tuple[int, int]:
-    """(words of a band's sketches, words that may be thin): two of its sets at ``t`` agree in one word more than may be thin."""
+    """(words of a band's sketches, spare words): two of its sets at ``t`` agree in one word more than are spare."""
     total = 2 * (int(_BANDS[band + 1]) - 1)
     apart = total * (t.denominator - t.numerator) // (t.denominator + t.numerator)
-    spare = -(-apart * max(1, round(40 * float(1 - t) ** 2 * 10)) // 100) + 1 if apart else 0
+    spare = -(-apart * max(3, round(600 * float(1 - t) ** 2)) // 100) + 1 if apart else 0
     return apart + 1 + spare, spare
 
 
@@ -85,13 +85,12 @@ def whole_sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, folded to the narrowest: halves are joined by exclusive or, as bits are taken modulo the width."""
-    width = min(map(len, sketches)) // 8
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to ``width`` bytes: halves are joined by exclusive or, as bits are taken modulo the width."""
     rows = []
     for raw in sketches:
         words = np.frombuffer(raw, dtype=np.uint64)
-        while len(words) > width:
+        while len(words) > width // 8:
             words = words[: len(words) // 2] ^ words[len(words) // 2 :]
         rows.append(words)
     return np.stack(rows)
@@ -105,13 +104,13 @@ def set_id(tokens: np.ndarray) -> int:
     return int(mix(mix(tokens).sum(keepdims=True) + count).view(np.int64)[0]) or 1
 
 
-def word_keys(tokens: np.ndarray, t: Fraction) -> np.ndarray:
+def word_keys(tokens: np.ndarray, t: Fraction, popular: np.ndarray | None = None) -> np.ndarray:
     """The join keys of a set: a hash of (band, word number, word) for the words of its sketches.
 
-    Words where fewer than ``THIN`` shingles fall say little and are left out while no more of them than spare words are
-    thin: sets that agree in a word have equally many shingles there, so a linked pair still agrees in one that stays.
-    A set with more thin words gives all its words, so that two such sets meet too. A word of 2**58 bits is never
-    laid out: the exclusive or of its flipped bits' hashes stands for it.
+    Words where no shingle falls, and those whose key many documents have (``popular``, a bit map), say little. They are left out while a band has no more of them than spare words: both properties belong to the word's
+    content, so where two sets agree it is left out of both or neither, and a linked pair agrees in one that stays. A
+    set with more such words gives its popular words too, and one with more empty words gives all, so that they meet. A word of 2**58 bits is never laid
+    out: the exclusive or of its flipped bits' hashes stands for it.
     """
     keys = []
     for band in bands_of(len(tokens), t) if len(tokens) else []:
@@ -126,10 +125,14 @@ def word_keys(tokens: np.ndarray, t: Fraction) -> np.ndarray:
         filled = count > 0
         value = np.zeros(n_words, dtype=np.uint64)
         value[filled] = np.bitwise_xor.reduceat(mix(h)[order], begin[filled])
-        thin = count < THIN
-        stay = ~thin if np.count_nonzero(thin) <= spare else np.ones(n_words, dtype=bool)
         place = mix(np.arange(n_words, dtype=np.uint64) + np.uint64(band << 40))
-        keys.append((mix(value ^ place) + place)[stay])
+        key = mix(value ^ place) + place
+        stay = np.ones(n_words, dtype=bool)
+        if n_words - np.count_nonzero(filled) <= spare:
+            stay = filled & ~in_bit_map(popular, key) if popular is not None else filled
+            if n_words - np.count_nonzero(stay) > spare:
+                stay = filled
+        keys.append(key[stay])
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
@@ -150,8 +153,8 @@ def set_table(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
 
 
-def key_table(texts: DataFrame, size: int, t: Fraction, only: np.ndarray | None = None) -> DataFrame:
-    """(key, set_id) for all words of all sketches; equal sets give equal rows. ``only``: a bit map of the keys wanted."""
+def key_table(texts: DataFrame, size: int, t: Fraction, only: np.ndarray | None = None, popular: np.ndarray | None = None) -> DataFrame:
+    """(key, set_id) for the words of all sketches; equal sets give equal rows. ``only``: a bit map of the keys wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +162,7 @@ def key_table(texts: DataFrame, size: int, t: Fraction, only: np.ndarray | None
                 keys, ids = [], []
                 for v in utf8_rows(part.column(1)):
                     s = shingle_set(v, size)
-                    k = word_keys(s, t)
+                    k = word_keys(s, t, popular)
                     k = k if only is None else k[in_bit_map(only, k)]
                     if len(k):
                         keys.append(k)
@@ -189,11 +192,12 @@ def gatherings(texts: DataFrame, size: int, t: Fraction) -> DataFrame:
     """Rows (set_id, hub): each set that has a word in common with others, and the least set that has this word.
 
     Keys are aggregated first. The few that two sets share then pick their rows through a bit map and a join, in which
-    a frequent key meets a single row and can be dealt to several tasks.
+    a frequent key meets a single row and can be dealt to several tasks. Popular keys, as of passages that many documents
+    share, then have rows of those sets only that cannot do without.
     """
-    found = key_table(texts, size, t).groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).filter("hub < top").select("key", "hub")
+    found = key_table(texts, size, t).groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top"), F.count("*").alias("n")).filter("hub < top").select("key", "hub", "n")
     shared = materialize(found, "shared")
-    again = key_table(texts, size, t, bit_map(shared, "key"))
+    again = key_table(texts, size, t, bit_map(shared, "key"), bit_map(shared.filter(F.col("n") > POPULAR), "key"))
     return again.join(shared, "key").select("set_id", "hub").distinct()
 
 
@@ -217,9 +221,9 @@ def near_edges(gathered: DataFrame, sets: DataFrame, t: Fraction, block_sets: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("hub", "x", "y")):
-            own, ids = group["own"], group["set_id"]
-            split = None if group["x"][0] == group["y"][0] else sum(o == group["x"][0] for o in own)
-            links = connecting(ids, np.array(group["n_shingles"], dtype=np.int64), folded(group["sketch"]), t, split) if len(ids) > 1 and (split is None or 0 < split < len(ids)) else []
+            x = group["x"][0]
+            side = None if x == group["y"][0] else [o == x for o in group["own"]]
+            links = connecting(group["set_id"], group["n_shingles"], group["sketch"], t, side)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
 
@@ -254,13 +258,14 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator
         yield held
 
 
-def connecting(ids: list[int], n: np.ndarray, sketches: np.ndarray, t: Fraction, split: int | None = None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Pairs that connect whatever pairs within reach of ``t`` connect; with ``split``, of pairs across that position only.
+def connecting(ids: list[int], n: list[int], sketches: list[bytes], t: Fraction, side: list[bool] | None = None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect whatever pairs within reach of ``t`` connect; with ``side``, of pairs of different sides only.
 
-    Pairs come by rising Hamming distance. Without ``sets`` a distance that ``t`` allows is enough, with them each pair is
-    checked on its sets unless already connected.
+    Two sketches are compared at the width of the narrower one, pairs by rising Hamming distance. Without ``sets`` a
+    distance that ``t`` allows is enough, with them each pair is checked on its sets unless already connected.
     """
-    allowed = np.array([most_apart(int(x), t) for x in range(int(2 * n.max()) + 1)], dtype=np.int64)
+    if len(ids) < 2:
+        return []
     parent = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -269,28 +274,35 @@ def connecting(ids: list[int], n: np.ndarray, sketches: np.ndarray, t: Fraction,
             x = parent[x]
         return x
 
+    allowed = np.array([most_apart(x, t) for x in range(2 * max(n) + 1)], dtype=np.int64)
+    widths = np.array([len(x) for x in sketches])
     links = []
-    rows = range(len(ids) - 1) if split is None else range(split)
-    step = max(1, (1 << 22) // max(1, sketches.size))
-    for at in range(rows.start, rows.stop, step):
-        mine = np.arange(at, min(at + step, rows.stop))
-        first = at + 1 if split is None else split
-        apart = np.bitwise_count(sketches[mine, None, :] ^ sketches[None, first:, :]).sum(axis=2, dtype=np.int64)
-        a, b = n[mine, None], n[None, first:]
-        near = (apart <= allowed[a + b]) & (np.minimum(a, b) * t.denominator >= np.maximum(a, b) * t.numerator)
-        if split is None:
-            near &= mine[:, None] < np.arange(first, len(ids))[None, :]
-        i, j = np.nonzero(near)
-        order = np.argsort(apart[i, j], kind="stable")
-        for x, y in zip((mine[i[order]]).tolist(), (j[order] + first).tolist(), strict=True):
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                if sets is not None:
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if both * t.denominator < t.numerator * (int(n[x]) + int(n[y]) - both):
-                        continue
-                parent[rx] = ry
-                links.append((ids[x], ids[y]))
+    for width in np.unique(widths):
+        place = np.concatenate([np.flatnonzero(widths == width), np.flatnonzero(widths > width)])
+        rows = folded([sketches[i] for i in place], int(width))
+        size = np.array([n[i] for i in place], dtype=np.int64)
+        own = np.array([side[i] for i in place]) if side is not None else None
+        most = int(np.count_nonzero(widths == width))
+        step = max(1, (1 << 22) // rows.size)
+        for at in range(0, most, step):
+            mine = np.arange(at, min(at + step, most))
+            apart = np.bitwise_count(rows[mine, None, :] ^ rows[None, at + 1 :, :]).sum(axis=2, dtype=np.int64)
+            other = np.arange(at + 1, len(place))
+            a, b = size[mine, None], size[None, at + 1 :]
+            near = (apart <= allowed[a + b]) & (mine[:, None] < other[None, :]) & (np.minimum(a, b) * t.denominator >= np.maximum(a, b) * t.numerator)
+            if own is not None:
+                near &= own[mine, None] != own[None, at + 1 :]
+            i, j = np.nonzero(near)
+            order = np.argsort(apart[i, j], kind="stable")
+            for x, y in zip(place[mine[i[order]]].tolist(), place[other[j[order]]].tolist(), strict=True):
+                rx, ry = root(x), root(y)
+                if rx != ry:
+                    if sets is not None:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if both * t.denominator < t.numerator * (n[x] + n[y] - both):
+                            continue
+                    parent[rx] = ry
+                    links.append((ids[x], ids[y]))
     return links
 
 
@@ -309,9 +321,9 @@ def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fracti
         table = table.sort_by([("own", "ascending"), ("set_id", "ascending")])
         found = zip(table.column("set_id").to_pylist(), table.column("own").to_pylist(), (shingle_set(v, size) for chunk in table.column("text").chunks for v in utf8_rows(chunk)), strict=True)
         rows = [r for r in found if set_id(r[2]) == r[0]]  # ids may repeat with other texts
-        split = None if x == y else sum(r[1] == x for r in rows)
+        side = None if x == y else [r[1] == x for r in rows]
         sets = [r[2] for r in rows]
-        links = connecting([r[0] for r in rows], np.array([len(s) for s in sets], dtype=np.int64), folded([whole_sketch(s) for s in sets]), t, split, sets) if len(rows) > 1 and (split is None or 0 < split < len(rows)) else []
+        links = connecting([r[0] for r in rows], [len(s) for s in sets], [whole_sketch(s) for s in sets], t, side, sets)
         return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
 
     rows = texts.mapInArrow(pick, texts.schema).join(dealt, "doc_id").select("set_id", "cluster", "own", "x", "y", "text")

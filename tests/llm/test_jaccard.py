@@ -89,8 +89,14 @@ def test_keys_meet(spark):
                 b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, rng.integers(0, max(1, n // 8) + 1)).astype(np.uint64)]))
                 both = len(np.intersect1d(a, b))
                 if both and both * t.denominator >= t.numerator * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                    assert len(np.intersect1d(J.word_keys(a, t), J.word_keys(b, t)))
-                    width = J.folded([J.whole_sketch(a), J.whole_sketch(b)])
+                    shared = np.intersect1d(J.word_keys(a, t), J.word_keys(b, t))
+                    assert len(shared)
+                    popular = np.zeros(1 << 10, dtype=np.uint8)
+                    low = shared[: rng.integers(0, len(shared) + 1)].view(np.int64) & (8 * len(popular) - 1)
+                    np.bitwise_or.at(popular, low >> 3, np.uint8(1) << (low & 7).astype(np.uint8))
+                    assert len(np.intersect1d(J.word_keys(a, t, popular), J.word_keys(b, t, popular)))
+                    both_sketches = [J.whole_sketch(a), J.whole_sketch(b)]
+                    width = J.folded(both_sketches, min(map(len, both_sketches)))
                     assert int(np.bitwise_count(width[0] ^ width[1]).sum()) <= J.most_apart(len(a) + len(b), t)
 
 
