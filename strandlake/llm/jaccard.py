@@ -109,8 +109,8 @@ def word_keys(tokens: np.ndarray, t: Fraction, popular: np.ndarray | None = None
 
     Words where no shingle falls, and those whose key many documents have (``popular``, a bit map), say little. They are left out while a band has no more of them than spare words: both properties belong to the word's
     content, so where two sets agree it is left out of both or neither, and a linked pair agrees in one that stays. A
-    set with more such words gives its popular words too, and one with more empty words gives all, so that they meet. A word of 2**58 bits is never laid
-    out: the exclusive or of its flipped bits' hashes stands for it.
+    set with more such words gives its popular words too, and one with more empty words gives all, so that they meet.
+    A word of 2**58 bits is never laid out: the exclusive or of its flipped bits' hashes stands for it.
     """
     keys = []
     for band in bands_of(len(tokens), t) if len(tokens) else []:
@@ -204,7 +204,8 @@ def gatherings(texts: DataFrame, size: int, t: Fraction) -> DataFrame:
 def _blocked(rows: DataFrame, group: str, weight: str, most_weight: int, most_rows: int) -> DataFrame:
     """Adds own, x and y: the block of a row and the pair of blocks that a task compares; a row goes to as many tasks as its group has blocks."""
     need = F.greatest(F.ceil(F.sum(weight) / most_weight), F.ceil(F.count("*") / most_rows)).cast("int")
-    blocks = rows.groupBy(group).agg(need.alias("blocks"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    # Written first, so that the join below has one plain row per group and can deal a large group to several tasks.
+    blocks = materialize(rows.groupBy(group).agg(need.alias("blocks"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "blocks")
     return (
         rows.join(blocks, group)
         .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
