@@ -1037,7 +1037,7 @@ def _(customers):
 
 
 @query("g10_window_labels", """with s as (select wid, pos - wstart as rel, max(label) as label from usage u join win w on u.chrom = w.chrom and pos >= wstart and pos < wend group by 1, 2)
-select w.wid, coalesce(sum(case when label <> 4 then 1 end), 0) as n_sites, cast(120 * 4 + coalesce(sum(label - 4), 0) as bigint) as total from win w left join s on s.wid = w.wid group by 1""", "win", "usage")
+select w.wid, cast(coalesce(sum(case when label <> 4 then 1 end), 0) as bigint) as n_sites, cast(120 * 4 + coalesce(sum(label - 4), 0) as bigint) as total from win w left join s on s.wid = w.wid group by 1""", "win", "usage")
 def _(wins, usage):
     sites = N.sites_in_windows(usage.select("chrom", "pos", "label"), wins)
     return W.window_labels(wins, sites, 120).select("wid", F.size(F.filter("labels", lambda x: x != 4)).cast("bigint").alias("n_sites"), F.aggregate("labels", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
