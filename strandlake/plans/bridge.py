@@ -31,6 +31,9 @@ BRIDGES = {
 _SIGNAL = "vec_id, cast(floor(vec_id / 2) as bigint) as variant_id, case when vec_id % 2 = 0 then 'REF' else 'ALT' end as allele, cast(pos as bigint) as pos, cast(floor(pos / 8) as bigint) as bin, cast(pos % 8 as bigint) as track, abs(cast(v as double)) as value, label"
 SIGNAL_SPARK = f"select {_SIGNAL} from (select vec_id, label, posexplode(embedding) as (pos, v) from {{embeddings}})"
 SIGNAL_DUCK = f"select {_SIGNAL} from (select vec_id, label, unnest(range(64)) as pos, unnest(embedding) as v from embeddings)"
+# Whole texts of all documents, one base a letter (upper() would make two of some letters). The SQL keeps its own cut.
+SEQ_SPARK = "select doc_id as seq_id, doc_id * 100 as start, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') as raw from {documents}"
+_SPARK = {"signal": SIGNAL_SPARK, "seq": SEQ_SPARK}
 PAIR = "select variant_id, bin, track, max(case when allele = 'REF' then value end) as ref, max(case when allele = 'ALT' then value end) as alt from signal group by 1, 2, 3 having count(*) = 2"
 
 
@@ -40,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bridge(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A bridge table as a DataFrame."""
-    text = SIGNAL_SPARK if name == "signal" else BRIDGES[name]
+    text = _SPARK.get(name) or BRIDGES[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
     return spark.sql(text, **used)
 

@@ -18,7 +18,7 @@ from ..sources import readers as R
 from ..sources import writers as Wr
 from ..sources.scratch import scratch
 from . import scoring
-from .queries import _CAT, _P, _SEL, _SEQ, _catalog, _head, _junctions, _sequences, on, query, r6
+from .queries import _CAT, _P, _SEL, _SEQ, _catalog, _chunks, _head, _junctions, _sequences, on, query, r6
 
 
 def _text(df: DataFrame, path: str) -> str:
@@ -132,10 +132,10 @@ def _(wins):
 @query("s10_fasta_extract", f"select concat('chrs', cast(seq_id as string)) as chrom, substr(s, 6, 20) as sequence from (select seq_id, {_SEQ} as s from seq where length(raw) = 60)", "seq")
 def _(seq):
     spark = seq.sparkSession
-    s = _sequences(seq.filter("length(raw) = 60"))
-    lines = s.select(F.explode(F.array(F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit(" x\n"), F.lower(F.substring("sequence", 1, 30)), F.lit("\n"), F.substring("sequence", 31, 30)))).alias("value"))
+    s = _sequences(seq)
+    lines = s.select(F.explode(F.array(F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit(" x\n"), F.lower(F.substring("sequence", 1, 30)), F.lit("\n"), F.expr("substring(sequence, 31)")))).alias("value"))
     chunks = R.read_fasta(spark, _text(lines, scratch(spark, "fasta")), 16)
-    asked = s.select(F.col("seq_id").alias("rid"), F.concat(F.lit("chrs"), F.col("seq_id").cast("string")).alias("chrom"), F.lit(5).cast("long").alias("start"), F.lit(25).cast("long").alias("end"))
+    asked = s.filter("length(sequence) > 5").select(F.col("seq_id").alias("rid"), F.concat(F.lit("chrs"), F.col("seq_id").cast("string")).alias("chrom"), F.lit(5).cast("long").alias("start"), F.length("sequence").cast("long").alias("end"))
     return W.fetch(asked, chunks, 16).select("chrom", "sequence")
 
 
@@ -353,8 +353,9 @@ def _(events):
 
 @query("j19_sites_with_motif", f"select seq_id, pos, substr(s, cast(pos + 1 as int), 2) = 'GT' as match from (select seq_id, {_SEQ} as s, unnest(range(0, 40, 5)) as pos from seq where length(raw) = 60)", "seq")
 def _(seq):
-    s = _sequences(seq.filter("length(raw) = 60")).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"), F.lit(5).cast("long"))))
-    chunks = s.select(F.col("seq_id").cast("string").alias("chrom"), "sequence").distinct().select("chrom", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(54), F.lit(6)), lambda i: F.substring(F.col("sequence"), i + 1, F.lit(6)))).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("long"))
+    whole = _sequences(seq)
+    chunks = _chunks(whole.withColumn("chrom", F.col("seq_id").cast("string")), 6)
+    s = whole.filter("length(sequence) > 1").select("seq_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("sequence") - 2).cast("long"), F.lit(5).cast("long"))).alias("pos"))
     asked = s.select(F.concat_ws(":", F.col("seq_id").cast("string"), F.col("pos").cast("string")).alias("rid"), F.col("seq_id").cast("string").alias("chrom"), F.col("pos").alias("start"), (F.col("pos") + 2).alias("end"))
     return W.fetch(asked, chunks, 6).select(F.col("chrom").cast("long").alias("seq_id"), F.col("start").alias("pos"), (F.col("sequence") == "GT").alias("match"))
 
@@ -457,9 +458,9 @@ def _(seq):
 @query("m01_model_scores", f"""with q as (select seq_id, {_SEQ} as s from seq where length(raw) = 60 and seq_id < 50), b as (select unnest(range(4)) as track, unnest(['A', 'C', 'G', 'T']) as base)
 select seq_id as variant_id, track, cast(case when base = 'T' then 1 else 0 end - case when substr(s, 31, 1) = base then 1 else 0 end as double) as score from q, b where substr(s, 31, 1) <> 'T'""", "seq")
 def _(seq):
-    s = _sequences(seq.filter("length(raw) = 60 and seq_id < 50")).filter("substr(sequence, 31, 1) <> 'T'")
-    alt = F.concat(F.substring("sequence", 1, 30), F.lit("T"), F.substring("sequence", 32, 29))
-    rows = s.select(F.col("seq_id").cast("string").alias("variant_id"), F.lit("c").alias("chrom"), F.lit(31).cast("long").alias("position"), F.lit(0).cast("long").alias("interval_start"), F.lit(60).cast("long").alias("interval_end"), F.col("sequence").alias("ref_seq"), alt.alias("alt_seq"))
+    s = _sequences(seq.filter("seq_id < 50")).withColumn("at", F.expr("cast(floor(length(sequence) / 2) as int)")).filter("substr(sequence, at + 1, 1) not in ('', 'T')")
+    alt = F.expr("concat(substr(sequence, 1, at), 'T', substr(sequence, at + 2))")
+    rows = s.select(F.col("seq_id").cast("string").alias("variant_id"), F.lit("c").alias("chrom"), (F.col("at") + 1).cast("long").alias("position"), F.lit(0).cast("long").alias("interval_start"), F.length("sequence").cast("long").alias("interval_end"), F.col("sequence").alias("ref_seq"), alt.alias("alt_seq"))
     presets = [S.Preset("center_mask", "atac", 501, "diff_sum")]
     pred = scoring.predict(rows, scoring.base_content_model, scoring.needs(presets))
     return scoring.score_variants(pred, rows, presets).select(F.col("variant_id").cast("long").alias("variant_id"), "track", "score")

@@ -539,6 +539,12 @@ def _sequences(seq: DataFrame) -> DataFrame:
     return seq.withColumn("sequence", F.regexp_replace("raw", "[^ACGT]", "N"))
 
 
+def _chunks(named: DataFrame, size: int) -> DataFrame:
+    """All of each sequence (chrom, sequence) as a chunked genome."""
+    pieces = F.transform(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(size)), lambda i: F.substring(F.col("sequence"), i + 1, F.lit(size)))
+    return named.filter("length(sequence) > 0").select("chrom", F.posexplode(pieces).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("bigint"))
+
+
 @query("c10_apply_variant", f"select seq_id, case when length(s) > 12 then concat(substr(s, 1, 10), 'TTT', substr(s, 12)) else s end as alt_seq from (select seq_id, {_SEQ} as s from seq)", "seq")
 def _(seq):
     s = _sequences(seq)
@@ -570,14 +576,15 @@ def _(seq):
 
 @query("s12_padded_fetch", f"select seq_id, concat('NNNNN', substr(rpad(s, 60, 'N'), 1, 60), repeat('N', 10)) as fetched from (select seq_id, {_SEQ} as s from seq)", "seq")
 def _(seq):
-    return _sequences(seq).select("seq_id", Q.padded_fetch("sequence", F.lit(-5), F.lit(70)).alias("fetched"))
+    return _sequences(seq).select("seq_id", Q.padded_fetch("sequence", F.lit(-5), F.greatest(F.length("sequence"), F.lit(60)) + 10).alias("fetched"))
 
 
 @query("s09_chunked_fetch", f"select wid as rid, substr(s, cast(wid % 10 as int) + 1, 25) as sequence from (select wid from win where wid < 3000) w join (select seq_id, {_SEQ} as s from seq where length(raw) = 60) q on q.seq_id = w.wid % 200", "win", "seq")
 def _(wins, seq):
-    chunks = _sequences(seq).filter("length(raw) = 60 and seq_id < 200").select(F.concat(F.lit("c"), F.col("seq_id").cast("string")).alias("chrom"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(50), F.lit(10)), lambda i: F.substring(F.col("sequence"), i + 1, F.lit(10)))).alias("chunk", "seq"))
-    asked = wins.filter("wid < 3000").select(F.col("wid").alias("rid"), F.concat(F.lit("c"), (F.col("wid") % 200).cast("string")).alias("chrom"), (F.col("wid") % 10).alias("start"), (F.col("wid") % 10 + 25).alias("end"))
-    return W.fetch(asked, chunks.withColumn("chunk", F.col("chunk").cast("bigint")), 10).select("rid", "sequence")
+    named = _sequences(seq).filter("seq_id < 200").withColumn("chrom", F.concat(F.lit("c"), F.col("seq_id").cast("string")))
+    lengths = named.select("chrom", F.length("sequence").alias("n")).filter("n > 0")
+    asked = wins.filter("wid < 3000").withColumn("chrom", F.concat(F.lit("c"), (F.col("wid") % 200).cast("string"))).join(lengths, "chrom").select(F.col("wid").alias("rid"), "chrom", (F.col("wid") % F.col("n")).alias("start"), (F.col("wid") % F.col("n") + 25).alias("end"))
+    return W.fetch(asked, _chunks(named, 10), 10).select("rid", "sequence")
 
 
 _T = "select variant_id, bin, track, value, {} as out from signal where allele = 'REF'"
@@ -1086,9 +1093,9 @@ def _(wins):
 @query("a40_motif_rate", f"""with g as (select seq_id, {_SEQ} as s from seq where length(raw) = 60), p as (select seq_id, s, unnest(range(0, 58, 7)) as pos from g)
 select case when pos % 2 = 0 then 'Donor' else 'Acceptor' end as site_type, round(avg(case when substr(s, cast(pos + 1 as int), 2) = case when pos % 2 = 0 then 'GT' else 'AG' end then 1.0 else 0.0 end), 6) + 0.0 as rate, count(*) as n from p group by 1""", "seq")
 def _(seq):
-    g = _sequences(seq).filter("length(raw) = 60").withColumn("chrom", F.col("seq_id").cast("string"))
-    chunks = g.select("chrom", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(50), F.lit(10)), lambda i: F.substring(F.col("sequence"), i + 1, F.lit(10)))).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("bigint"))
-    sites = g.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(57).cast("bigint"), F.lit(7).cast("bigint"))).alias("pos")).withColumn("site_type", F.when(F.col("pos") % 2 == 0, "Donor").otherwise("Acceptor"))
+    g = _sequences(seq).withColumn("chrom", F.col("seq_id").cast("string"))
+    chunks = _chunks(g, 10)
+    sites = g.filter("length(sequence) > 1").select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.length("sequence") - 2).cast("bigint"), F.lit(7).cast("bigint"))).alias("pos")).withColumn("site_type", F.when(F.col("pos") % 2 == 0, "Donor").otherwise("Acceptor"))
     return W.motif_rate(sites, chunks, 10, F.when(F.col("site_type") == "Donor", "GT").otherwise("AG")).withColumn("rate", r6("rate"))
 
 
