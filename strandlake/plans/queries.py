@@ -441,7 +441,7 @@ def _(wins):
 k as (select * from n where split = 'train' or not exists (select 1 from n t where t.split = 'train' and t.chrom = n.chrom and t.wstart < n.wend and n.wstart < t.wend))
 select fold, split, count(*) as n from k group by 1, 2""", "win")
 def _(wins):
-    rows = wins.filter("wid % 3 = 0").select("chrom", F.col("wstart").alias("start"), F.col("wend").alias("end"), "fold")
+    rows = wins.select("chrom", F.col("wstart").alias("start"), F.col("wend").alias("end"), "fold")
     return E.fold_splits(rows, ["fold3"], ["fold4"]).groupBy("fold", "split").agg(F.count("*").alias("n"))
 
 
