@@ -458,7 +458,7 @@ def _(seq):
 @query("m01_model_scores", f"""with q as (select seq_id, {_SEQ} as s from seq where length(raw) = 60 and seq_id < 50), b as (select unnest(range(4)) as track, unnest(['A', 'C', 'G', 'T']) as base)
 select seq_id as variant_id, track, cast(case when base = 'T' then 1 else 0 end - case when substr(s, 31, 1) = base then 1 else 0 end as double) as score from q, b where substr(s, 31, 1) <> 'T'""", "seq")
 def _(seq):
-    s = _sequences(seq.filter("seq_id < 50")).withColumn("at", F.expr("cast(floor(length(sequence) / 2) as int)")).filter("substr(sequence, at + 1, 1) not in ('', 'T')")
+    s = _sequences(seq).withColumn("at", F.expr("cast(floor(length(sequence) / 2) as int)")).filter("substr(sequence, at + 1, 1) not in ('', 'T')")
     alt = F.expr("concat(substr(sequence, 1, at), 'T', substr(sequence, at + 2))")
     rows = s.select(F.col("seq_id").cast("string").alias("variant_id"), F.lit("c").alias("chrom"), (F.col("at") + 1).cast("long").alias("position"), F.lit(0).cast("long").alias("interval_start"), F.length("sequence").cast("long").alias("interval_end"), F.col("sequence").alias("ref_seq"), alt.alias("alt_seq"))
     presets = [S.Preset("center_mask", "atac", 501, "diff_sum")]
