@@ -541,7 +541,7 @@ def _sequences(seq: DataFrame) -> DataFrame:
 
 def _chunks(named: DataFrame, size: int) -> DataFrame:
     """All of each sequence (chrom, sequence) as a chunked genome."""
-    pieces = F.transform(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(size)), lambda i: F.substring(F.col("sequence"), i + 1, F.lit(size)))
+    pieces = F.regexp_extract_all("sequence", F.lit(f".{{1,{size}}}"), F.lit(0))
     return named.filter("length(sequence) > 0").select("chrom", F.posexplode(pieces).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("bigint"))
 
 
@@ -581,9 +581,10 @@ def _(seq):
 
 @query("s09_chunked_fetch", f"select wid as rid, substr(s, cast(wid % 10 as int) + 1, 25) as sequence from (select wid from win where wid < 3000) w join (select seq_id, {_SEQ} as s from seq where length(raw) = 60) q on q.seq_id = w.wid % 200", "win", "seq")
 def _(wins, seq):
-    named = _sequences(seq).filter("seq_id < 200").withColumn("chrom", F.concat(F.lit("c"), F.col("seq_id").cast("string")))
+    named = _sequences(seq).withColumn("chrom", F.concat(F.lit("c"), F.col("seq_id").cast("string")))
     lengths = named.select("chrom", F.length("sequence").alias("n")).filter("n > 0")
-    asked = wins.filter("wid < 3000").withColumn("chrom", F.concat(F.lit("c"), (F.col("wid") % 200).cast("string"))).join(lengths, "chrom").select(F.col("wid").alias("rid"), "chrom", (F.col("wid") % F.col("n")).alias("start"), (F.col("wid") % F.col("n") + 25).alias("end"))
+    ids = seq.agg((F.max("seq_id") + 1).alias("ids"))
+    asked = wins.crossJoin(ids).withColumn("chrom", F.concat(F.lit("c"), (F.col("wid") % F.col("ids")).cast("string"))).join(lengths, "chrom").select(F.col("wid").alias("rid"), "chrom", (F.col("wid") % F.col("n")).alias("start"), (F.col("wid") % F.col("n") + 25).alias("end"))
     return W.fetch(asked, _chunks(named, 10), 10).select("rid", "sequence")
 
 
