@@ -307,7 +307,7 @@ def _(exons, genes):
 @query("j16_junction_pairs", """with s as (select variant_id as seq_id, case when track % 2 = 0 then '+' else '-' end as strand, bin, track, case when ref > 0.1 then bin * 8 + track else -1 end as pos from pair where variant_id < 200)
 select d.seq_id, d.strand, least(d.pos, a.pos) as jstart, greatest(d.pos, a.pos) as jend from s d join s a on d.seq_id = a.seq_id and d.strand = a.strand where d.bin % 2 = 0 and a.bin % 2 = 1 and d.pos >= 0 and a.pos >= 0 and case when d.strand = '+' then d.pos < a.pos else a.pos < d.pos end""", "pair")
 def _(p):
-    sites = p.filter("variant_id < 200").select(F.col("variant_id").alias("seq_id"), F.when(F.col("track") % 2 == 0, "+").otherwise("-").alias("strand"), F.when(F.col("bin") % 2 == 0, "donor").otherwise("acceptor").alias("role"), F.when(F.col("ref") > 0.1, F.col("bin") * 8 + F.col("track")).otherwise(-1).alias("pos"))
+    sites = p.select(F.col("variant_id").alias("seq_id"), F.when(F.col("track") % 2 == 0, "+").otherwise("-").alias("strand"), F.when(F.col("bin") % 2 == 0, "donor").otherwise("acceptor").alias("role"), F.when(F.col("ref") > 0.1, F.col("bin") * 8 + F.col("track")).otherwise(-1).alias("pos"))
     return S.junction_pairs(sites).select("seq_id", "strand", "jstart", "jend")
 
 
