@@ -77,9 +77,8 @@ def _(pas):
 def _(pas):
     spark = pas.sparkSession
     path = scratch(spark, "linked")
-    sites = pas.filter("pos % 2 = 0")
-    mapping = sites.select(F.concat(F.lit("T"), F.col("pos").cast("string"), F.lit("-"), F.translate("gene_id", ".", "_")).alias("transcript_id"), "gene_id", F.lit("n").alias("gene_name"), F.lit("t").alias("gene_type"), F.col("pos").alias("o")).distinct()
-    raw = sites.select(F.concat(F.lit("T"), F.col("pos").cast("string"), F.lit("-"), F.translate("gene_id", ".", "_")).alias("transcript_id"), "pos")
+    mapping = pas.select(F.concat(F.lit("T"), F.col("pos").cast("string"), F.lit("-"), F.translate("gene_id", ".", "_")).alias("transcript_id"), "gene_id", F.lit("n").alias("gene_name"), F.lit("t").alias("gene_type"), F.col("pos").alias("o")).distinct()
+    raw = pas.select(F.concat(F.lit("T"), F.col("pos").cast("string"), F.lit("-"), F.translate("gene_id", ".", "_")).alias("transcript_id"), "pos")
     N.link_pas(raw, mapping, "o").select("gene_id", "pos").write.parquet(path)
     return spark.read.parquet(path)
 
