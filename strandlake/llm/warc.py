@@ -38,14 +38,18 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def url_key(url: str | None) -> str:
-    """The sort key of a URL: host parts reversed, then path and query, without scheme, user, fragment or default port."""
+    """The sort key of a URL: host parts reversed, then path and query, without scheme, user, fragment or default port.
+
+    Tabs and newlines, which separate the index's fields and lines, are escaped.
+    """
+    raw = (url or "").strip().replace("\n", "%0A").replace("\t", "%09")
     try:
         parts = urlsplit((url or "").strip())
         host, port = (parts.hostname or "").removeprefix("www."), parts.port
     except ValueError:
-        return (url or "").strip()
+        return raw
     if not host:
-        return (url or "").strip()
+        return raw
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port not in (None, 80, 443) else "") + ")" + (parts.path or "/")
     return key + (f"?{parts.query}" if parts.query else "")
 
@@ -155,7 +159,7 @@ def write_index(captures: DataFrame, folder: str, partitions: int, block_lines:
 
             for batch in batches:
                 for row in batch.to_pylist():
-                    last = row.pop("key").replace("\n", "%0A").replace("\t", "%09")
+                    last = row.pop("key")
                     held.append((last, json.dumps(row, separators=(",", ":"))))
                     if len(held) == block_lines:
                         flush()
@@ -213,7 +217,7 @@ def look_up(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             out = []
             for key in batch.column(0).to_pylist():
-                key = (key or "").replace("\n", "%0A").replace("\t", "%09")
+                key = key or ""
                 for i in range(bisect.bisect_left(lasts, key.encode()), bisect.bisect_right(firsts, key.encode())):
                     out.append((i, key))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([k for _, k in out], pa.string())], names=["part", "key"])

@@ -99,6 +99,17 @@ def test_index_finds_only_what_is_asked(spark):
     assert sorted(r.page_id for r in found) == want and {bytes(r.payload) for r in found} == {f"t{i}".encode() for i in want}
 
 
+def test_index_order_of_keys_with_tabs_and_newlines(spark):
+    urls = ["a\tb", "a b", "a\nb", "a!b", "a%09b"]
+    pages = spark.createDataFrame([(i, u, f"t{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    folder = warc.shared_dir(spark, "warc")
+    captures = warc.materialize(warc.write_archives(warc.with_revisits(pages), folder), "captures")
+    manifest = warc.materialize(warc.write_index(captures, folder, 1), "parts")
+    for u, want in zip(urls, [[0, 4], [1], [2], [3], [0, 4]], strict=True):
+        keys = spark.createDataFrame([(warc.url_key(u),)], "key string")
+        assert sorted(r.page_id for r in warc.look_up(keys, manifest, folder).collect()) == want, u
+
+
 def test_url_keys():
     assert warc.url_key("https://user@WWW.Blog.Example.com:443/a/B?x=1#f") == "com,example,blog)/a/B?x=1"
     assert warc.url_key("http://h.example:8080") == "example,h:8080)/" and warc.url_key(None) == ""
