@@ -10,6 +10,7 @@ base rules decide; labels of repeated documents are all used; all statistics cou
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, utf8_rows
-from .words import _BLANK, hashes, mix, spans
+from .words import _BLANK, OWN_KEY, runs_of, spans, word_values
 
 WINDOW = 5
 #: Labelled documents that the list is learned from at most.
@@ -43,6 +44,23 @@ _KIND[list(b"!?")] = 5
 _KIND[0x80:0xC0] = 6
 
 
+def _found_twice(word: np.ndarray) -> np.ndarray:
+    """The windows whose words some other window has too, by their first word."""
+    value = runs_of(word, WINDOW, OWN_KEY)
+    order = np.sort(value)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(np.isin(value, twice))
+    at = at[np.argsort(value[at], kind="stable")]
+    equal = value[at[1:]] == value[at[:-1]]
+    if all(np.array_equal(word[at[1:] + k][equal], word[at[:-1] + k][equal]) for k in range(WINDOW)):
+        return at
+    windows = list(zip(*(word[k : len(word) - WINDOW + 1 + k].tolist() for k in range(WINDOW)), strict=True))
+    often = Counter(windows)
+    return np.array([i for i, x in enumerate(windows) if often[x] > 1], dtype=np.int64)
+
+
 def counts(view: memoryview) -> tuple[int, ...]:
     """The values of ``COUNTS`` for one text's UTF-8 bytes."""
     data = np.frombuffer(view, dtype=np.uint8)
@@ -53,18 +71,12 @@ def counts(view: memoryview) -> tuple[int, ...]:
         return (0, 0, int(kinds[1]), 0, 0, 0, 0, 0, 0, 0, 0)
     kinds = np.bincount(_KIND[data], minlength=7)
     blanks = int(_BLANK[data].sum())
-    word = hashes(data, starts, ends)
+    word = word_values(data, starts, ends, OWN_KEY)
     repeated = 0
     if n >= WINDOW:
-        rows = n - WINDOW + 1
-        value = np.zeros(rows, dtype=np.uint64)
-        for k in range(WINDOW):
-            value = mix(value * np.uint64(0x9FB21C651E98DF25) + word[k : k + rows])
-        order = np.sort(value)
-        twice = order[1:][order[1:] == order[:-1]]
-        if len(twice):
+        at = _found_twice(word)
+        if len(at):
             cover = np.zeros(n + 1, dtype=np.int64)
-            at = np.flatnonzero(np.isin(value, twice))
             np.add.at(cover, at, 1)
             np.add.at(cover, at + WINDOW, -1)
             repeated = int(np.count_nonzero(np.cumsum(cover[:-1])))
@@ -72,9 +84,10 @@ def counts(view: memoryview) -> tuple[int, ...]:
     begin = np.concatenate([[0], breaks + 1])
     stop = np.concatenate([breaks, [len(data)]])
     worded = np.searchsorted(starts, stop, side="left") > np.searchsorted(starts, begin, side="left")
-    lines = hashes(data, begin[worded], stop[worded])
+    raw = bytes(view)
+    lines = [raw[a:b] for a, b in zip(begin[worded].tolist(), stop[worded].tolist(), strict=True)]
     return (
-        n, len(data) - blanks - int(kinds[6]), int(kinds[1]), len(lines) - len(np.unique(lines)), repeated, len(lines),
+        n, len(data) - blanks - int(kinds[6]), int(kinds[1]), len(lines) - len(set(lines)), repeated, len(lines),
         len(np.unique(word)), int(kinds[2]), int(kinds[2] + kinds[3]), int(kinds[4]), int(kinds[5]),
     )
 

@@ -1,9 +1,9 @@
 """Exact encoding of whole texts by way of chunks that stand alone.
 
 A text is cut only where its tokenizer always has a token border and looks at nothing beyond it, so each chunk can be
-encoded by itself. Ids of chunks met before come from a table in numpy arrays, keyed by a 64-bit hash of the chunk's
-bytes; new chunks go through the tokenizer. The table is bounded and starts afresh when full, so results never
-depend on what it holds.
+encoded by itself. Ids of chunks met before come from a table in numpy arrays, which compares the chunks' bytes; new
+chunks go through the tokenizer. The table is bounded and starts afresh when full, so results never depend on what
+it holds.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .common import utf8_rows
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Slots of a worker's table (a power of two) and the chunks it holds at most.
-SLOTS, MAX_CHUNKS = 1 << 21, 1 << 20
+#: The chunks that a worker's table holds at most, and their bytes.
+MAX_CHUNKS, MAX_BYTES = 1 << 20, 1 << 25
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 1 << 20
 
@@ -75,79 +75,67 @@ def piece_cuts(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class ChunkTable:
-    """Ids by chunk hash, with open addressing in numpy arrays."""
+    """Ids of chunks. Those of up to ``words.LONGEST`` bytes are kept in a table that compares their bytes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], slots: int = SLOTS, most: int = MAX_CHUNKS):
-        self.encode, self.most, self.mask = encode, most, np.uint64(slots - 1)
-        self.keys = np.zeros(slots, dtype=np.uint64)
-        self.entry = np.zeros(slots, dtype=np.int32)
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], most: int = MAX_CHUNKS):
+        self.encode, self.table = encode, words.SpanTable(most, MAX_BYTES)
         self.clear()
 
     def clear(self) -> None:
-        self.keys[:] = 0
-        self.n = self.used = 0
+        self.table.clear()
+        self.used = 0
         self.offset = np.zeros(1 << 12, dtype=np.int64)
         self.ids = np.zeros(1 << 14, dtype=np.uint32)
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """The entry of each key, -1 where there is none."""
-        out = np.full(len(key), -1, dtype=np.int32)
-        at = np.arange(len(key))
-        slot = key & self.mask
-        while len(at):
-            have = self.keys[slot]
-            hit = have == key
-            out[at[hit]] = self.entry[slot[hit]]
-            go = ~hit & (have != 0)
-            at, key, slot = at[go], key[go], (slot[go] + np.uint64(1)) & self.mask
-        return out
-
-    def add(self, key: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Distinct new keys with their ids."""
-        size = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
-        need = self.n + len(ids) + 1
+    def add(self, chunks: list[bytes]) -> None:
+        """Distinct chunks that the table has not."""
+        ids = self.encode(chunks)
+        n, need = self.table.n, self.table.n + len(chunks) + 1
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         if need > len(self.offset):
             self.offset = np.concatenate([self.offset, np.zeros(max(need, len(self.offset)), dtype=np.int64)])
         if self.used + int(size.sum()) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(int(size.sum()), len(self.ids)), dtype=np.uint32)])
-        self.offset[self.n + 1 : need] = self.used + np.cumsum(size)
-        if len(ids):
-            flat = np.concatenate(ids).astype(np.uint32)
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-        number = np.arange(self.n, self.n + len(ids), dtype=np.int32)
-        self.n += len(ids)
-        slot = key & self.mask
-        while len(key):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = key[free]  # of several for one slot the last stays
-            won = free & (self.keys[slot] == key)
-            self.entry[slot[won]] = number[won]
-            key, number, slot = key[~won], number[~won], (slot[~won] + np.uint64(1)) & self.mask
+        self.offset[n + 1 : need] = self.used + np.cumsum(size)
+        self.ids[self.used : self.offset[need - 1]] = np.concatenate(ids)
+        self.used = int(self.offset[need - 1])
+        self.table.add(chunks)
 
     def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in order, and where each chunk's begin (one more offset than chunks)."""
-        key = np.maximum(words.hashes(data, starts, ends), np.uint64(1))
-        entry = self.find(key)
-        lost = np.flatnonzero(entry < 0)
+        entry = np.full(len(starts), -1, dtype=np.int32)
+        short = np.flatnonzero(ends - starts <= words.LONGEST)
+        entry[short] = self.table.find(data, starts[short], ends[short])
+        lost = short[entry[short] < 0]
+        raw = data.tobytes() if len(lost) or len(short) < len(starts) else b""
+
+        def bytes_of(at: np.ndarray) -> list[bytes]:
+            return [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+
         if len(lost):
-            new, first = np.unique(key[lost], return_index=True)
-            if self.n + len(new) > self.most:
+            held = bytes_of(lost)
+            new = list(dict.fromkeys(held))
+            if self.table.full(len(new)):
                 self.clear()
-                new, first = np.unique(key, return_index=True)
-                lost = np.arange(len(key))
-            at = lost[first]
-            raw = data.tobytes()
-            if len(new) > self.most:  # one very long batch: no table
-                ids = self.encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-                return np.concatenate(ids).astype(np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-            self.add(new, self.encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-            entry[lost] = self.find(key[lost])
-        size = self.offset[entry + 1] - self.offset[entry]
+                lost, held = short, bytes_of(short)
+                entry[:] = -1
+                new = list(dict.fromkeys(held))
+            if not self.table.full(len(new)):
+                number = {chunk: k for k, chunk in enumerate(new, self.table.n)}
+                self.add(new)
+                entry[lost] = [number[chunk] for chunk in held]
+        known = entry >= 0
+        alone = np.flatnonzero(~known)  # long chunks, and all of a batch that the table cannot hold
+        apart = self.encode(bytes_of(alone)) if len(alone) else []
+        size = np.where(known, self.offset[entry + 1] - self.offset[entry], 0)
+        size[alone] = [len(x) for x in apart]
         border = np.zeros(len(entry) + 1, dtype=np.int64)
         np.cumsum(size, out=border[1:])
-        from_ = np.repeat(self.offset[entry] - border[:-1], size)
-        return self.ids[from_ + np.arange(border[-1])], border
+        from_ = np.repeat(np.where(known, self.offset[entry], 0) - border[:-1], size) + np.arange(border[-1])
+        out = self.ids[np.minimum(from_, len(self.ids) - 1)]
+        for at, x in zip(alone.tolist(), apart, strict=True):
+            out[border[at] : border[at + 1]] = x
+        return out, border
 
 
 class TextEncoder:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, keep_rows, slices, small_batches
 from .ftrl import Ftrl
-from .words import hashes
+from .words import word_values
 
 FEATURE_BITS = 18
 #: Lengths (in bytes) of the word beginnings that are features.
@@ -46,10 +46,10 @@ def features(text: str | None) -> np.ndarray:
     inside[1:-1] = _WORD_BYTE[data]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[0::2], edges[1::2]
-    found = [hashes(data, starts, ends)]
-    for k, size in enumerate(STEMS):
+    found = [word_values(data, starts, ends)]
+    for size in STEMS:
         longer = ends - starts > size
-        found.append(hashes(data, starts[longer], starts[longer] + size) ^ np.uint64(k + 1))
+        found.append(word_values(data, starts[longer], starts[longer] + size))
     return np.unique(np.concatenate(found) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
 
 

@@ -33,6 +33,32 @@ def test_counts(seed):
     assert quality.counts(memoryview(text.encode()))[:5] == brute(text)
 
 
+def test_counts_of_words_that_a_polynomial_confuses():
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        text = "\n".join([f"{word} a b c d", f"{other} a b c d", word, other, word])
+        assert quality.counts(memoryview(text.encode()))[:5] == brute(text)
+
+
+def test_windows_whose_values_agree(monkeypatch):
+    monkeypatch.setattr(quality, "runs_of", lambda word, width, key: np.zeros(len(word) - width + 1, dtype=np.uint64))
+    for text in ("a b c d e f g h", "a b c d e a b c d e f", "x x x x x x x"):
+        assert quality.counts(memoryview(text.encode()))[4] == brute(text)[4]
+
+
+def test_the_expression_decides_as_the_rules_do(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((400, len(quality.STATISTICS))), 2)
+    rules = quality.learn(x, (x[:, 2] > 0.7) | (x[:, 4] < 0.2))
+    frame = spark.createDataFrame(x.tolist(), [f"{c}" for c in quality.STATISTICS])
+    said = np.zeros(len(x), dtype=bool)
+    for rule in rules:
+        said |= quality._covers(rule, x)
+    assert len(rules) > 1 and [r.kept for r in frame.select(quality.verdict(rules).alias("kept")).collect()] == (~said).tolist()
+
+
 def test_rules_are_found():
     rng = np.random.default_rng(1)
     x = rng.random((3000, len(quality.STATISTICS)))

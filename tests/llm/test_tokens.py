@@ -14,6 +14,12 @@ from strandlake.llm.tokens import library_encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TEXTS = ["", " ", "  a  b ", "\n\n x  y 　 z  ", "it's  a\t b\n c 'S  é é \x1c q", " <|endoftext|> x <s> <0x41>", "a  b   ", "▁ a▁ b ▁▁ c▁▁ ", "日本語 😀 text\x00x", "Ünïcode “quotes” 12345 foo_bar—baz", "é Å  x  y", " lead", "x" * 3000]
+#: Words of which a polynomial hash modulo 2**64 cannot tell each other apart, and words longer than a table keeps.
+THUE = ["a"]
+while len(THUE[-1]) < 2048:
+    THUE.append(THUE[-1] + THUE[-1].translate(str.maketrans("ab", "ba")))
+THUE = [w for t in THUE[3:] for w in (t, t.translate(str.maketrans("ab", "ba")))]
+TEXTS += [*THUE, " ".join(THUE), " ".join(reversed(THUE)), "long" * 20000 + " word"]
 
 
 def random_texts(seed, n):
