@@ -10,21 +10,31 @@
    components are candidate clusters. Equal sets are one set here, whatever the number of their copies.
 4. Within a cluster sketches are compared again, nearest first, and a pair is verified on its sets unless it is in one
    component already; components join the verified links.
-A gathering or cluster beyond a fixed size is dealt into blocks, and each pair of blocks is a task of its own, which
-returns at most one pair for each of its sets. No pair is left out, and none is written out for being in a group.
+A gathering or cluster beyond a fixed size is dealt into blocks. Its sets are first compared with a few pivots, block by
+block; what hangs together by then needs no further comparison, and only the sets that stay loose meet all blocks, a
+pair of blocks a task. A task returns at most one pair for each of its sets. No pair that could add a link is left out,
+and none is written out for being in a group.
+
+Shingles are 64-bit values under a key that is drawn for each run, so texts cannot be made to collide; a set's identity
+is a digest of 128 bits, and links are checked on the sets themselves.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words it has the empty set and is linked
-with nothing; a null id is linked with nothing; repeated rows have equal sets; an empty table gives an empty result.
+with nothing; a null id is linked with nothing and has a null component; repeated rows have equal sets, and rows with one
+id but other texts are documents of their own; texts of any length are read whole; of a component's ids the least is its
+name, so there are no ties; only the id and text columns are read, so further columns cannot clash; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import secrets
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, small_batches, utf8_rows
@@ -38,11 +48,13 @@ POPULAR = 64
 #: Shingles that one block of a large cluster holds, about.
 BLOCK_SHINGLES = 1_000_000
 #: Sets of such a block, about.
-BLOCK_SETS = 4000
+BLOCK_SETS = 2000
+#: Sets of a large group that all others are compared with first, about, and how often pivots are drawn.
+PIVOTS, PIVOT_ROUNDS = 16, 2
 #: Bits of the widest whole sketch.
 WIDEST = 1 << 13
-#: Bits of the maps that spare rows a shuffle; larger inputs only pass more rows.
-FILTER_BITS = 1 << 25
+#: Bits of the widest maps that spare rows a shuffle; where more values are to be marked, a join does without.
+FILTER_BITS = 1 << 26
 
 
 def most_apart(total: int, t: Fraction) -> int:
@@ -96,12 +108,12 @@ def folded(sketches: list[bytes], width: int) -> np.ndarray:
     return np.stack(rows)
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A 64-bit identity of a set, as a signed integer; 0 for the empty set."""
+def set_id(tokens: np.ndarray) -> tuple[int, int]:
+    """A set's identity of 128 bits, as two signed integers; zeros for the empty set."""
     if not len(tokens):
-        return 0
-    count = np.array([len(tokens)], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return int(mix(mix(tokens).sum(keepdims=True) + count).view(np.int64)[0]) or 1
+        return 0, 0
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def word_keys(tokens: np.ndarray, t: Fraction, popular: np.ndarray | None = None) -> np.ndarray:
@@ -140,20 +152,23 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def set_table(texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch) per document."""
+def set_table(texts: DataFrame, size: int, key: int = 0) -> DataFrame:
+    """(doc_id, n_shingles, set_id, set_check, sketch) per document; set_id and set_check are the set's identity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 512):
-                sets = [shingle_set(v, size) for v in utf8_rows(part.column(1))]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([whole_sketch(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "sketch"])
+                rows = []
+                for v in utf8_rows(part.column(1)):
+                    s = shingle_set(v, size, key)
+                    rows.append((len(s), *set_id(s), whole_sketch(s)))
+                columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_shingles", "set_id", "set_check", "sketch"])
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_id long, set_check long, sketch binary")
 
 
-def key_table(texts: DataFrame, size: int, t: Fraction, only: np.ndarray | None = None, popular: np.ndarray | None = None) -> DataFrame:
+def key_table(texts: DataFrame, size: int, t: Fraction, only: np.ndarray | None = None, popular: np.ndarray | None = None, key: int = 0) -> DataFrame:
     """(key, set_id) for the words of all sketches; equal sets give equal rows. ``only``: a bit map of the keys wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,20 +176,27 @@ def key_table(texts: DataFrame, size: int, t: Fraction, only: np.ndarray | None
             for part in slices(batch, 256):
                 keys, ids = [], []
                 for v in utf8_rows(part.column(1)):
-                    s = shingle_set(v, size)
+                    s = shingle_set(v, size, key)
                     k = word_keys(s, t, popular)
                     k = k if only is None else k[in_bit_map(only, k)]
                     if len(k):
                         keys.append(k)
-                        ids.append(np.full(len(k), set_id(s), dtype=np.int64))
+                        ids.append(np.full(len(k), set_id(s)[0], dtype=np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "set_id"])
 
     return texts.mapInArrow(run, "key long, set_id long")
 
 
-def bit_map(values: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A map of fixed size with the bit of each value (its low bits) set, for filters with false positives only."""
+def bit_map(values: DataFrame, column: str, most_bits: int = FILTER_BITS) -> np.ndarray | None:
+    """A map with the bit of each value (its low bits) set, for filters with false positives only.
+
+    It has at least four bits a value; None where that would be more than ``most_bits``.
+    """
+    n = values.count()
+    bits = max(1 << 20, 1 << (4 * n).bit_length())
+    if bits > most_bits:
+        return None
     low = F.col(column).bitwiseAND(F.lit(bits - 1))
     rows = values.groupBy(F.shiftright(low, 15).alias("bucket")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("map")).collect()
     out = np.zeros(bits // 8, dtype=np.uint8)
@@ -188,49 +210,93 @@ def in_bit_map(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((table[low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def gatherings(texts: DataFrame, size: int, t: Fraction) -> DataFrame:
+def popular_keys(shared: DataFrame, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """A map of the keys that more than ``POPULAR`` documents have, or of those of a border so much higher that they fit."""
+    border = POPULAR
+    while (found := bit_map(shared.filter(F.col("n") > border), "key", most_bits)) is None:
+        border *= 4
+    return found
+
+
+def gatherings(texts: DataFrame, size: int, t: Fraction, key: int = 0) -> DataFrame:
     """Rows (set_id, hub): each set that has a word in common with others, and the least set that has this word.
 
     Keys are aggregated first. The few that two sets share then pick their rows through a bit map and a join, in which
     a frequent key meets a single row and can be dealt to several tasks. Popular keys, as of passages that many documents
     share, then have rows of those sets only that cannot do without.
     """
-    found = key_table(texts, size, t).groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top"), F.count("*").alias("n")).filter("hub < top").select("key", "hub", "n")
+    found = key_table(texts, size, t, key=key).groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top"), F.count("*").alias("n")).filter("hub < top").select("key", "hub", "n")
     shared = materialize(found, "shared")
-    again = key_table(texts, size, t, bit_map(shared, "key"), bit_map(shared.filter(F.col("n") > POPULAR), "key"))
+    again = key_table(texts, size, t, bit_map(shared, "key"), popular_keys(shared), key)
     return again.join(shared, "key").select("set_id", "hub").distinct()
 
 
-def _blocked(rows: DataFrame, group: str, weight: str, most_weight: int, most_rows: int) -> DataFrame:
-    """Adds own, x and y: the block of a row and the pair of blocks that a task compares; a row goes to as many tasks as its group has blocks."""
+def _place(*columns: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.greatest(F.col(blocks), F.lit(1))).cast("int")
+
+
+def links_in_groups(rows: DataFrame, group: str, weight: str, most_weight: int, most_rows: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that connect, over all groups, whatever rows of one group should be connected.
+
+    rows: node, ``group``, ``weight`` and what ``compare`` reads; a written table. ``compare`` gets them with own, x and y: a
+    task (group, x, y) with x = y compares all its rows, others compare rows of different ``own`` only. A group that fits
+    one block is one task. Of a larger one each block meets the pivots; then the rows outside the group's main component
+    are loose and meet all blocks. So rows grow with the number of loose rows, not with the square of the group.
+    """
     need = F.greatest(F.ceil(F.sum(weight) / most_weight), F.ceil(F.count("*") / most_rows)).cast("int")
-    # Written first, so that the join below has one plain row per group and can deal a large group to several tasks.
-    blocks = materialize(rows.groupBy(group).agg(need.alias("blocks"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "blocks")
-    return (
-        rows.join(blocks, group)
-        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Written first, so that the joins below have one plain row per group and can deal a large group to several tasks.
+    sizes = materialize(rows.groupBy(group).agg(need.alias("blocks"), F.count("*").alias("n")).filter("n > 1"), "blocks")
+    small = rows.join(sizes.filter("blocks = 1").select(group), group).withColumns({"own": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
+    edges = materialize(compare(small), "links")
+    if sizes.filter("blocks > 1").isEmpty():
+        return edges
+    big = rows.join(sizes.filter("blocks > 1"), group)
+    state = materialize(big.select("node", group, weight, "blocks", F.col("n").alias("loose_rows"), F.lit(True).alias("loose")), "loose")
+    known = rows.drop(group, weight)
+    for turn in range(PIVOT_ROUNDS):
+        own = _place("node", blocks="blocks")
+        members = state.withColumns({"own": own, "x": F.lit(-1), "y": own})
+        drawn = F.col("loose") & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("loose_rows")) < PIVOTS)
+        pivots = state.filter(drawn).withColumns({"own": F.lit(-1), "x": F.lit(-1), "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+        tasks = members.unionByName(pivots).drop("blocks", "loose_rows", "loose").join(known.dropDuplicates(["node"]), "node")
+        edges = edges.unionByName(materialize(compare(tasks), "links"))
+        labelled = state.drop("loose", "loose_rows").join(components(edges), "node", "left").withColumn("label", F.coalesce("component", "node"))
+        counted = labelled.groupBy(group, "label").count()
+        mains = counted.groupBy(group).agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("loose_rows")).filter("loose_rows > 0")
+        state = materialize(labelled.join(materialize(mains, "mains"), group).withColumn("loose", F.col("label") != F.col("main")).drop("label", "main", "component"), "loose")
+        if state.filter(F.col("loose_rows") > most_rows).isEmpty():
+            break
+    both = [F.greatest(F.ceil(F.sum(F.when(c, F.col(weight))) / most_weight), F.ceil(F.count_if(c) / most_rows)).cast("int") for c in (F.col("loose"), ~F.col("loose"))]
+    blocks = materialize(state.groupBy(group).agg(both[0].alias("free"), both[1].alias("tied")), "blocks")
+    dealt = (
+        state.drop("blocks", "loose_rows").join(blocks, group)
+        .withColumn("own", F.when(F.col("loose"), _place("node", blocks="free")).otherwise(F.col("free") + _place("node", blocks="tied")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("loose"), F.col("free") + F.col("tied")).otherwise(F.col("free")) - 1)))
         .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        .drop("other", "blocks")
-    )
+        .drop("other", "free", "tied", "loose")
+    )
+    return edges.unionByName(materialize(compare(dealt.join(known.dropDuplicates(["node"]), "node")), "links"))
 
 
 def near_edges(gathered: DataFrame, sets: DataFrame, t: Fraction, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """Edges (a, b) of forests over the pairs of each gathering whose sketches are near enough to be linked."""
-    rows = gathered.join(sets.select("set_id", "n_shingles", "sketch"), "set_id")
-    dealt = _blocked(rows, "hub", "n_shingles", 1 << 40, block_sets)
+    """Edges (a, b) over set_id of forests over the pairs of each gathering whose sketches are near enough to be linked."""
+    known = sets.select("set_id", "n_shingles", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("hub", "x", "y")):
             x = group["x"][0]
             side = None if x == group["y"][0] else [o == x for o in group["own"]]
-            links = connecting(group["set_id"], group["n_shingles"], group["sketch"], t, side)
+            links = connecting(group["node"], group["n_shingles"], group["sketch"], t, side)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
 
-    parts = int(gathered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(parts, "hub", "x", "y").sortWithinPartitions("hub", "x", "y", "own", "set_id")
-    return ordered.select("hub", "x", "y", "own", "set_id", "n_shingles", "sketch").mapInArrow(run, "a long, b long")
+    def compare(tasks: DataFrame) -> DataFrame:
+        parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        whole = tasks.join(known.withColumnRenamed("set_id", "node"), "node").select("hub", "x", "y", "own", "node", "n_shingles", "sketch")
+        return whole.repartition(parts, "hub", "x", "y").sortWithinPartitions("hub", "x", "y", "own", "node").mapInArrow(run, "a long, b long")
+
+    rows = gathered.select(F.col("set_id").alias("node"), "hub", F.lit(0).alias("weight"))
+    return links_in_groups(rows, "hub", "weight", 1, block_sets, compare)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[dict[str, list]]:
@@ -307,9 +373,8 @@ def connecting(ids: list[int], n: list[int], sketches: list[bytes], t: Fraction,
     return links
 
 
-def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fraction, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """Verified links (a, b) between sets; members: doc_id, set_id, cluster, n_shingles, one document per set."""
-    dealt = _blocked(members.select("doc_id", "set_id", "cluster", "n_shingles"), "cluster", "n_shingles", block_shingles, block_sets).drop("n_shingles")
+def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fraction, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS, key: int = 0) -> DataFrame:
+    """Verified links (a, b) between nodes; members: node, doc_id, set_id, set_check, cluster, n_shingles, one node per set; a written table."""
     wanted = bit_map(members, "doc_id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,35 +382,47 @@ def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fracti
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(in_bit_map(wanted, ids)))
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        x, y = key[1].as_py(), key[2].as_py()
-        table = table.sort_by([("own", "ascending"), ("set_id", "ascending")])
-        found = zip(table.column("set_id").to_pylist(), table.column("own").to_pylist(), (shingle_set(v, size) for chunk in table.column("text").chunks for v in utf8_rows(chunk)), strict=True)
-        rows = [r for r in found if set_id(r[2]) == r[0]]  # ids may repeat with other texts
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        x, y = group[1].as_py(), group[2].as_py()
+        table = table.sort_by([("own", "ascending"), ("node", "ascending")])
+        sets = (shingle_set(v, size, key) for chunk in table.column("text").chunks for v in utf8_rows(chunk))
+        found = zip(*(table.column(c).to_pylist() for c in ("node", "own", "set_id", "set_check")), sets, strict=True)
+        rows = [(node, own, s) for node, own, *identity, s in found if set_id(s) == tuple(identity)]  # ids may repeat with other texts
+        rows = [r for k, r in enumerate(rows) if not k or rows[k - 1][:2] != r[:2]]
         side = None if x == y else [r[1] == x for r in rows]
         sets = [r[2] for r in rows]
         links = connecting([r[0] for r in rows], [len(s) for s in sets], [whole_sketch(s) for s in sets], t, side, sets)
         return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
 
-    rows = texts.mapInArrow(pick, texts.schema).join(dealt, "doc_id").select("set_id", "cluster", "own", "x", "y", "text")
-    return rows.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
+    picked = texts if wanted is None else texts.mapInArrow(pick, texts.schema)
+
+    def compare(tasks: DataFrame) -> DataFrame:
+        rows = picked.join(tasks, "doc_id").select("node", "cluster", "own", "x", "y", "set_id", "set_check", "text")
+        return rows.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
+
+    return links_in_groups(members.select("node", "cluster", "n_shingles", "doc_id", "set_id", "set_check"), "cluster", "n_shingles", block_shingles, block_sets, compare)
 
 
 def linked_components(docs: DataFrame, size: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per document; component_id is the least doc_id reachable by links of at least ``t``."""
     small_batches(docs.sparkSession)
+    key, same = secrets.randbits(64), ["set_id", "set_check"]
     texts = _texts(docs, id_col, text_col)
-    sets = materialize(set_table(texts, size), "sets")
-    first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    gathered = materialize(gatherings(texts, size, t), "gatherings")
-    distinct = sets.filter("n_shingles > 0").dropDuplicates(["set_id"])
+    sets = materialize(set_table(texts, size, key), "sets")
+    first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    gathered = materialize(gatherings(texts, size, t, key), "gatherings")
+    distinct = sets.filter("n_shingles > 0").dropDuplicates(same)
     clusters = components(near_edges(gathered, distinct, t)).withColumnsRenamed({"node": "set_id", "component": "cluster"})
-    members = materialize(clusters.join(first, "set_id"), "members")
-    groups = components(links_in_clusters(texts, members, size, t)).withColumnsRenamed({"node": "set_id", "component": "grp"})
-    named = groups.join(first, "set_id").groupBy("grp").agg(F.min("doc_id").alias("component_id"))
+    # Different sets whose first 64 bits agree have one name up to here; they are candidates too.
+    alike = first.groupBy("set_id").count().filter("count > 1").select("set_id", F.col("set_id").alias("cluster"))
+    clusters = clusters.unionByName(alike.join(clusters, "set_id", "left_anti"))
+    members = materialize(clusters.join(first, "set_id").withColumn("node", F.monotonically_increasing_id()), "members")
+    groups = components(links_in_clusters(texts, members, size, t, key=key)).withColumnRenamed("component", "grp")
+    linked = members.join(groups, "node").select(*same, "doc_id", "grp")
+    named = linked.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
+    by_set = first.select(*same, F.col("doc_id").alias("least")).join(linked.drop("doc_id"), same, "left").join(named, "grp", "left").select(*same, "least", "component_id")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "least")).otherwise(F.col("doc_id"))
-    by_set = first.select("set_id", F.col("doc_id").alias("least")).join(groups, "set_id", "left").join(named, "grp", "left").select("set_id", "least", "component_id")
-    return sets.drop("sketch").join(by_set, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return sets.drop("sketch").join(by_set, same, "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

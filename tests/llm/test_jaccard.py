@@ -58,16 +58,17 @@ def test_same_as_brute_force(spark, size, t):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, size, t)
 
 
-def test_blocks_lose_no_link(spark):
+@pytest.mark.parametrize("far", [0, 25])
+def test_blocks_lose_no_link(spark, far):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(100)]
-    rows = [(i, edited(rng, words, i % 6)) for i in range(60)]
+    rows = [(i, edited(rng, words, i % 6 if i % 5 else far)) for i in range(60)]
     t, size = Fraction(4, 5), 3
     texts = J._texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    sets = J.set_table(texts, size).dropDuplicates(["set_id"])
+    sets = J.set_table(texts, size).dropDuplicates(["set_id"]).cache()
     gathered = sets.select("set_id", F.lit(0).cast("long").alias("hub"))
     near = J.near_edges(gathered, sets, t, block_sets=7)
-    members = sets.select("doc_id", "set_id", "n_shingles", F.lit(0).cast("long").alias("cluster"))
+    members = sets.select(F.col("set_id").alias("node"), "doc_id", "set_id", "set_check", "n_shingles", F.lit(0).cast("long").alias("cluster"))
     links = J.links_in_clusters(texts, members, size, t, block_shingles=500, block_sets=7)
     ids = {r.set_id: r.doc_id for r in sets.collect()}
     want = brute(rows, size, t)
@@ -77,6 +78,26 @@ def test_blocks_lose_no_link(spark):
             for b in ids:
                 if want[ids[a]][1] == want[ids[b]][1] and a != b:
                     assert roots[a] == roots[b]
+    groups = {i: {ids[a] for a, root in roots.items() if root == roots[b]} for b, i in ids.items() if b in roots}
+    assert all(want[i][1] == want[j][1] for i, g in groups.items() for j in g)
+
+
+def test_sets_whose_short_identity_agrees(spark, monkeypatch):
+    monkeypatch.setattr(J, "set_id", lambda s: (len(s) // 40, hash(s.tobytes()) >> 1) if len(s) else (0, 0))
+    rows = corpus(3)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.linked_components(texts, 3, Fraction(9, 10)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, Fraction(9, 10))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    word, rows = "a", []
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) >= 8:
+            rows += [(len(word), word), (len(word) + 1, word.translate(str.maketrans("ab", "ba")))]
+    got = J.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(9, 10)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
 
 
 def test_keys_meet(spark):
