@@ -1,15 +1,18 @@
 """Reply trees to formatted conversations.
 
-Messages (tree, node, parent, score, role, text) form forests. Self-joins that double their reach each time give every
-message its depth and the score of its path from the root; of each tree's leaves the best are chosen, and the same
-tables give the messages of each chosen path. A path becomes one text with marked turns and the spans of the
-assistant's words, for a loss mask.
+Messages (tree, node, parent, score, role, text) form forests. Nodes are numbered over all trees; self-joins that double
+their reach each time give every node its depth and the score of its path from the root; of each tree's leaves the best
+are chosen, and the same tables give the nodes of each chosen path. A path becomes one text with marked turns and the
+spans of the assistant's words, for a loss mask.
 
 Control strings inside texts are escaped reversibly: of ``<``, any number of backslashes and ``|`` the backslashes
 become one more, so no text holds ``<|``; roles have backslashes and line ends escaped too.
 
-Defined cases: null texts and roles are empty; a missing parent makes a root; a null tree is a tree of its own; ties of
-score go to the lesser leaf; repeated turns follow each other by role and text; a cycle raises RuntimeError.
+Defined cases: null texts and roles are empty, a null score is 0; a null or missing parent makes a root; a null tree is a
+tree of its own, and the messages of a tree without a node id are one node, which nothing replies to. Rows that repeat a
+node are turns of that node, by role and text; the least of their parents counts, and the mean of their scores. Ties of
+score go to the lesser leaf, a null one first. Texts of any length are formatted whole. An empty table gives no paths; only the named columns are read, so further ones cannot
+clash. A cycle raises RuntimeError.
 """
 
 from __future__ import annotations
@@ -70,22 +73,26 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
-    found = F.lit(True)
-    for x, y in pairs:
-        found = found & (a[x] == b[y])
-    return found
+def _names(a: DataFrame, b: DataFrame) -> Column:
+    return a["tree"].eqNullSafe(b["tree"]) & a["node"].eqNullSafe(b["node"])
 
 
-def reach_tables(messages: DataFrame, most: int = 40) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (tree, node, anc, gain, size) for reaches of 1, 2, 4, ... replies, and one of all messages that reach their root.
+def node_table(messages: DataFrame) -> DataFrame:
+    """(id, tree, node, parent, gain): one row per node, with a number that is unique over all trees."""
+    score = F.avg(F.coalesce("score", F.lit(0.0)).cast("double"))
+    nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), score.alias("gain"))
+    return materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
-    ``anc`` is so many replies up; gain and size sum over the messages below it. Messages that reach beyond their root
-    go over to the last table, so each round joins only those on longer paths.
+
+def reach_tables(nodes: DataFrame, most: int = 40) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (id, anc, gain, size) for reaches of 1, 2, 4, ... replies, and one of all nodes that reach their root.
+
+    ``anc`` is so many replies up; gain and size sum over the nodes below it. Nodes that reach beyond their root go over
+    to the last table, so each round joins only those on longer paths.
     """
-    own = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("gain"))
-    there = own.select("tree", F.col("node").alias("parent")).distinct().withColumn("there", F.lit(True))
-    first = own.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("anc"), "gain", F.lit(1).cast("long").alias("size"))
+    above = nodes.select("tree", F.col("node").alias("parent"), F.col("id").alias("anc"))
+    meet = nodes["tree"].eqNullSafe(above["tree"]) & (nodes["parent"] == above["parent"])
+    first = nodes.join(above, meet, "left").select("id", "anc", "gain", F.lit(1).cast("long").alias("size"))
     levels, now = [], materialize(first, "reach")
     ended = now.filter("anc is null")
     while True:
@@ -95,32 +102,36 @@ def reach_tables(messages: DataFrame, most: int = 40) -> tuple[list[DataFrame],
         if len(levels) > most:
             raise RuntimeError("the replies form a cycle")
         levels.append(active)
-        b = active.unionByName(ended).select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("gain").alias("more"), F.col("size").alias("longer"))
-        step = active.join(b, ["tree", "anc"]).select("tree", "node", F.col("far").alias("anc"), (F.col("gain") + F.col("more")).alias("gain"), (F.col("size") + F.col("longer")).alias("size"))
+        b = active.unionByName(ended).select(F.col("id").alias("anc"), F.col("anc").alias("far"), F.col("gain").alias("more"), F.col("size").alias("longer"))
+        step = active.join(b, "anc").select("id", F.col("far").alias("anc"), (F.col("gain") + F.col("more")).alias("gain"), (F.col("size") + F.col("longer")).alias("size"))
         now = materialize(step, "reach")
         ended = ended.unionByName(now.filter("anc is null"))
 
 
-def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(tree, leaf, branch, path_score, node, depth) for every message on the ``branches`` best root-to-leaf paths of each tree.
+def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
+    """(tree, leaf, branch, path_score, id, depth) for every node on the ``branches`` best root-to-leaf paths of each tree.
 
-    A path's score is the mean score of its messages. messages: tree, node, parent (long), score.
+    A path's score is the mean score of its nodes. ``nodes`` comes from ``node_table``.
     """
-    levels, ended = reach_tables(messages)
-    ends = ended.select("tree", "node", (F.col("gain") / F.col("size")).alias("path_score"))
-    leaves = ends.join(messages.filter("parent is not null").select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "node"))
-    paths = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches).select("tree", F.col("node").alias("leaf"), "branch", "path_score", "node")
+    levels, ended = reach_tables(nodes)
+    ends = ended.withColumn("path_score", F.col("gain") / F.col("size")).select("id", "path_score")
+    if levels:
+        ends = ends.join(levels[0].select(F.col("anc").alias("id")), "id", "left_anti")
+    leaves = ends.join(nodes.select("id", "tree", F.col("node").alias("leaf")), "id")
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))
+    paths = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches)
     for level in reversed(levels):  # long reaches first, so paths grow only in the last steps
-        both = paths.join(level.select("tree", "node", "anc"), ["tree", "node"], "left").withColumn("node", F.explode(F.array_compact(F.array("node", "anc"))))
-        paths = both.select("tree", "leaf", "branch", "path_score", "node")
-    return paths.join(ended.select("tree", "node", (F.col("size") - 1).alias("depth")), ["tree", "node"])
+        both = paths.join(level.select("id", "anc"), "id", "left").withColumn("id", F.explode(F.array_compact(F.array("id", "anc"))))
+        paths = both.select("tree", "leaf", "branch", "path_score", "id")
+    return paths.join(ended.select("id", (F.col("size") - 1).alias("depth")), "id")
 
 
 def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """One row per chosen path: tree, leaf, branch, n_turns, formatted, loss_spans (from, to in code points)."""
+    """One row per chosen path: tree, leaf, branch, formatted, loss_spans (from, to in code points)."""
+    nodes = node_table(messages)
     texts = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = best_paths(messages, branches).join(texts, ["tree", "node"])
+    known = nodes.select("tree", "node", "id")
+    turns = best_paths(nodes, branches).join(texts.join(known, _names(texts, known)).select("id", "role", "text"), "id")
     whole = turns.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +147,16 @@ def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def conversation_messages(conversations: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as messages; each turn replies to the one before.
 
-    Conversation -1 is added, whose texts hold control strings. A null conv_id takes the tree number of its own null.
+    Conversation -1 is added, whose texts hold control strings; rows that have this id already stand among its turns. Rows
+    with a null conv_id are one conversation. Equal turns follow each other by role and text, a null turn comes first.
     """
     spark = conversations.sparkSession
     hostile = f"{END}{START}assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).unionByName(more)
-    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    # Joins need a tree number that is not null: that of a null conv_id is one that no id has here.
-    numbered = rows.withColumn("node", order).withColumn("tree", F.coalesce("conv_id", F.lit(-(1 << 62))))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+    rows = rows.unionByName(more.withColumnRenamed("conv_id", "tree"))
+    order = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("long")
+    numbered = rows.withColumn("node", order)
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
@@ -158,7 +170,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             for tree, text, spans in zip(*(batch.column(c).to_pylist() for c in ("tree", "formatted", "loss_spans")), strict=True):
                 turns = parse_turns(text)
                 loss = "".join(unescape(text[a:b]) for a, b in zip(spans[::2], spans[1::2], strict=True))
-                rows.append((None if tree == -(1 << 62) else tree, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+                rows.append((tree, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string() if "sha" in n else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 

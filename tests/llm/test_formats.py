@@ -149,4 +149,47 @@ def test_reply_trees(spark):
     assert got == {(1, 1): (4, ["a", "c", "d"]), (1, 2): (5, ["a", "b", "e"]), (2, 1): (9, [""])}
     loop = spark.createDataFrame([(1, 1, 2, 0.0, "u", "a"), (1, 2, 1, 0.0, "u", "b")], m.schema)
     with pytest.raises(RuntimeError):
-        chat.reach_tables(loop, most=3)
+        chat.reach_tables(chat.node_table(loop), most=3)
+    assert chat.format_paths(m.limit(0)).count() == 0
+
+
+def naive_paths(rows, branches):
+    """The chosen paths of a forest, walked up from each leaf."""
+    nodes = {}
+    for tree, node, parent, score, role, text in rows:
+        nodes.setdefault((tree, node), []).append((parent, score or 0.0, role or "", text or ""))
+    parent = {k: min((p for p, *_ in v if p is not None), default=None) for k, v in nodes.items()}
+    up = {k: (k[0], p) if p is not None and (k[0], p) in nodes else None for k, p in parent.items()}
+    least = lambda x: (x is not None, x or 0)
+    out = {}
+    for tree in {k[0] for k in nodes}:
+        found = []
+        for leaf in (k for k in nodes if k[0] == tree and k not in up.values()):
+            path = [leaf]
+            while up[path[-1]] is not None:
+                path.append(up[path[-1]])
+            score = sum(sum(s for _, s, *_ in nodes[k]) / len(nodes[k]) for k in path) / len(path)
+            found.append((-score, least(leaf[1]), leaf[1], [t for k in reversed(path) for t in sorted((r, x) for _, _, r, x in nodes[k])]))
+        for branch, (_, _, leaf, turns) in enumerate(sorted(found, key=lambda x: x[:2])[:branches], 1):
+            out[tree, branch] = (leaf, turns)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_forests(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for tree in (None, 0, -(1 << 62), -1, 7):
+        for node in range(rng.randrange(1, 14)):
+            parent = rng.choice([None, node - 1, rng.randrange(node), 99]) if node else None
+            rows.append((tree, node, parent, rng.choice([None, 0.0, 1.0, 0.5]), rng.choice([None, "user", "assistant"]), rng.choice([None, *HOSTILE])))
+        rows += [rng.choice(rows), (tree, None, 0, 1.0, "user", "nameless"), (tree, None, None, 0.0, "user", "nameless too")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "tree long, node long, parent long, score double, role string, text string, id string, depth int")
+    got = {(r.tree, r.branch): (r.leaf, chat.parse_turns(r.formatted)) for r in chat.format_paths(frame, 2).collect()}
+    assert got == naive_paths(rows, 2)
+
+
+def test_conversations_with_odd_ids(spark):
+    rows = [(c, t, "user", f"{c} {t}") for c in (None, -1, -(1 << 62), 0) for t in (0, 1)] + [(5, 0, "assistant", "very long " * 200_000)]
+    got = {r.conv_id: r for r in chat.round_trip(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: v.n_turns for k, v in got.items()} == {None: 2, -1: 4, -(1 << 62): 2, 0: 2, 5: 1} and got[5].loss_chars == 2_000_000
