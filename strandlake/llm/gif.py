@@ -4,7 +4,10 @@ The writer stores bytes as 8-bit samples under a grey palette: rows of ``WIDTH``
 frame with its own delay. The decoder reads any GIF87a or GIF89a stream, interlaced frames included, and yields for
 each frame its samples, its composed picture, its delay and colour histogram.
 
-Defined cases: null or empty data is one row of blanks; equal data gives equal files; damaged files raise ValueError.
+Defined cases: null or empty text is one row of blanks; equal data gives equal files; a text of any length is stored
+whole, in as many frames as it needs; repeated rows are stored each; an empty table gives an empty result; only the id,
+length and media columns are read, so further ones cannot clash. Null media have no frames and null digests; damaged
+files raise ValueError. Pixels with equal colours count in one cell, so histograms have no ties to break.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8_rows
+from .common import materialize, slices, utf8_rows
 
 WIDTH, FRAME_ROWS, DELAY = 192, 256, 4
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
@@ -288,39 +291,58 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+FRAME = {**dict.fromkeys(("frame", "left", "top", "width", "height", "delay_cs", "start_cs", "disposal"), "int"), "samples": "binary", "histogram": "array<long>"}
+
+
+def timed_frames(data: bytes | None) -> Iterator[tuple]:
+    """The values of ``FRAME`` for each frame of a GIF; none for null data."""
+    time = 0
+    for k, f in enumerate(decode_gif(data).frames if data is not None else []):
+        height, width = f.samples.shape
+        yield k, f.left, f.top, width, height, f.delay, time, f.disposal, f.samples.tobytes(), colour_histogram(f.picture).tolist()
+        time += f.delay
+
+
 def frame_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per frame of each GIF: position, size, delay, start time, samples and colour histogram."""
+    types = {"int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([("doc_id", pa.int64()), *((c, types[t]) for c, t in FRAME.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, time = [], 0
-                for k, f in enumerate(decode_gif(data).frames if data else []):
-                    rows.append({"doc_id": doc, "frame": k, "left": f.left, "top": f.top, "width": f.samples.shape[1], "height": f.samples.shape[0], "delay_cs": f.delay, "start_cs": time, "disposal": f.disposal, "samples": f.samples.tobytes(), "histogram": colour_histogram(f.picture).tolist()})
-                    time += f.delay
+                rows = [(doc, *frame) for frame in timed_frames(data)]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int32()) for c in ("frame", "left", "top", "width", "height", "delay_cs", "start_cs", "disposal")), ("samples", pa.binary()), ("histogram", pa.list_(pa.int64()))])
     rows = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, "doc_id long, frame int, left int, top int, width int, height int, delay_cs int, start_cs int, disposal int, samples binary, histogram array<long>")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {t}" for c, t in FRAME.items()))
 
 
 def text_digests(media: DataFrame) -> DataFrame:
-    """Reads what ``store_texts`` made and returns digests of the payload and the file, and a feature string per row."""
+    """Reads what ``store_texts`` made: digests of the payload and the file, a feature string, number, time and colours of the frames."""
+    kinds = {**dict.fromkeys(("doc_id", "n_bytes", "payload_bytes"), "long"), "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "n_frames": "long", "duration_cs": "long", "histogram": "array<long>"}
+    types = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, n, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                frames = decode_gif(data).frames
-                payload = b"".join(f.samples.tobytes() for f in frames)
-                histogram = sum(colour_histogram(f.picture) for f in frames)
-                feature = f"{len(frames)}x{WIDTH};{sum(f.delay for f in frames)}cs;" + ",".join(f"{k}:{c}" for k, c in enumerate(histogram.tolist()) if c)
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                if data is None:
+                    rows.append((doc, n, *[None] * (len(kinds) - 2)))
+                    continue
+                frames = [dict(zip(FRAME, f, strict=True)) for f in timed_frames(data)]
+                payload = b"".join(f["samples"] for f in frames)
+                histogram = np.sum([f["histogram"] for f in frames], axis=0).tolist()
+                time = sum(f["delay_cs"] for f in frames)
+                feature = f"{len(frames)}x{WIDTH};{time}cs;" + ",".join(f"{k}:{c}" for k, c in enumerate(histogram) if c)
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(frames), time, histogram))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=types[t]) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kinds.items()))
+
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.string() if n.endswith("sha256") or n == "feature" else pa.int64() for n in names]
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types, strict=True)))
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Stores all texts as GIFs in a written table, reads that table back and returns the digests."""
+    return text_digests(materialize(store_texts(docs), "media"))

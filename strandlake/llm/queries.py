@@ -38,7 +38,7 @@ def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.text_digests(gif.store_texts(read_table(spark, sf_dir, "documents")))
+    return gif.round_trip(read_table(spark, sf_dir, "documents"))
 
 
 def op7_reply_tree_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
