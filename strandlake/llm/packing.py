@@ -7,7 +7,9 @@ equal pieces and runs of windows in equal state are placed together, which gives
 one by one. Pieces then find their window by their rank among pieces of their length.
 
 Defined cases: null or empty text is the end id alone; an empty table packs to an empty result; repeated rows are
-packed each; only the id and text columns are read, so further columns cannot clash. Equal rows are interchangeable.
+packed each; a text of any length is cut into full windows and a remainder; pieces of equal length, ties of the decision,
+are ranked by id and place, and equal rows are interchangeable; a null id is an id like others; only the id and text
+columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, small_batches
 
 WINDOW = 2048
-#: Groups among which pieces of one length are ranked side by side, so that no length is one task.
-RANK_GROUPS = 64
+#: Pieces of one length that are ranked together, about; a length with more has more groups, so that none is one task.
+RANK_ROWS = 1 << 17
 
 
 class CapacityTree:
@@ -114,9 +116,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
 
 def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``pieces``; ``cut`` is read more than once, so pass a written table."""
-    counted = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_GROUPS)))
+    spark = cut.sparkSession
+    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    # One row per length, of which there are at most ``window``, so it can be sent to all executors.
+    groups = spark.createDataFrame([(length, 1 + n // RANK_ROWS) for length, n in histogram.items()], "length long, groups long")
+    counted = cut.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), "groups"))
     sizes = counted.groupBy("length", "grp").count()
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = np.array(sorted(best_fit_decreasing(histogram, window)), dtype=np.int64).reshape(-1, 6)
     before = sizes.select("length", "grp", (F.sum("count").over(Window.partitionBy("length").orderBy("grp")) - F.col("count")).alias("before"))
     own = Window.partitionBy("length", "grp").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")

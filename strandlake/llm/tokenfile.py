@@ -4,8 +4,9 @@ A file holds ids of many documents in order: a header, blocks of bit-packed ids,
 ids and document starts. A group of eight ids fills ``width`` whole bytes, so packing and unpacking are a few numpy
 steps over all groups of a block, and any range of ids needs only the blocks it touches.
 
-Defined cases: null and empty texts have the end id alone; an empty table writes no documents; rows with equal ids
-stay neighbours, in the order of their texts.
+Defined cases: null and empty texts have the end id alone; an empty table writes no documents; rows with equal ids, which
+are ties of the order, stay neighbours, in the order of their texts; null ids come first; a text of any length goes over
+as many blocks as it needs; only the id and text columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from .common import materialize, shared_dir, slices
 MAGIC = b"SLTOKEN1"
 _HEADER = struct.Struct("<8sIIQQQ")  # magic, width, ids per block, documents, ids, offset of the tables
 BLOCK_IDS = 1 << 16
+#: A file gets no further document beyond so many ids or documents.
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20
+#: Ids of a file that one task reads back, about.
+SPLIT_IDS = 1 << 22
 
 
 def width_of(vocabulary_size: int) -> int:
@@ -142,11 +147,13 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, vocabulary_size: int, end_id: int, partitions: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, append ``end_id`` and write one file per range of ids, in ascending order over the files.
+def write_token_files(
+    docs: DataFrame, folder: str, vocabulary: str, vocabulary_size: int, end_id: int, partitions: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS
+) -> DataFrame:
+    """Encode, append ``end_id`` and write files in ascending order of ids: a range of ids to each task, bounded files to each range.
 
-    Returns the manifest (part, path, n_docs, n_ids, bytes), one row per file. A file's name is new in every attempt,
-    so a task that runs twice leaves a file that no manifest row names.
+    Returns the manifest (part, number, path, n_docs, n_ids, bytes), one row per file. A file's name is new in every
+    attempt, so a task that runs twice leaves files that no manifest row names.
     """
     width = width_of(vocabulary_size)
 
@@ -156,29 +163,42 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, vocabulary_
         from .tokens import library_encoder
 
         encoder = library_encoder(vocabulary, "spaced")
-        part = TaskContext.get().partitionId()
+        part, number = TaskContext.get().partitionId(), 0
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        path, size = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.tok", None
-        with fs.open_output_stream(path) as sink:
-            writer = TokenFileWriter(sink, width)
-            for batch in batches:
-                for view in slices(batch):
-                    for doc, ids in zip(view.column(0).to_pylist(), encoder.encode(view.column(1)), strict=True):
-                        writer.add(doc, np.append(ids, np.uint32(end_id)))
+        sink = writer = path = None
+
+        def close() -> pa.RecordBatch:
             writer.close()
             size = sink.tell()
-        if writer.docs:
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]], "bytes": [size]})
+            sink.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [path], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]], "bytes": [size]})
+
+        for batch in batches:
+            for view in slices(batch):
+                for doc, ids in zip(view.column(0).to_pylist(), encoder.encode(view.column(1)), strict=True):
+                    if writer is None:
+                        path = f"{base}/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.tok"
+                        sink = fs.open_output_stream(path, compression=None)
+                        writer = TokenFileWriter(sink, width)
+                    writer.add(doc, np.append(ids, np.uint32(end_id)))
+                    if writer.starts[-1] >= file_ids or len(writer.docs) >= file_docs:
+                        yield close()
+                        number, writer = number + 1, None
+        if writer is not None:
+            yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long, bytes long")
+    return ordered.mapInArrow(write, "part long, number long, path string, n_docs long, n_ids long, bytes long")
 
 
-def read_token_files(manifest: DataFrame, folder: str, rows: int = 4096) -> DataFrame:
-    """One row per document of the files: doc_id, start over all files, n_tokens, ids_crc32."""
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+def read_token_files(manifest: DataFrame, folder: str, rows: int = 4096, split_ids: int = SPLIT_IDS) -> DataFrame:
+    """One row per document of the files: doc_id, start over all files, n_tokens, ids_crc32.
+
+    A task reads the documents that begin in one stretch of a file's ids. The sum over files runs over the manifest alone.
+    """
+    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +212,14 @@ def read_token_files(manifest: DataFrame, folder: str, rows: int = 4096) -> Data
                         return source.read(n)
 
                     file = TokenFile(read_at, entry["bytes"])
-                    for a in range(0, file.n_docs, rows):
-                        b = min(a + rows, file.n_docs)
+                    border = np.array([entry["split"], entry["split"] + 1]) * split_ids
+                    low, high = np.searchsorted(file.starts[:-1], border).tolist()
+                    for a in range(low, high, rows):
+                        b = min(a + rows, high)
                         starts = file.starts[a : b + 1]
-                        crcs = []
+                        crcs, upto = [], -1
                         for i in range(b - a):
-                            if not i or starts[i + 1] > upto:  # noqa: F821
+                            if starts[i + 1] > upto:
                                 first = int(starts[i])
                                 upto = max(int(starts[i + 1]), min(first + 16 * file.block, int(starts[-1])))
                                 ids = file.ids(first, upto).astype("<u4")
@@ -207,7 +229,8 @@ def read_token_files(manifest: DataFrame, folder: str, rows: int = 4096) -> Data
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    spread = placed.select("path", "bytes", "base").repartition(max(1, placed.sparkSession.sparkContext.defaultParallelism * 4), "path")
+    splits = placed.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_ids") - 1) / split_ids))))
+    spread = splits.select("path", "bytes", "base", "split").repartition(max(1, placed.sparkSession.sparkContext.defaultParallelism * 4), "path", "split")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

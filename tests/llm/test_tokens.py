@@ -129,6 +129,31 @@ def test_token_file(width):
         tokenfile.to_bytes([(0, np.array([1 << width]))], width)
 
 
+def test_many_files_and_splits(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "x " * (i % 50)) for i in range(300)] + [(None, "n"), (7, "y")], "doc_id long, text string")
+    folder = tokenfile.shared_dir(spark, "tokens")
+    manifest = tokenfile.materialize(tokenfile.write_token_files(docs, folder, path, 50257, 0, 3, file_ids=500, file_docs=40), "manifest")
+    files = manifest.collect()
+    assert len(files) > 10 and max(f.n_docs for f in files) <= 40 and all(f.n_ids < 500 + 60 for f in files)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfile.read_token_files(manifest, folder, rows=7, split_ids=100).collect())
+    assert [x[0] for x in got] == [0, *np.cumsum([x[2] for x in got]).tolist()][:-1]
+    assert [x[1] for x in got] == [None, *sorted([*range(300), 7])]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ranks_of_split_lengths(spark, monkeypatch, seed):
+    monkeypatch.setattr(packing, "RANK_ROWS", 5)
+    rng = random.Random(seed)
+    rows = [(i, 0, rng.choice([16, 16, 3, 5, 9]), 0, 16) for i in range(200)]
+    cut = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    by = {}
+    for r in packing.place(cut, 16).collect():
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(map(len, by.values())) == 200 and sorted(by) == list(range(len(by)))
+    assert all(sum(n for _, n in p) <= 16 and [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] for p in by.values())
+
+
 def test_token_files(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
