@@ -4,8 +4,10 @@ Document frequencies of hashed n-grams are counted over all training documents.
 follow-the-regularised-leader with elastic-net penalties on a sample of ``sample`` labelled documents (those of least
 hash, so the same rows in every run); a part of the sample is held back to fit the temperature that calibrates scores.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; without training rows all are ``und``;
-texts of any length are used whole; the columns lang, source and doc_id play no part in a prediction.
+Defined cases: null texts and texts without a letter are ``und`` with score 0; without training rows, as in an empty table,
+all are ``und``; texts of any length are used whole; repeated rows all count, and rows of one id are ordered by language
+and digest of their text, so equal tables give equal models; of equally likely languages the first by name is predicted;
+the columns lang, source and doc_id play no part in a prediction, and columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -121,12 +123,12 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [vector(t, idf) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.tolist() for i, _ in made], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in made], pa.list_(pa.float32())), batch.column(2)], names=["h", "index", "value", "lang"]
-            )
+            made = [vector(t, idf) for t in batch.column(3).to_pylist()]
+            columns = [*batch.columns[:3], pa.array([i.tolist() for i, _ in made], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in made], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "lang", "digest", "index", "value"])
 
-    got = chosen.select(place.alias("h"), "text", "lang").mapInArrow(featurize, "h long, index array<int>, value array<float>, lang string").orderBy("h").limit(sample).toArrow()
+    texts = chosen.select(place.alias("h"), "lang", F.sha1("text").alias("digest"), "text")
+    got = texts.mapInArrow(featurize, "h long, lang string, digest string, index array<int>, value array<float>").orderBy("h", "lang", "digest").limit(sample).toArrow()
     order = range(got.num_rows)
     index, value, lang = (got.column(c).combine_chunks() for c in ("index", "value", "lang"))
     numbers = {name: k for k, name in enumerate(languages)}

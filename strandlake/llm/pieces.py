@@ -5,7 +5,10 @@ there it is the one that is compatible with the last token of the prefix before
 if merging their joined characters gives just these two. Following last tokens backwards gives the ids. Characters
 outside the vocabulary fall back to their bytes and part the text.
 
-Defined cases: null and empty texts have no ids; blanks are kept as they are; texts of any length are processed whole.
+Defined cases: null and empty texts have no ids; blanks are kept as they are; texts of any length are processed whole;
+repeated rows give repeated results, an empty table an empty one; of merges with equal scores the leftmost comes first, as
+in the library; only the id and text columns are read, so further ones cannot clash. A model that the table does not
+cover, one with a normaliser, without the leading space mark or without bytes, raises ValueError.
 """
 
 from __future__ import annotations
@@ -101,6 +104,11 @@ def load(path: str) -> tuple:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    probe = "Ａ ﬁ  é e\u0301 "
+    if model.decode(model.encode(probe)) != probe or model.decode(model.encode(" x")) != " x" or not all(model.is_byte(model.piece_to_id(f"<0x{b:02X}>")) for b in range(256)):
+        raise ValueError("this model changes its texts or has no bytes to fall back to")
+    if model.id_to_piece(model.encode("a")[0])[0] != MARK:
+        raise ValueError("this model puts no space mark before a text")
     size = model.get_piece_size()
     plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     scores = {model.id_to_piece(i): model.get_score(i) for i in plain}

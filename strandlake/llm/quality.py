@@ -4,8 +4,11 @@ Sequential covering learns rules for the rejected class: a rule grows by the thr
 until it covers no kept document of the growing part, is pruned on the other part, and the documents that it covers are
 removed. The ordered rules become one Spark conditional expression over the statistics' columns.
 
-Defined cases: a null text has no words; ratios of nothing are 0; without labelled rows the list is empty and only the
-base rules decide; labels of repeated documents are all used; all statistics count whole texts.
+Defined cases: a null or empty text has no words; ratios of nothing are 0; without labelled rows the list is empty and only
+the base rules decide; an empty table gives an empty result; labels of repeated documents are all used, null ones none;
+texts of any length are counted whole; of tests with equal gain the first in the order of ``STATISTICS``, below before
+above, is taken, and the first rule that holds decides; only the id, text and label columns are read, so further ones
+cannot clash.
 """
 
 from __future__ import annotations

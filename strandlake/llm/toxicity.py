@@ -5,9 +5,13 @@ follow-the-regularised-leader with an L1 penalty, so words that tell nothing kee
 counterfactual text is made: each identity term becomes another one, and a text without one gets one added. The
 squared change of the score between a text and its counterfactual is penalised, so naming a group does not move it.
 
-The model learns from at most ``sample`` labelled documents, those of least hash. Defined cases: null and empty texts
-get the score of no words; without labelled rows all scores are 0.5 less a hair (predicted 0); whole texts count;
-contradicting labels of a document are both used.
+The model learns from at most ``sample`` labelled documents, those of least hash.
+
+Defined cases: null and empty texts get the score of no words; without labelled rows all scores are 0.5 less a hair
+(predicted 0); an empty table gives an empty result; texts of any length count whole; labels of repeated documents and
+contradicting labels are all used, in the order of id hash, label and features, so equal tables give equal models; null
+ids and labels are not learned from; a score of just 0.5 is predicted 1; only the id, text and label columns are read, so
+further ones cannot clash.
 """
 
 from __future__ import annotations

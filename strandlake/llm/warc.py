@@ -7,8 +7,9 @@ ranges, a binary search in a part's directory finds its blocks, a second one in
 records come by range reads.
 
 Defined cases: a null or empty payload has no bytes and takes part in revisits like others; rows that repeat the least
-page id of a payload are responses too; a null URL has the empty key; an empty table gives an empty result.
-Files get a new name in every attempt; only those that a written manifest names are read.
+page id of a payload are responses too, and repeated rows are records each; a null page id is never referred to; a null URL
+has the empty key; captures of one key follow each other by page id, file and offset; pages of any length are one record;
+an empty table gives an empty result; only the id, URL and html columns are read, so further ones cannot clash. Files get a new name in every attempt; only those that a written manifest names are read.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """Operators 1, 3 and 5: statistics by brute force, learned parts by held-out accuracy."""
 
+import math
 import os
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import ftrl, langid, quality, toxicity
 
@@ -145,3 +147,93 @@ def test_held_out_accuracy(spark):
     assert tox[0] > 0.96 and tox[1] < 0.02
     kept = quality.judge(docs, labels).join(labels, "doc_id").filter("not base_failed").selectExpr("avg(cast(kept = (quality = 1) as double))").collect()[0][0]
     assert kept > 0.99
+
+
+class NaiveFtrl:
+    """The published update, one coordinate at a time."""
+
+    def __init__(self, alpha, beta, l1, l2):
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = Counter(), Counter()
+
+    def weight(self, k):
+        z = self.z[k]
+        return 0.0 if abs(z) <= self.l1 else -(z - math.copysign(self.l1, z)) / ((self.beta + math.sqrt(self.n[k])) / self.alpha + self.l2)
+
+    def update(self, gradients):
+        for k, g, w in [(k, g, self.weight(k)) for k, g in gradients]:
+            sigma = (math.sqrt(self.n[k] + g * g) - math.sqrt(self.n[k])) / self.alpha
+            self.z[k] += g - sigma * w
+            self.n[k] += g * g
+
+
+def naive_features(text):
+    text = "".join(" " if ord(c) <= 0x20 else c for c in text.lower())
+    found = Counter()
+    for size in langid.LENGTHS:
+        for i in range(len(text) - size + 1):
+            v = 0
+            for c in text[i : i + size]:
+                v = (v * 0x9E3779B1 + ord(c)) % 2**32
+            v = (v + size) * 0x85EBCA77 % 2**32
+            v = (v ^ v >> 15) * 0xC2B2AE3D % 2**32
+            found[v >> 18] += 1
+    return found
+
+
+LANG_TEXTS = [("the cat and the dog", "en"), ("Der Hund und die Katze", "de"), ("el perro\ty el gato 日本", "es"), ("the house of a man", "en"), ("das Haus des Mannes", "de"), ("", "en"), ("ab", "es")]
+
+
+def test_frequencies_and_vectors(spark):
+    frame = spark.createDataFrame([(t,) for t, _ in LANG_TEXTS] + [(None,)], "text string").repartition(3)
+    df, n = langid.document_frequencies(frame)
+    want = Counter(f for t, _ in LANG_TEXTS for f in naive_features(t))
+    assert n == 6 and {k: c for k, c in enumerate(df.tolist()) if c} == want
+    idf = np.log((1 + n) / (1 + df)) + 1
+    for text, _ in LANG_TEXTS:
+        index, value = langid.vector(text, idf)
+        raw = {k: (1 + math.log(c)) * (math.log(7 / (1 + want[k])) + 1) for k, c in naive_features(text).items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        assert dict(zip(index.tolist(), value.tolist(), strict=True)) == pytest.approx({k: x / norm for k, x in raw.items()})
+
+
+def test_language_training_step_by_step():
+    idf = np.linspace(1, 2, langid.FEATURES)
+    vectors, labels = [langid.vector(t, idf) for t, _ in LANG_TEXTS if t], np.array(["de en es".split().index(x) for t, x in LANG_TEXTS if t])
+    weights, bias = langid.fit(vectors, labels, 3, epochs=2, seed=9)
+    w, b, order = NaiveFtrl(0.3, 1.0, 0.02, 1e-3), NaiveFtrl(0.1, 1.0, 0.0, 1e-3), np.random.default_rng(9)
+    for _ in range(2):
+        for i in order.permutation(len(vectors)):
+            x = list(zip(*(a.tolist() for a in vectors[i]), strict=True))
+            logit = [sum(v * w.weight((k, c)) for k, v in x) + b.weight(c) for c in range(3)]
+            p = [math.exp(z) / sum(map(math.exp, logit)) for z in logit]
+            error = [p[c] - (c == labels[i]) for c in range(3)]
+            w.update([((k, c), v * error[c]) for k, v in x for c in range(3)])
+            b.update(list(enumerate(error)))
+    assert {(k, c): weights[k, c] for k, c in w.z} == pytest.approx({k: w.weight(k) for k in w.z}, abs=1e-12) and bias.tolist() == pytest.approx([b.weight(c) for c in range(3)])
+    assert np.count_nonzero(weights) == sum(w.weight(k) != 0 for k in w.z) < len(w.z)
+
+
+def test_toxicity_training_step_by_step():
+    texts = [("awful muslim men", 1), ("nice women sing", 0), ("awful words here", 1), ("plain words here", 0)]
+    own = [toxicity.features(t).astype(np.int64) for t, _ in texts]
+    other = [toxicity.features(toxicity.counterfactual(t, k)).astype(np.int64) for k, (t, _) in enumerate(texts)]
+    changed = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in zip(own, other, strict=True)]
+    weights, bias = toxicity.fit(own, changed, np.array([float(y) for _, y in texts]), strength=0.7, l1=0.01, epochs=3, seed=2)
+    w, b, order = NaiveFtrl(2.0, 1.0, 0.01 * 4, 1e-4), NaiveFtrl(0.1, 1.0, 0.0, 0.0), np.random.default_rng(2)
+    for _ in range(3):
+        for i in order.permutation(4):
+            score = lambda rows: sum(w.weight(k) for k in rows.tolist())
+            error = 1 / (1 + math.exp(-score(own[i]) - b.weight(0))) - texts[i][1]
+            w.update([(k, error) for k in own[i].tolist()])
+            b.update([(0, error)])
+            apart = 0.7 * (score(own[i]) - score(other[i]))  # half the slope of the squared change
+            if apart:
+                w.update([*((k, apart) for k in changed[i][0].tolist()), *((k, -apart) for k in changed[i][1].tolist())])
+    assert {k: weights[k] for k in w.z} == pytest.approx({k: w.weight(k) for k in w.z}, rel=1e-5, abs=1e-7) and bias == pytest.approx(b.weight(0))
+
+
+def test_equal_tables_give_equal_language_models(spark):
+    rows = [(k // 2, f"{t} {k % 7}", x) for k, (t, x) in enumerate(LANG_TEXTS * 40)]
+    a, b = (langid.train(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n), F.lit(True), sample=100) for r, n in ((rows, 3), (rows[::-1], 5)))
+    assert np.array_equal(a.weights, b.weights) and a.temperature == b.temperature
