@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -27,20 +29,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share; ``release`` removes it.
 
-    Only where the setting is absent (a single machine, as in tests) a temporary folder takes its place.
+    Only where the setting is absent (a single machine, as in tests) a temporary folder takes its place until the
+    process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="strandlake-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        base = _local[app]
     if "://" not in base and base.startswith("/"):
         base = "file://" + base
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all folders that this process got from ``shared_dir``; results that read them must have been written."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
