@@ -45,10 +45,15 @@ def pas_by_gene_id(pas: DataFrame, genes: DataFrame, intervals: DataFrame) -> Da
     return point_join(linked, intervals, ["chrom"], "pos", ("wstart", "wend")).withColumn("rel", F.col("pos") - F.col("wstart"))
 
 
-def pas_by_position(pas: DataFrame, genes: DataFrame, intervals: DataFrame, downstream: int = 1000) -> DataFrame:
-    """Sites on a gene's strand from its start to ``downstream`` bases past its 3' end, within the interval."""
+def pas_by_place(pas: DataFrame, genes: DataFrame, downstream: int = 1000) -> DataFrame:
+    """Sites on a gene's strand from its start to ``downstream`` bases past its 3' end, with all columns of the gene."""
     reach = genes.withColumns({"lo": F.when(F.col("strand") == "+", F.col("gstart")).otherwise(F.col("gstart") - downstream), "hi": F.when(F.col("strand") == "+", F.col("gend") + downstream).otherwise(F.col("gend"))})
-    near = point_join(pas, reach.select("gene_id", "chrom", "strand", "lo", "hi"), ["chrom", "strand"], "pos", ("lo", "hi"))
+    return point_join(pas, reach, ["chrom", "strand"], "pos", ("lo", "hi")).drop("lo", "hi")
+
+
+def pas_by_position(pas: DataFrame, genes: DataFrame, intervals: DataFrame, downstream: int = 1000) -> DataFrame:
+    """The sites of ``pas_by_place`` that lie within an interval."""
+    near = pas_by_place(pas, genes.select("gene_id", "chrom", "strand", "gstart", "gend"), downstream).drop("gstart", "gend")
     return point_join(near, intervals, ["chrom"], "pos", ("wstart", "wend")).withColumn("rel", F.col("pos") - F.col("wstart"))
 
 
@@ -117,3 +122,9 @@ def choose_transcripts(transcripts: DataFrame, protein_coding: bool = True, supp
         rows = rows.filter(F.col("support") == support)
     rank = F.row_number().over(Window.partitionBy("gene_id").orderBy(F.desc(F.col("tend") - F.col("tstart")), "transcript_id"))
     return rows.withColumn("_n", rank).filter("_n = 1").drop("_n")
+
+
+def labels_with_predictions(sites: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Labels of window positions beside the predictions there. sites: wid, rel_pos, label (the highest counts); predictions: wid, rel_pos and more."""
+    labels = sites.groupBy("wid", "rel_pos").agg(F.max("label").alias("label"))
+    return labels.join(predictions, ["wid", "rel_pos"])

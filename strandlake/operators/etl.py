@@ -11,22 +11,36 @@ from .intervals import anti_join_overlap
 NONE_LABEL = 4
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_partners(text: str) -> Column:
-    """``{position: count, ...}`` as an array of (p, n)."""
+    """``{position: count, ...}`` as an array of (p, n); of a repeated position the last count stays."""
     items = F.regexp_extract_all(F.col(text), F.lit(r"(-?[0-9]+)\s*:\s*([0-9]+)"), F.lit(0))
     part = lambda x, i: F.trim(F.split_part(x, F.lit(":"), F.lit(i))).cast("long")
-    return F.transform(items, lambda x: F.struct(part(x, 1).alias("p"), part(x, 2).alias("n")))
+    pairs = F.transform(items, lambda x: F.struct(part(x, 1).alias("p"), part(x, 2).alias("n")))
+    return _bound(pairs, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, i + 2, F.greatest(F.size(a), F.lit(1))), lambda y: y["p"] == x["p"])))
 
 
 def site_type(site: str, strand: str, partners: Column) -> Column:
-    """Donor or Acceptor by the side with more support; ties are Donor, no partners None."""
-    side = lambda after: F.filter(partners, lambda x: (x["p"] > F.col(site)) if after else (x["p"] < F.col(site)))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    """Donor or Acceptor by the side with more support; ties are Donor, no partners None. One pass over the partners."""
+    zero = F.lit(0).cast("long")
+    none = F.struct(*(zero.alias(c) for c in ("n_up", "up", "n_down", "down")))
+    above, below = (lambda x: x["p"] > F.col(site)), (lambda x: x["p"] < F.col(site))
+    grown = lambda s, x: F.struct(
+        (s["n_up"] + above(x).cast("long")).alias("n_up"), (s["up"] + F.when(above(x), x["n"]).otherwise(zero)).alias("up"),
+        (s["n_down"] + below(x).cast("long")).alias("n_down"), (s["down"] + F.when(below(x), x["n"]).otherwise(zero)).alias("down"),
+    )
     plus = F.col(strand) == "+"
-    donors = F.when(plus, side(True)).otherwise(side(False))
-    acceptors = F.when(plus, side(False)).otherwise(side(True))
-    nd, na = F.size(donors), F.size(acceptors)
-    return F.when((nd > 0) & (na > 0), F.when(total(donors) >= total(acceptors), "Donor").otherwise("Acceptor")).when(nd > 0, "Donor").when(na > 0, "Acceptor").otherwise("None")
+
+    def verdict(s: Column) -> Column:
+        pick = lambda a, b: F.when(plus, s[a]).otherwise(s[b])
+        nd, na = pick("n_up", "n_down"), pick("n_down", "n_up")
+        return F.when((nd > 0) & (na > 0), F.when(pick("up", "down") >= pick("down", "up"), "Donor").otherwise("Acceptor")).when(nd > 0, "Donor").when(na > 0, "Acceptor").otherwise("None")
+
+    return F.coalesce(F.aggregate(partners, none, grown, verdict), F.lit("None"))
 
 
 def adjusted_site(site: str, strand: str, kind: str) -> Column:
@@ -76,7 +90,7 @@ def fold_splits(windows: DataFrame, valid: list[str], test: list[str]) -> DataFr
     named = windows.withColumn("split", F.when(F.col("fold").isin(*valid), "valid").when(F.col("fold").isin(*test), "test").otherwise("train"))
     train = named.filter("split = 'train'")
     rest = named.filter("split != 'train'")
-    clean = anti_join_overlap(rest, train.select("chrom", F.col("start").alias("ts"), F.col("end").alias("te")), ["chrom"], ("start", "end"), ("ts", "te"), 1 << 18)
+    clean = anti_join_overlap(rest, train.select("chrom", F.col("start").alias("ts"), F.col("end").alias("te")), ["chrom"], ("start", "end"), ("ts", "te"))
     return train.unionByName(clean)
 
 

@@ -104,3 +104,69 @@ def similarity_report(df: DataFrame, x: str, y: str) -> DataFrame:
     """Cosine similarity, largest and mean difference, largest relative difference."""
     d = F.abs(F.col(x) - F.col(y))
     return df.agg(A.cosine(x, y).alias("cosine"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"), F.max(F.try_divide(d, F.abs(F.col(y)) + 1e-8)).alias("max_rel"))
+
+
+def head_metrics(df: DataFrame, head: str, region: str, track: str, x: str, y: str, **metrics: Column) -> DataFrame:
+    """Per head the mean of its tracks' profile and count correlations, and of further ``metrics``.
+
+    A metric is an aggregate expression over the rows of one region and track, as ``F.max(F.abs(F.col(x) - F.col(y)))``; one that is not
+    raises when the query is analysed. NULL correlations, as counts of a single region, take no part in a mean.
+    """
+    for name in metrics:
+        if name in (head, region, track, "profile_r", "count_r", "_sx", "_sy"):
+            raise ValueError(f"a metric cannot be named {name!r}")
+    sums = [F.sum(F.col(c).cast("double")).alias(n) for c, n in ((x, "_sx"), (y, "_sy"))]
+    each = df.groupBy(head, region, track).agg(A.pearson(x, y).alias("profile_r"), *sums, *(m.alias(name) for name, m in metrics.items()))
+    tracks = each.groupBy(head, track).agg(F.avg("profile_r").alias("profile_r"), F.when(F.count("*") > 1, A.pearson("_sx", "_sy")).alias("count_r"), *(F.avg(name).alias(name) for name in metrics))
+    return tracks.groupBy(head).agg(*(F.avg(c).alias(c) for c in ("profile_r", "count_r", *metrics)))
+
+
+def accumulated_pairs(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Per condition (and source) the number of pairs and the sums that correlations need; partial results add up."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
+
+
+def tissue_of(condition: str) -> Column:
+    """A condition's name without the part after its last underscore."""
+    return F.regexp_replace(condition, "_[^_]*$", "")
+
+
+def tissue_rollup(df: DataFrame, condition: str, value: str) -> DataFrame:
+    """Conditions rolled up to tissues: tissue, n, mean."""
+    return df.groupBy(tissue_of(condition).alias("tissue")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def splice_loss(df: DataFrame, probability: str, label: str, weight: Column, by: list[str], eps: float = 1e-3) -> DataFrame:
+    """Weighted cross entropy of a probability, and the accuracy at one half, per group; ``label`` is 0 or 1."""
+    term = weight * -F.ln(F.col(probability) + eps)
+    right = ((F.col(probability) >= 0.5) == (F.col(label) == 1)).cast("double")
+    return df.groupBy(*by).agg((F.sum(term) / F.sum(weight)).alias("loss"), F.avg(right).alias("accuracy"))
+
+
+def reduced_means(df: DataFrame, rank: Column, by: list[str], value: str) -> DataFrame:
+    """The mean over ranks of each rank's mean, as data-parallel workers reduce their metrics."""
+    return df.groupBy(rank.alias("_rank"), *by).agg(F.avg(value).alias("_m")).groupBy(*by).agg(F.avg("_m").alias("mean"))
+
+
+def timing_summary(df: DataFrame, section: str, seconds: str) -> DataFrame:
+    """Mean, deviation, total and share of the time of each section; sections are few, so one window sums their totals."""
+    rows = df.groupBy(section).agg(F.avg(seconds).alias("mean"), F.stddev_pop(seconds).alias("std"), F.sum(seconds).alias("total"))
+    return rows.withColumn("pct", 100 * F.col("total") / F.sum("total").over(Window.partitionBy()))
+
+
+def cumulative_positives(df: DataFrame, score: str, positive: str, steps: int = 1 << 12) -> DataFrame:
+    """Per distinct score the positives and the rows at or above it: ctp, cn. Scores lie in [0, 1], cut into ``steps`` blocks."""
+    from .windows import running_totals
+
+    each = df.groupBy(score).agg(F.sum(positive).alias("tp"), F.count("*").alias("n"))
+    run = running_totals(each, -F.floor(F.col(score) * steps), [F.desc(score)], "tp", "n")
+    return run.select(score, F.col("run_tp").alias("ctp"), F.col("run_n").alias("cn"))
+
+
+def best_gene_scores(scores: DataFrame, gene: str, value: str, wanted: list[str]) -> DataFrame:
+    """The largest value of each wanted gene, found by id without version."""
+    from ..functions.coords import without_version
+
+    keyed = scores.withColumn("gene_key", without_version(gene))
+    return keyed.filter(F.col("gene_key").isin(*wanted)).groupBy("gene_key").agg(F.max(value).alias("best"))

@@ -61,6 +61,43 @@ def catalog_from_rows(rows: DataFrame, default_output: str | None = None, defaul
     return reindex(made)
 
 
+def catalog_from_dataframe(df: DataFrame, names: dict[str, str] | None = None, default_output: str | None = None) -> DataFrame:
+    """A catalogue from a DataFrame whose columns are renamed by ``names`` (own name to a catalogue's) first."""
+    unknown = set(names or {}) - set(df.columns)
+    if unknown:
+        raise ValueError(f"no columns {', '.join(sorted(unknown))}")
+    return catalog_from_rows(df.withColumnsRenamed(names or {}), default_output)
+
+
+def tracks_of_output(catalog: DataFrame, output_name: str, organism: int | None = None) -> DataFrame:
+    """The tracks of one output in order of their numbers, of one organism or all."""
+    own = catalog.filter(F.col("output_name") == output_name)
+    return own if organism is None else own.filter(F.col("organism") == organism)
+
+
+def known_outputs(catalog: DataFrame, names: list[str]) -> DataFrame:
+    """The tracks of the outputs that are named; others go."""
+    return catalog.filter(F.col("output_name").isin(*names))
+
+
+def named_outputs(heads: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Outputs of a model (output_name, resolution, track_index) with the number of their tracks and of those the catalogue names."""
+    named = heads.select("output_name", "resolution", "track_index").distinct().join(catalog.select("output_name", "track_index", "track_name"), ["output_name", "track_index"], "left")
+    return named.groupBy("output_name", "resolution").agg(F.count("*").alias("n_tracks"), F.count("track_name").alias("n_named"))
+
+
+def metadata_frame(catalog: DataFrame, **fixed: str) -> DataFrame:
+    """Track metadata as plain columns: name, strand and ``fixed`` ones, as of synthetic splice tracks."""
+    return catalog.select(F.col("track_name").alias("name"), "strand", *(F.lit(v).alias(k) for k, v in fixed.items()))
+
+
+def join_with_fallback(left: DataFrame, values: DataFrame, exact: list[str], loose: list[str], value: str) -> DataFrame:
+    """``value`` by all of the ``exact`` keys, else the largest by the ``loose`` ones alone; NULL where neither is found."""
+    by_exact = values.groupBy(*exact).agg(F.max(value).alias("_exact"))
+    by_loose = values.groupBy(*loose).agg(F.max(value).alias("_loose"))
+    return left.join(by_exact, exact, "left").join(by_loose, loose, "left").withColumn(value, F.coalesce("_exact", "_loose")).drop("_exact", "_loose")
+
+
 def get_tracks(catalog: DataFrame, output_name: str, organism: int, count: int, strict: bool = False) -> DataFrame:
     """Exactly ``count`` tracks of an output: longer lists are cut, shorter ones filled with padding, or fail when strict."""
     own = catalog.filter((F.col("output_name") == output_name) & (F.col("organism") == organism)).select("track_index", "track_name", "strand", "extras")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coords import floor_div
+from .intervals import same_keys
 
 BACKGROUND = 4
 
@@ -47,9 +48,35 @@ def ism_matrix(scores: DataFrame, multiply_by_sequence: bool = False) -> DataFra
     return out.select("seq_id", "position", *((F.when(F.col("ref") == b, value(b)).otherwise(0.0) if multiply_by_sequence else value(b)).alias(b) for b in "ACGT"))
 
 
-def centered_logo(scores: DataFrame) -> DataFrame:
-    """Scores less the mean of their position's alternates."""
-    return scores.withColumn("centered", F.col("score") - F.avg("score").over(Window.partitionBy("seq_id", "position")))
+def centered_logo(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Scores less the mean of their position's alternates; with ``by``, as for scorers that score genes, of each of its values."""
+    return scores.withColumn("centered", F.col("score") - F.avg("score").over(Window.partitionBy("seq_id", *by, "position")))
+
+
+def gene_logo(scores: DataFrame, label: str = "label") -> DataFrame:
+    """The logo of each gene of a gene scorer, over its own largest value. scores: seq_id, gene_id, position, score and the alternate base."""
+    named = scores.withColumn(label, F.concat_ws(":", F.col("seq_id").cast("string"), "gene_id"))
+    return peak_normalized(centered_logo(named, ("gene_id",)), label, "centered")
+
+
+#: Bases by their code in a genome cache (fixed values), from 1 on; code 5 is any other letter.
+CODES = "ACGT"
+
+
+def genome_cache(chunks: DataFrame) -> DataFrame:
+    """A chunked genome (chrom, chunk, seq) with one byte a base, ``codes``: 1 to 4 for ACGT in any case, 5 for others.
+
+    Persist it for repeated fetches; ``base_counts`` reads it.
+    """
+    codes = F.translate(F.regexp_replace(F.upper("seq"), "[^ACGT]", "N"), CODES + "N", "\u0001\u0002\u0003\u0004\u0005")
+    return chunks.select("chrom", "chunk", codes.cast("binary").alias("codes"))
+
+
+def base_counts(cache: DataFrame) -> DataFrame:
+    """(chrom, A, C, G, T): the columns' sums of each chromosome's one-hot rows."""
+    text = F.decode("codes", "US-ASCII")
+    count = lambda k: F.sum(F.length(text) - F.length(F.replace(text, F.lit(chr(k)), F.lit(""))))
+    return cache.groupBy("chrom").agg(*(count(k).cast("long").alias(b) for k, b in enumerate(CODES, 1)))
 
 
 def peak_normalized(logos: DataFrame, label: str, value: str) -> DataFrame:
@@ -89,16 +116,55 @@ def pool_same(signal: DataFrame, by: list[str], position: str, value: str, kerne
     return out.withColumn(value, pooled).drop("_m", "_s", "_n")
 
 
-def every_nth(df: DataFrame, order: str, most: int) -> DataFrame:
-    """At most ``most`` rows, evenly spaced in order; a sampling operator, meant for window lists."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
-    return numbered.filter((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < most)).drop("_i", "_n")
+def running_totals(df: DataFrame, block: Column, order: list[Column], *values: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``run_<value>``, the sum of each of ``values`` up to a row, and ``all_<value>``, the sum over all rows of its ``by``.
+
+    ``block`` is a coarse key that never falls along ``order``, so rows are sorted within blocks only, and one row per
+    block carries the sums before it.
+    """
+    rows, own = df.withColumn("_block", block), [*by, "_block"]
+    sums = rows.groupBy(*own).agg(*(F.sum(v).alias(f"_s_{v}") for v in values))
+    chain, whole = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    sums = sums.select(*own, *(F.coalesce(F.sum(f"_s_{v}").over(chain), F.lit(0)).alias(f"_b_{v}") for v in values), *(F.sum(f"_s_{v}").over(whole).alias(f"all_{v}") for v in values))
+    run = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = same_keys(rows, sums, own).withColumns({f"run_{v}": F.col(f"_b_{v}") + F.sum(v).over(run) for v in values})
+    return summed.drop("_block", *(f"_b_{v}" for v in values))
+
+
+def prefix_suffix(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Adds prefix, the sum of ``value`` up to a row of its group, and suffix, the sum after it."""
+    group = Window.partitionBy(*by)
+    run = F.sum(value).over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumns({"prefix": run, "suffix": F.sum(value).over(group) - run})
+
+
+def every_nth(df: DataFrame, order: str, most: int, block: int = 1 << 16) -> DataFrame:
+    """At most ``most`` rows, evenly spaced along a number; a sampling operator, meant for window lists."""
+    numbered = running_totals(df.withColumn("_one", F.lit(1).cast("long")), floor_div(order, block), [F.col(order)], "_one")
+    step, i = F.greatest(F.lit(1), F.floor(F.col("all__one") / most)), F.col("run__one") - 1
+    return numbered.filter((i % step == 0) & (F.floor(i / step) < most)).select(*df.columns)
+
+
+def stack_batches(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
+    """Rows of one group in batches of ``size`` by order: ``group``, batch, n and the members' ``order`` values."""
+    i = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    numbered = df.withColumn("batch", F.floor(i / size).cast("long"))
+    return numbered.groupBy(group, "batch").agg(F.array_sort(F.collect_list(order)).alias("members"), F.count("*").alias("n"))
+
+
+def seeded_hash(key: str, seed: int) -> Column:
+    """The MD5 digest of a key and a seed, in hexadecimal digits."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows of least hash: the same rows in every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(seeded_hash(key, seed), key).limit(n)
+
+
+def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
+    """The rows whose hash is in the lowest ``fraction`` of all hashes: the same rows in every run."""
+    return df.filter(F.substring(seeded_hash(key, seed), 1, 8) < f"{int(fraction * (1 << 32)):08x}" if fraction < 1 else F.lit(True))
 
 
 def grouped_batches(df: DataFrame, group: str, key: str, size: int, seed: int = 42) -> DataFrame:
@@ -122,9 +188,24 @@ def motif_rate(sites: DataFrame, chunks: DataFrame, chunk: int, expected: Column
     return whole.groupBy("site_type").agg(F.avg((F.upper("motif") == expected).cast("double")).alias("rate"), F.count("*").alias("n"))
 
 
-def fetch(requests: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
-    """Sequences of ranges (rid, chrom, start, end) from a chunked genome, upper-cased; a range may go over many chunks."""
-    asked = requests.withColumn("chunk", F.explode(F.sequence(floor_div("start", chunk), floor_div(F.col("end") - 1, chunk))))
+def fetch(requests: DataFrame, chunks: DataFrame, chunk: int, fill: str | None = None) -> DataFrame:
+    """Sequences of ranges (rid, chrom, start, end) from a chunked genome, upper-cased; a range may go over many chunks.
+
+    Without ``fill`` bases beyond a chromosome's ends are missing. With it they are that letter, every range is returned,
+    and one on a chromosome that the genome lacks fails the query.
+    """
+    first, last = floor_div(F.greatest("start", F.lit(0)), chunk), floor_div(F.greatest("end", F.lit(1)) - 1, chunk)
+    asked = requests.withColumn("chunk", F.explode(F.sequence(first, F.greatest(first, last))))
     cut = F.expr(f"substring(seq, cast(greatest(start - chunk * {chunk}, 0) as int) + 1, cast(least(end - chunk * {chunk}, {chunk}) - greatest(start - chunk * {chunk}, 0) as int))")
-    parts = asked.join(chunks, ["chrom", "chunk"]).withColumn("piece", F.upper(cut))
-    return parts.groupBy("rid", "chrom", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda x: x["piece"]), "").alias("sequence"))
+    parts = asked.join(chunks, ["chrom", "chunk"], "inner" if fill is None else "left").withColumn("piece", F.upper(cut))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda x: x["piece"]), "")
+    whole = parts.groupBy("rid", "chrom", "start", "end").agg(text.alias("sequence"))
+    if fill is None:
+        return whole
+    known = chunks.select("chrom").distinct().withColumn("_known", F.lit(True))
+    found = whole.join(known, "chrom", "left")
+    n = (F.col("end") - F.col("start")).cast("int")
+    left = F.least(F.greatest(-F.col("start"), F.lit(0)), n).cast("int")
+    padded = F.rpad(F.concat(F.repeat(F.lit(fill), left), "sequence"), n, fill)
+    checked = F.when(F.col("_known"), padded).otherwise(F.raise_error(F.concat(F.lit("the genome has no chromosome "), F.coalesce("chrom", F.lit("null")))).cast("string"))
+    return found.select("rid", "chrom", "start", "end", checked.alias("sequence"))
