@@ -13,12 +13,31 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.coords import center_mask, floor_div
+from .intervals import within_join
 
 
-def pair_alleles(pred: DataFrame) -> DataFrame:
-    """(variant_id, allele, bin, track, value) to one row per bin and track with ref and alt, without a self-join."""
+def pair_alleles(pred: DataFrame, place: tuple[str, ...] = ("bin",), fill: bool = False) -> DataFrame:
+    """(variant_id, allele, ``place``, track, value) to one row per place and track with ref and alt, without a self-join.
+
+    Places that one allele lacks go; with ``fill`` an alternate value that is missing is 0.
+    """
     value = lambda allele: F.max(F.when(F.col("allele") == allele, F.col("value"))).cast("double")
-    return pred.groupBy("variant_id", "bin", "track").agg(value("REF").alias("ref"), value("ALT").alias("alt")).filter("ref is not null and alt is not null")
+    alt = F.coalesce(value("ALT"), F.lit(0.0)) if fill else value("ALT")
+    return pred.groupBy("variant_id", *place, "track").agg(value("REF").alias("ref"), alt.alias("alt")).filter("ref is not null and alt is not null")
+
+
+def align_alternates(pred: DataFrame, variants: DataFrame) -> DataFrame:
+    """Moves the alternate rows of insertions and deletions (bins of one base) to places of the reference.
+
+    Inserted bases share the place of the base before them, where the largest value counts when alleles are paired;
+    places that a deletion leaves empty, and those after the end of what an insertion moved, have no row.
+    """
+    shift = F.length("alt_bases") - F.length("ref_bases")
+    last = F.col("position") - 1 - F.col("interval_start") + F.least(F.length("ref_bases"), F.length("alt_bases")) - 1
+    known = variants.select("variant_id", shift.alias("_d"), last.alias("_p"), (F.col("interval_end") - F.col("interval_start")).alias("_n"))
+    bin_ = F.col("bin")
+    moved = F.when((F.col("allele") == "REF") | (bin_ <= F.col("_p")) | (F.col("_d") == 0), bin_).when((F.col("_d") > 0) & (bin_ <= F.col("_p") + F.col("_d")), F.col("_p")).otherwise(bin_ - F.col("_d"))
+    return pred.join(known, "variant_id").withColumn("bin", moved.cast("long")).filter((F.col("bin") >= 0) & (F.col("bin") < F.col("_n"))).drop("_d", "_p", "_n")
 
 
 def in_center(pairs: DataFrame, variants: DataFrame, width: int | None, resolution: int) -> DataFrame:
@@ -71,41 +90,52 @@ def junction_score(junctions: DataFrame, genes: DataFrame, protein_coding: bool
     Also names the junction that is largest in the gene's best track; ties go to the lesser track and junction.
     """
     chosen = genes.filter("gene_type = 'protein_coding'") if protein_coding else genes
-    inside = junction_changes(junctions).join(chosen.select("gene_id", "chrom", "strand", "gstart", "gend"), ["chrom", "strand"]).filter("jstart > gstart and jend < gend")
-    best = F.row_number().over(Window.partitionBy("variant_id", "gene_id").orderBy(F.desc("score"), "track"))
+    inside = junctions_in_genes(junction_changes(junctions), chosen)
     per = inside.groupBy("variant_id", "gene_id", "track").agg(F.max("delta").alias("score"), F.min_by(F.struct("jstart", "jend"), F.struct(-F.col("delta"), "junction")).alias("j"))
-    top = per.withColumn("_n", best).filter("_n = 1").select("variant_id", "gene_id", F.col("j.jstart").alias("junction_start"), F.col("j.jend").alias("junction_end"))
-    return per.drop("j").join(top, ["variant_id", "gene_id"])
+    top = F.min_by("j", F.struct(-F.col("score"), "track")).over(Window.partitionBy("variant_id", "gene_id"))
+    return per.withColumn("j", top).select("variant_id", "gene_id", "track", "score", F.col("j.jstart").alias("junction_start"), F.col("j.jend").alias("junction_end"))
+
+
+def junctions_in_genes(junctions: DataFrame, genes: DataFrame) -> DataFrame:
+    """Pairs of a junction and a gene on its strand that it lies strictly inside of."""
+    return within_join(junctions, genes.select("gene_id", "chrom", "strand", "gstart", "gend"), ["chrom", "strand"], ("jstart", "jend"), ("gstart", "gend"))
 
 
-def polya_score(coverage: DataFrame) -> DataFrame:
-    """The largest change of usage over all splits of a gene's sites. coverage: gene_id, track, pas, ref, alt (sums per site).
+def polya_score(coverage: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The largest change of usage over all splits of a gene's sites. coverage: ``by``, gene_id, track, pas, ref, alt (sums per site).
 
     Ratios without a value count as 0, at both points where they arise; the split after the last site is 0.
     """
-    w = Window.partitionBy("gene_id", "track")
+    key = [*by, "gene_id", "track"]
+    w = Window.partitionBy(*key)
     run = w.orderBy("pas").rowsBetween(Window.unboundedPreceding, 0)
     ratio = coverage.withColumn("c", F.coalesce(F.try_divide(F.col("alt").cast("double"), F.col("ref").cast("double")), F.lit(0.0)))
-    split = ratio.select("gene_id", "track", F.count("*").over(run).alias("k"), F.count("*").over(w).alias("n"), F.sum("c").over(run).alias("prox"), F.sum("c").over(w).alias("tot"))
+    split = ratio.select(*key, F.count("*").over(run).alias("k"), F.count("*").over(w).alias("n"), F.sum("c").over(run).alias("prox"), F.sum("c").over(w).alias("tot"))
     x = F.try_divide((F.col("n") - F.col("k")) / F.col("k") * F.col("prox"), F.when(F.col("k") == F.col("n"), 0.0).otherwise(F.col("tot") - F.col("prox")))
-    return split.groupBy("gene_id", "track").agg(F.max(F.coalesce(F.abs(F.log2(x)), F.lit(0.0))).alias("score"))
+    return split.groupBy(*key).agg(F.max(F.coalesce(F.abs(F.log2(x)), F.lit(0.0))).alias("score"))
 
 
-def pas_windows(pas: DataFrame, totals: DataFrame, interval_width: int, width: int = 400, most_genes: int = 22, most_pas: int = 136, least_pas: int = 2, least_coverage: float = 0.8) -> DataFrame:
-    """Bases [first, last) in which each site of a gene is measured. pas: gene_id, strand, rel; totals: gene_id, total.
+def pas_windows(
+    pas: DataFrame, totals: DataFrame, interval_width: int | Column, width: int = 400, most_genes: int = 22, most_pas: int = 136, least_pas: int = 2, least_coverage: float = 0.8, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Bases [first, last) in which each site of a gene is measured. pas: gene_id, strand, rel and ``by``, which names an interval; totals: gene_id, total.
 
     Genes need ``least_pas`` sites in the interval and the share ``least_coverage`` of all theirs, which isn't asked of
-    genes without any; the caps on genes and sites are part of the definition.
+    genes without any; the caps on an interval's genes and a gene's sites are part of the definition.
     """
-    gene = Window.partitionBy("gene_id")
-    rows = pas.withColumn("n", F.count("*").over(gene)).join(totals, "gene_id", "left")
+    gene = [*by, "gene_id"]
+    counts = pas.groupBy(*gene).agg(F.count("*").alias("n")).join(totals, "gene_id", "left")
     covered = F.coalesce(F.col("total"), F.lit(0)) == 0
-    fit = rows.filter((covered | (F.col("n") / F.when(F.col("total") > 0, F.col("total")) >= least_coverage)) & (F.col("n") >= least_pas))
-    ranked = fit.withColumns({"g": F.dense_rank().over(Window.orderBy("gene_id")), "pas": F.row_number().over(gene.orderBy("rel")) - 1}).filter((F.col("g") <= most_genes) & (F.col("pas") < most_pas))
-    plus = F.col("strand") == "+"
-    last = F.when(plus, F.least(F.col("rel") + 1, F.lit(interval_width))).otherwise(F.least(F.greatest(F.col("rel"), F.lit(0)) + width, F.lit(interval_width)))
+    fit = counts.filter((covered | (F.col("n") / F.when(F.col("total") > 0, F.col("total")) >= least_coverage)) & (F.col("n") >= least_pas)).select(*gene)
+    if by:
+        fit = fit.withColumn("g", F.row_number().over(Window.partitionBy(*by).orderBy("gene_id"))).filter(F.col("g") <= most_genes).drop("g")
+    else:
+        fit = fit.orderBy("gene_id").limit(most_genes)
+    ranked = pas.join(fit, gene).withColumn("pas", F.row_number().over(Window.partitionBy(*gene).orderBy("rel")) - 1).filter(F.col("pas") < most_pas)
+    plus, top = F.col("strand") == "+", F.lit(interval_width) if isinstance(interval_width, int) else interval_width
+    last = F.when(plus, F.least(F.col("rel") + 1, top)).otherwise(F.least(F.greatest(F.col("rel"), F.lit(0)) + width, top))
     first = F.when(plus, F.greatest(last - width, F.lit(0))).otherwise(F.greatest(F.col("rel"), F.lit(0)))
-    return ranked.withColumns({"first": first.cast("long"), "last": last.cast("long")}).filter("first < last").select("gene_id", "pas", "first", "last")
+    return ranked.withColumns({"first": first.cast("long"), "last": last.cast("long")}).filter("first < last").select(*gene, "pas", "first", "last")
 
 
 def local_maxima(signal: DataFrame, by: list[str], position: str, value: str) -> DataFrame:
@@ -165,7 +195,7 @@ class Preset:
 
     @property
     def resolution(self) -> int:
-        if self.output.startswith("chip_"):
+        if self.output.startswith("chip_") or self.output == "contact_maps":
             return 128
         return 1 if self.width is None or self.width <= 2001 else 128
 

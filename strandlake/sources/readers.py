@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coords import clean_optional, with_chr
+from ..functions.coords import clean_optional, floor_div, with_chr
 from ..operators.tracks import catalog_from_rows
 
 GTF = "Chromosome string, Source string, Feature string, gtf_start bigint, gtf_end bigint, Score string, Strand string, Frame string, attributes string"
@@ -53,9 +53,13 @@ def read_polya_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=POLYA)
 
 
-def read_usage_tsv(spark: SparkSession, paths: list[str], tissue_index: int, timepoint_index: int) -> DataFrame:
-    """Usage files with tissue and time point from the parts of their names; equal rows of one file count once."""
-    raw = spark.read.csv(paths, sep="\t", header=True, schema=USAGE).select("*", F.col("_metadata.file_name").alias("file"))
+def read_usage_tsv(spark: SparkSession, paths: list[str], tissue_index: int, timepoint_index: int, level: int = 0) -> DataFrame:
+    """Usage files with tissue and time point from the parts of their names; equal rows of one file count once.
+
+    ``level`` 1 takes the name of the folder that a file lies in, as of tables that Spark wrote.
+    """
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1 - level)
+    raw = spark.read.csv(paths, sep="\t", header=True, schema=USAGE).select("*", name.alias("file"))
     parts = F.split("file", r"\.")
     token = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.raise_error(F.concat(F.lit("file name has too few parts: "), F.col("file"))).cast("string"))
     number = token(timepoint_index).try_cast("int")
@@ -70,19 +74,62 @@ def read_bed(spark: SparkSession, path: str, names: tuple[str, ...] = ()) -> Dat
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 65536) -> DataFrame:
-    """A genome as chunks (chrom, chunk, seq) of fixed length, upper-cased. Records are split at ``>``; each is one row until it is cut."""
+    """A genome as chunks (chrom, chunk, seq) of fixed length, upper-cased.
+
+    Files are read by lines, in the splits that Spark makes, so a chromosome may go over many of them. Each split gives
+    pieces with their place since its last header; one row per record and split then tells where that stretch begins in
+    its chromosome. A line that begins with ``>`` is a header, whose first word is the name; lines before any are left out.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, record, place, held, n_held = None, 0, 0, [], 0
+        out: list[tuple] = []
+
+        def flush() -> None:
+            nonlocal place, held, n_held
+            if n_held:
+                out.append((*split, record, None, place, "".join(held).upper()))
+            place, held, n_held = place + n_held, [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for record in batch.column(0):
-                head, _, body = record.as_py().partition("\n")
-                body = "".join(body.split()).upper()
-                name = head.split()[0] if head.split() else ""
-                parts = [body[i : i + chunk] for i in range(0, max(len(body), 1), chunk)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], names=["name", "chunk", "seq"])
-
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    return records.mapInArrow(cut, "name string, chunk bigint, seq string").select(with_chr("name").alias("chrom"), "chunk", "seq")
+            for value, file, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, at) != split:
+                    flush()
+                    split, record, place = (file, at), 0, 0
+                if value.startswith(">"):
+                    flush()
+                    record, place = record + 1, 0
+                    out.append((*split, record, (value[1:].split() or [""])[0], 0, ""))
+                elif value:
+                    held.append("".join(value.split()))
+                    n_held += len(held[-1])
+                    if n_held >= chunk:
+                        flush()
+                if len(out) >= 256:
+                    yield batch_of()
+                    out = []
+        flush()
+        if out:
+            yield batch_of()
+
+    names = ["file", "at", "record", "name", "place", "piece"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    pieces = lines.mapInArrow(scan, "file string, at bigint, record bigint, name string, place bigint, piece string")
+    key, order = ["file", "at", "record"], Window.partitionBy("file").orderBy("at", "record")
+    stretches = pieces.groupBy(*key).agg(F.max("name").alias("name"), F.sum(F.length("piece")).cast("long").alias("n"))
+    numbered = stretches.withColumn("number", F.count("name").over(order)).filter("number > 0")
+    before = Window.partitionBy("file", "number").orderBy("at", "record").rowsBetween(Window.unboundedPreceding, -1)
+    placed = numbered.select(*key, "number", F.first("name", ignorenulls=True).over(Window.partitionBy("file", "number")).alias("chrom"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rows = pieces.filter("piece != ''").drop("name").join(placed, key).withColumn("start", F.col("offset") + F.col("place")).withColumn("end", F.col("start") + F.length("piece"))
+    cut = rows.withColumn("chunk", F.explode(F.sequence(floor_div("start", chunk), floor_div(F.col("end") - 1, chunk))))
+    low, high = F.greatest(F.col("chunk") * chunk, F.col("start")), F.least((F.col("chunk") + 1) * chunk, F.col("end"))
+    part = F.col("piece").substr((low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    whole = cut.withColumn("part", F.struct(low.alias("low"), part.alias("text"))).groupBy("file", "number", "chrom", "chunk").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select(with_chr("chrom").alias("chrom"), "chunk", F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("seq"))
 
 
 def read_bedgraph(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -51,7 +51,15 @@ def scores_tables(tidy: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Appends log rows as CSV with a header in each part."""
+    """Appends log rows as CSV. The first rows fix the header, which each part repeats: later rows may lack columns but not add any."""
+    spark = rows.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        header = spark.read.option("header", True).csv(path).columns
+        more = [c for c in rows.columns if c not in header]
+        if more:
+            raise ValueError(f"the log has no columns {', '.join(more)}")
+        rows = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in header))
     rows.write.mode("append").option("header", True).csv(path)
 
 
