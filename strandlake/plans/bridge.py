@@ -1,6 +1,7 @@
 """Genomic shapes over the driver's tables, in SQL that Spark and DuckDB both read.
 
-They show that operators compute what they say; they carry no biology.
+They show that operators compute what they say; they carry no biology. Sequences are whole texts of all documents, one base
+a letter (upper() would make two of some letters).
 """
 
 from __future__ import annotations
@@ -26,14 +27,11 @@ BRIDGES = {
     "track": """select n_nationkey as track_index, n_name as track_name, r_name as output_name, case n_nationkey % 3 when 0 then '+' when 1 then '-' else '.' end as strand, n_nationkey % 2 as organism,
       case when n_nationkey % 7 = 0 then 'nan' else concat('UBERON:', cast(n_nationkey % 4 as string)) end as ontology_curie from {nation} join {region} on n_regionkey = r_regionkey""",
     "eval": """select doc_id, l.toxic, l.quality, cast(doc_id * 7919 % 1000 as double) / cast(1000 as double) as s1, cast(doc_id * 104729 % 997 as double) / cast(997 as double) as s2, lang from {labels} l join {documents} using (doc_id)""",
-    "seq": """select doc_id as seq_id, doc_id * 100 as start, substr(translate(upper(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 60) as raw from {documents} where lang = 'en'""",
+    "seq": """select doc_id as seq_id, doc_id * 100 as start, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') as raw from {documents}""",
 }
 _SIGNAL = "vec_id, cast(floor(vec_id / 2) as bigint) as variant_id, case when vec_id % 2 = 0 then 'REF' else 'ALT' end as allele, cast(pos as bigint) as pos, cast(floor(pos / 8) as bigint) as bin, cast(pos % 8 as bigint) as track, abs(cast(v as double)) as value, label"
 SIGNAL_SPARK = f"select {_SIGNAL} from (select vec_id, label, posexplode(embedding) as (pos, v) from {{embeddings}})"
 SIGNAL_DUCK = f"select {_SIGNAL} from (select vec_id, label, unnest(range(64)) as pos, unnest(embedding) as v from embeddings)"
-# Whole texts of all documents, one base a letter (upper() would make two of some letters). The SQL keeps its own cut.
-SEQ_SPARK = "select doc_id as seq_id, doc_id * 100 as start, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') as raw from {documents}"
-_SPARK = {"signal": SIGNAL_SPARK, "seq": SEQ_SPARK}
 PAIR = "select variant_id, bin, track, max(case when allele = 'REF' then value end) as ref, max(case when allele = 'ALT' then value end) as alt from signal group by 1, 2, 3 having count(*) = 2"
 
 
@@ -43,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bridge(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A bridge table as a DataFrame."""
-    text = _SPARK.get(name) or BRIDGES[name]
+    text = SIGNAL_SPARK if name == "signal" else BRIDGES[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
     return spark.sql(text, **used)
 

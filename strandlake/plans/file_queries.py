@@ -18,7 +18,7 @@ from ..sources import readers as R
 from ..sources import writers as Wr
 from ..sources.scratch import scratch
 from . import scoring
-from .queries import _CAT, _P, _SEL, _SEQ, _catalog, _chunks, _head, _junctions, _sequences, on, query, r6
+from .queries import _CAT, _JUNCTION, _P, _SEL, _SEQ, _catalog, _chunks, _head, _junctions, _sequences, on, query, r6
 
 
 def _text(df: DataFrame, path: str) -> str:
@@ -73,7 +73,7 @@ def _(pas):
     return R.read_polya_tsv(spark, _text(pas.select(line.alias("value")), scratch(spark, "polya"))).select("transcript_id", "Chromosome", "Start", "End", "Strand")
 
 
-@query("k05_linked_polya", "select gene_id, pos from pas where pos % 2 = 0", "pas")
+@query("k05_linked_polya", "select gene_id, pos from pas", "pas")
 def _(pas):
     spark = pas.sparkSession
     path = scratch(spark, "linked")
@@ -98,10 +98,8 @@ def _(lines):
         # One named file each: written in a folder, then read through a name that carries the tokens.
         part.write.option("sep", "\t").option("header", True).csv(f"{base}/x.tissue{f}.{f + 1}.tsv")
         paths.append(f"{base}/x.tissue{f}.{f + 1}.tsv")
-    schema = "Region string, Site long, Strand string, Partners string, SSE double, alpha_count long, beta1_count long, beta2_count long"
-    raw = spark.read.csv(paths, sep="\t", header=True, schema=schema).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]*$", 1))
-    parts = F.split("file", r"\.")
-    return raw.dropDuplicates(["file", "Site", "Strand", "alpha_count"]).select(parts[1].alias("tissue"), parts[2].cast("int").alias("timepoint"), F.col("Site").alias("site"), F.col("Strand").alias("strand"), F.col("alpha_count").alias("alpha"))
+    raw = R.read_usage_tsv(spark, paths, 1, 2, level=1)
+    return raw.select("tissue", "timepoint", F.col("Site").alias("site"), F.col("Strand").alias("strand"), F.col("alpha_count").alias("alpha"))
 
 
 @query("s07_bed_scan", "select chrom, wstart as start, wend as \"end\" from win", "win")
@@ -128,20 +126,21 @@ def _(wins):
     return wins.sparkSession.read.text(path)
 
 
-@query("s10_fasta_extract", f"select concat('chrs', cast(seq_id as string)) as chrom, substr(s, 6, 20) as sequence from (select seq_id, {_SEQ} as s from seq where length(raw) = 60)", "seq")
+@query("s10_fasta_extract", f"select concat('chrs', cast(seq_id as string)) as chrom, substr(s, 6) as sequence from (select seq_id, {_SEQ} as s from seq) where length(s) > 5", "seq")
 def _(seq):
     spark = seq.sparkSession
     s = _sequences(seq)
-    lines = s.select(F.explode(F.array(F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit(" x\n"), F.lower(F.substring("sequence", 1, 30)), F.lit("\n"), F.expr("substring(sequence, 31)")))).alias("value"))
-    chunks = R.read_fasta(spark, _text(lines, scratch(spark, "fasta")), 16)
+    lines = s.select(F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit(" x>y\n"), F.lower(F.substring("sequence", 1, 30)), F.lit("\n"), F.regexp_replace(F.expr("substring(sequence, 31)"), "(.{60})", "$1\n")).alias("value"))
+    chunks = R.read_fasta(spark, _text(lines, scratch(spark, "fasta")), 64)
     asked = s.filter("length(sequence) > 5").select(F.col("seq_id").alias("rid"), F.concat(F.lit("chrs"), F.col("seq_id").cast("string")).alias("chrom"), F.lit(5).cast("long").alias("start"), F.length("sequence").cast("long").alias("end"))
-    return W.fetch(asked, chunks, 16).select("chrom", "sequence")
+    return W.fetch(asked, chunks, 64).select("chrom", "sequence")
 
 
 @query("s11_genome_cache", f"select seq_id, length(s) - length(replace(s, 'C', '')) as c from (select seq_id, {_SEQ} as s from seq)", "seq")
 def _(seq):
-    chunks = _sequences(seq).select("seq_id", F.explode(Q.one_hot("sequence")).alias("h"))
-    return _sequences(seq).select("seq_id").join(chunks.groupBy("seq_id").agg(F.sum(F.col("h")[1]).cast("long").alias("c")), "seq_id", "left").select("seq_id", F.coalesce("c", F.lit(0)).alias("c"))
+    named = _sequences(seq).withColumn("chrom", F.col("seq_id").cast("string"))
+    cache = W.genome_cache(_chunks(named, 1 << 16))
+    return named.select("seq_id", "chrom").join(W.base_counts(cache), "chrom", "left").select("seq_id", F.coalesce("C", F.lit(0)).alias("c"))
 
 
 _BG = "select track as track_index, concat('chr', cast(vec_id % 5 + 1 as string)) as chrom, vec_id * 64 + bin * 8 as start, vec_id * 64 + bin * 8 + 8 as \"end\", cast(value as float) as value from signal"
@@ -201,7 +200,8 @@ def _(tracks):
 
 @query("s18_catalog_from_dataframe", _CAT + " select output_name, track_index, track_name from cat where organism = 1", "track")
 def _(tracks):
-    return _catalog(tracks.withColumnsRenamed({"output_name": "output_type", "track_name": "name", "track_index": "index"})).filter("organism = 1").select("output_name", "track_index", "track_name")
+    loose = tracks.withColumnsRenamed({"output_name": "head", "track_name": "label", "track_index": "channel"})
+    return M.catalog_from_dataframe(loose, {"head": "output_type", "label": "name", "channel": "index"}).filter("organism = 1").select("output_name", "track_index", "track_name")
 
 
 @query("s19_builtin_catalog", _CAT + " select output_name, track_name from cat where organism = 0", "track")
@@ -220,13 +220,12 @@ def _(tracks):
 
 @query("s20_tracks_of_output", _CAT + " select track_index, track_name from cat where output_name = 'EUROPE' and organism = 0", "track")
 def _(tracks):
-    return _catalog(tracks).filter("output_name = 'EUROPE' and organism = 0").select("track_index", "track_name")
+    return M.tracks_of_output(_catalog(tracks), "EUROPE", 0).select("track_index", "track_name")
 
 
 @query("s21_known_outputs", _CAT + " select cast(organism as int) as organism, output_name, track_name from cat where output_name in ('ASIA', 'AFRICA')", "track")
 def _(tracks):
-    known = tracks.sparkSession.createDataFrame([("ASIA",), ("AFRICA",)], "output_name string")
-    return _catalog(tracks).join(known, "output_name").select("organism", "output_name", "track_name")
+    return M.known_outputs(_catalog(tracks), ["ASIA", "AFRICA"]).select("organism", "output_name", "track_name")
 
 
 @query("s24_head_tracks", _CAT + " select i.range as track_index, coalesce(track_name, 'Padding') as track_name from range(8) i left join (select * from cat where output_name = 'ASIA' and organism = 1) c on c.track_index = i.range", "track")
@@ -307,18 +306,24 @@ def _(p):
 
 @query("a31_head_metrics", "with r as (select track % 2 as head, track, variant_id, " + _P.format(x="ref", y="alt") + " as r from pair group by 1, 2, 3) select head, round(avg(r), 6) + 0.0 as profile_r from r group by 1", "pair")
 def _(p):
-    return V.profile_pearson(p, "variant_id", "track", "ref", "alt").groupBy((F.col("track") % 2).alias("head")).agg(r6(F.avg("r")).alias("profile_r"))
+    return V.head_metrics(p.withColumn("head", F.col("track") % 2), "head", "variant_id", "track", "ref", "alt").select("head", r6("profile_r").alias("profile_r"))
+
+
+@query("a31b_user_metrics", "with r as (select track % 2 as head, track, variant_id, max(abs(ref - alt)) as m from pair group by 1, 2, 3), t as (select head, track, avg(m) as m from r group by 1, 2) select head, round(avg(m), 6) + 0.0 as largest from t group by 1", "pair")
+def _(p):
+    made = V.head_metrics(p.withColumn("head", F.col("track") % 2), "head", "variant_id", "track", "ref", "alt", largest=F.max(F.abs(F.col("ref") - F.col("alt"))))
+    return made.select("head", r6("largest").alias("largest"))
 
 
 @query("a37_accumulated_pairs", "select lang, toxic, count(*) as n, round(sum(s1), 4) as sx, round(sum(s2), 4) as sy from eval group by 1, 2", "eval")
 def _(e):
-    return e.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.round(F.sum("s1"), 4).alias("sx"), F.round(F.sum("s2"), 4).alias("sy"))
+    return V.accumulated_pairs(e, ["lang", "toxic"], "s1", "s2").select("lang", "toxic", "n", F.round("sx", 4).alias("sx"), F.round("sy", 4).alias("sy"))
 
 
 @query("a53_splice_loss", "select toxic as label, round(sum(case when toxic = 1 then 9 else 1 end * -ln(s1 + 1e-3)) / sum(case when toxic = 1 then 9 else 1 end), 5) + 0.0 as loss, round(avg(case when (s1 >= 0.5) = (toxic = 1) then 1.0 else 0.0 end), 6) + 0.0 as accuracy from eval group by 1", "eval")
 def _(e):
-    w = F.when(F.col("toxic") == 1, 9.0).otherwise(1.0)
-    return e.groupBy(F.col("toxic").alias("label")).agg((F.round(F.sum(w * -F.ln(F.col("s1") + 1e-3)) / F.sum(w), 5) + 0.0).alias("loss"), r6(F.avg(((F.col("s1") >= 0.5) == (F.col("toxic") == 1)).cast("double"))).alias("accuracy"))
+    rows = e.withColumn("label", F.col("toxic"))
+    return V.splice_loss(rows, "s1", "toxic", F.when(F.col("toxic") == 1, 9.0).otherwise(1.0), ["label"]).select("label", (F.round("loss", 5) + 0.0).alias("loss"), r6("accuracy").alias("accuracy"))
 
 
 @query("a54_usage_loss", "select round(coalesce(avg(greatest(s1 - 0.5, 0) - (s1 - 0.5) * s2 + ln(1 + exp(-abs(s1 - 0.5)))), 0), 6) + 0.0 as loss from eval where toxic = 1", "eval")
@@ -340,17 +345,17 @@ def _(p):
 
 @query("a57_reduced_means", "select track, round(avg(m), 6) as m from (select variant_id % 4 as rank, track, avg(alt) as m from pair group by 1, 2) group by 1", "pair")
 def _(p):
-    return p.groupBy((F.col("variant_id") % 4).alias("rank"), "track").agg(F.avg("alt").alias("m")).groupBy("track").agg(F.round(F.avg("m"), 6).alias("m"))
+    return V.reduced_means(p, F.col("variant_id") % 4, ["track"], "alt").select("track", F.round("mean", 6).alias("m"))
 
 
 @query("a58_timing_summary", "select event_type, round(avg(value), 6) as mean, round(stddev_pop(value), 5) as std, round(sum(value), 3) as total, round(100 * sum(value) / sum(sum(value)) over (), 5) as pct from events group by 1")
 @on("events")
 def _(events):
-    rows = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 5).alias("std"), F.sum("value").alias("s"))
-    return rows.select("event_type", "mean", "std", F.round("s", 3).alias("total"), F.round(100 * F.col("s") / F.sum("s").over(Window.partitionBy()), 5).alias("pct"))
+    rows = V.timing_summary(events, "event_type", "value")
+    return rows.select("event_type", F.round("mean", 6).alias("mean"), F.round("std", 5).alias("std"), F.round("total", 3).alias("total"), F.round("pct", 5).alias("pct"))
 
 
-@query("j19_sites_with_motif", f"select seq_id, pos, substr(s, cast(pos + 1 as int), 2) = 'GT' as match from (select seq_id, {_SEQ} as s, unnest(range(0, 40, 5)) as pos from seq where length(raw) = 60)", "seq")
+@query("j19_sites_with_motif", f"select seq_id, pos, concat(c[pos + 1], c[pos + 2]) = 'GT' as match from (select seq_id, c, unnest(range(0, len(c) - 1, 5)) as pos from (select seq_id, string_split({_SEQ}, '') as c from seq))", "seq")
 def _(seq):
     whole = _sequences(seq)
     chunks = _chunks(whole.withColumn("chrom", F.col("seq_id").cast("string")), 6)
@@ -361,23 +366,22 @@ def _(seq):
 
 @query("j20_labels_with_predictions", "select wid, rel, label, round(v, 6) as p from (select distinct wid, pos - wstart as rel, max(label) over (partition by wid, pos) as label from usage u join win w on u.chrom = w.chrom and pos >= wstart and pos < wend) s join (select vec_id, pos as rel2, value as v from signal) q on q.vec_id = s.wid and q.rel2 = s.rel", "usage", "win", "signal")
 def _(usage, wins, signal):
-    sites = N.sites_in_windows(usage.select("chrom", "pos", "label"), wins).groupBy("wid", F.col("rel_pos").alias("rel")).agg(F.max("label").alias("label"))
-    return sites.join(signal.select(F.col("vec_id").alias("wid"), F.col("pos").alias("rel"), F.round("value", 6).alias("p")), ["wid", "rel"])
+    sites = N.sites_in_windows(usage.select("chrom", "pos", "label"), wins)
+    made = N.labels_with_predictions(sites, signal.select(F.col("vec_id").alias("wid"), F.col("pos").alias("rel_pos"), "value"))
+    return made.select("wid", F.col("rel_pos").alias("rel"), "label", F.round("value", 6).alias("p"))
 
 
 @query("j21_best_gene_score", "select g, round(max(alt), 6) as best from (select split_part(concat('G', cast(variant_id % 9 as string), '.', cast(track as string)), '.', 1) as g, alt from pair) where g in ('G1', 'G5') group by 1", "pair")
 def _(p):
-    ids = p.select(K.without_version(F.concat(F.lit("G"), (F.col("variant_id") % 9).cast("string"), F.lit("."), F.col("track").cast("string"))).alias("g"), "alt")
-    return ids.filter(F.col("g").isin("G1", "G5")).groupBy("g").agg(F.round(F.max("alt"), 6).alias("best"))
+    named = p.withColumn("gene_id", F.concat(F.lit("G"), (F.col("variant_id") % 9).cast("string"), F.lit("."), F.col("track").cast("string")))
+    return V.best_gene_scores(named, "gene_id", "alt", ["G1", "G5"]).select(F.col("gene_key").alias("g"), F.round("best", 6).alias("best"))
 
 
-@query("j22_name_fallback", _CAT + ", w as (select output_name, track_name, strand, 1 as v from cat where track_index % 2 = 0) select c.output_name, c.track_name, coalesce(a.v, b.v, 0) as v from cat c left join w a on a.output_name = c.output_name and a.track_name = c.track_name and a.strand = '+' left join (select output_name, track_name, max(v) + 1 as v from w group by 1, 2) b on b.output_name = c.output_name and b.track_name = c.track_name", "track")
+@query("j22_name_fallback", _CAT + ", w as (select output_name, track_name, case when track_index % 4 = 0 then '+' else strand end as strand, track_index as v from cat where track_index % 2 = 0) select c.output_name, c.track_name, c.strand, coalesce(a.v, b.v) as v from cat c left join (select output_name, track_name, strand, max(v) as v from w group by 1, 2, 3) a on a.output_name = c.output_name and a.track_name = c.track_name and a.strand = c.strand left join (select output_name, track_name, max(v) as v from w group by 1, 2) b on b.output_name = c.output_name and b.track_name = c.track_name", "track")
 def _(tracks):
     c = _catalog(tracks)
-    w = c.filter("track_index % 2 = 0").select("output_name", "track_name", "strand", F.lit(1).alias("v"))
-    exact = w.filter("strand = '+'").select("output_name", "track_name", F.col("v").alias("va"))
-    loose = w.groupBy("output_name", "track_name").agg((F.max("v") + 1).alias("vb"))
-    return c.join(exact, ["output_name", "track_name"], "left").join(loose, ["output_name", "track_name"], "left").select("output_name", "track_name", F.coalesce("va", "vb", F.lit(0)).alias("v"))
+    values = c.filter("track_index % 2 = 0").select("output_name", "track_name", F.when(F.col("track_index") % 4 == 0, "+").otherwise(F.col("strand")).alias("strand"), F.col("track_index").alias("v"))
+    return M.join_with_fallback(c, values, ["output_name", "track_name", "strand"], ["output_name", "track_name"], "v").select("output_name", "track_name", "strand", "v")
 
 
 @query("p04_select_all_resolutions", _SEL.format("strand = '+'"), "track", "signal")
@@ -387,9 +391,7 @@ def _(tracks, signal):
 
 @query("p13_named_outputs", _CAT + " select h.output_name, h.resolution, count(*) as n_tracks, count(track_name) as n_named from (select 'ASIA' as output_name, r as resolution, t as track_index from (select unnest([1, 128]) as r), (select unnest(range(8)) as t)) h left join (select * from cat where organism = 0) c using (output_name, track_index) group by 1, 2", "track", "signal")
 def _(tracks, signal):
-    heads = _head(signal).select("output_name", "resolution", "track_index").distinct()
-    named = _catalog(tracks).filter("organism = 0").select("output_name", "track_index", "track_name")
-    return heads.join(named, ["output_name", "track_index"], "left").groupBy("output_name", "resolution").agg(F.count("*").alias("n_tracks"), F.count("track_name").alias("n_named"))
+    return M.named_outputs(_head(signal), _catalog(tracks).filter("organism = 0"))
 
 
 @query("p19_ontology_filter", _CAT + " select track_name from cat where ontology_curie in ('UBERON:0', 'UBERON:2')", "track")
@@ -405,7 +407,7 @@ def _(usage):
 
 @query("p29_metadata_frame", _CAT + " select track_name as name, strand, 'splice' as assay from cat", "track")
 def _(tracks):
-    return _catalog(tracks).select(F.col("track_name").alias("name"), "strand", F.lit("splice").alias("assay"))
+    return M.metadata_frame(_catalog(tracks), assay="splice")
 
 
 @query("w06_ordinal_ranks", "select variant_id, bin, track, row_number() over (partition by variant_id order by round(ref, 1), bin, track) - 1 as r from pair", "pair")
@@ -418,9 +420,9 @@ def _(exons):
     return exons.groupBy("transcript_id").agg(F.array_sort(F.collect_list("estart")).alias("a")).select("transcript_id", F.concat_ws(",", F.transform("a", lambda x: x.cast("string"))).alias("starts"))
 
 
-@query("l10_fraction_sample", None, "win")
+@query("l10_fraction_sample", f"select wid from win where substr(md5(concat(cast(wid as string), ':42')), 1, 8) < '{int(0.1 * (1 << 32)):08x}'", "win")
 def _(wins):
-    return wins.filter(F.pmod(F.xxhash64("wid", F.lit(42)), F.lit(1000)) < 100).select("wid")
+    return W.fraction_sample(wins, "wid", 0.1).select("wid")
 
 
 @query("g05_logos", """with s as (select variant_id as seq_id, bin as position, track, alt - avg(alt) over (partition by variant_id, bin) as v from pair) select seq_id, position, track, round(v / max(abs(v)) over (partition by seq_id), 6) + 0.0 as v from s""", "pair")
@@ -443,8 +445,7 @@ def _(nations):
 
 @query("g11_batches", "select k // 32 as batch, count(*) as n, min(wid) as first from (select wid, row_number() over (partition by chrom order by wid) - 1 as k, chrom from win) group by 1, chrom", "win")
 def _(wins):
-    k = F.row_number().over(Window.partitionBy("chrom").orderBy("wid")) - 1
-    return wins.select("chrom", "wid", F.floor(k / 32).cast("long").alias("batch")).groupBy("chrom", "batch").agg(F.collect_list("wid").alias("w")).select("batch", F.size("w").cast("long").alias("n"), F.array_min("w").alias("first"))
+    return W.stack_batches(wins, "chrom", "wid", 32).select("batch", "n", F.array_min("members").alias("first"))
 
 
 @query("c11_apply_variant_one_hot", f"select seq_id, 'TTT' as mid, length(s) + 2 as n from (select seq_id, {_SEQ} as s from seq) where length(s) > 12", "seq")
@@ -454,17 +455,98 @@ def _(seq):
     return s.withColumn("h", h).select("seq_id", Q.from_one_hot(F.slice("h", 11, 3)).alias("mid"), F.size("h").cast("long").alias("n"))
 
 
-@query("m01_model_scores", f"""with q as (select seq_id, {_SEQ} as s from seq where length(raw) = 60 and seq_id < 50), b as (select unnest(range(4)) as track, unnest(['A', 'C', 'G', 'T']) as base)
-select seq_id as variant_id, track, cast(case when base = 'T' then 1 else 0 end - case when substr(s, 31, 1) = base then 1 else 0 end as double) as score from q, b where substr(s, 31, 1) <> 'T'""", "seq")
+@query("m01_model_scores", f"""with q as (select seq_id, {_SEQ} as s from seq), m as (select seq_id, substr(s, length(s) // 2 + 1, 1) as was from q), b as (select unnest(range(4)) as track, unnest(['A', 'C', 'G', 'T']) as base)
+select seq_id as variant_id, track, cast(case when base = 'T' then 1 else 0 end - case when was = base then 1 else 0 end as double) as score from m, b where was not in ('', 'T')""", "seq")
 def _(seq):
-    s = _sequences(seq).withColumn("at", F.expr("cast(floor(length(sequence) / 2) as int)")).filter("substr(sequence, at + 1, 1) not in ('', 'T')")
+    s = _sequences(seq).withColumn("at", F.expr("cast(floor(length(sequence) / 2) as int)")).withColumn("was", F.expr("substr(sequence, at + 1, 1)")).filter("was not in ('', 'T')")
     alt = F.expr("concat(substr(sequence, 1, at), 'T', substr(sequence, at + 2))")
-    rows = s.select(F.col("seq_id").cast("string").alias("variant_id"), F.lit("c").alias("chrom"), (F.col("at") + 1).cast("long").alias("position"), F.lit(0).cast("long").alias("interval_start"), F.length("sequence").cast("long").alias("interval_end"), F.col("sequence").alias("ref_seq"), alt.alias("alt_seq"))
+    rows = s.select(
+        F.col("seq_id").cast("string").alias("variant_id"), F.lit("c").alias("chrom"), (F.col("at") + 1).cast("long").alias("position"), F.col("was").alias("ref_bases"), F.lit("T").alias("alt_bases"),
+        F.lit(0).cast("long").alias("interval_start"), F.length("sequence").cast("long").alias("interval_end"), F.col("sequence").alias("ref_seq"), alt.alias("alt_seq"),
+    )
     presets = [S.Preset("center_mask", "atac", 501, "diff_sum")]
-    pred = scoring.predict(rows, scoring.base_content_model, scoring.needs(presets))
-    return scoring.score_variants(pred, rows, presets).select(F.col("variant_id").cast("long").alias("variant_id"), "track", "score")
+    pred = scoring.predict(rows, scoring.base_content_model, scoring.needs(presets), scoring.read_bins(rows, presets))
+    return scoring.score_variants(pred, rows.drop("ref_seq", "alt_seq"), presets).select(F.col("variant_id").cast("long").alias("variant_id"), "track", "score")
+
+
+# Variants on documents as chromosomes: base changes, insertions and deletions by number, within 256 bases.
+_WIDTH = 256
+_VARIANTS = f"""with q as (select seq_id, {_SEQ} as s from seq), p as (select *, length(s) as len, cast((seq_id * 7) % (length(s) - 2) as bigint) as pos0 from q where length(s) > 2),
+v as (select *, greatest(0, pos0 + 1 - {_WIDTH // 2}) as start, pos0 + 1 + {_WIDTH // 2} as stop, case when seq_id % 3 = 2 then substr(s, pos0 + 1, 3) else substr(s, pos0 + 1, 1) end as ref_bases,
+  case when seq_id % 3 = 1 then concat(substr(s, pos0 + 1, 1), 'GG') when seq_id % 3 = 2 then substr(s, pos0 + 1, 1) when substr(s, pos0 + 1, 1) = 'T' then 'A' else 'T' end as alt_bases from p),
+f as (select *, cast(stop - start as int) as n, cast(pos0 - start as int) as off, length(alt_bases) - length(ref_bases) as d, rpad(substr(s, start + 1, stop - start + 2), cast(stop - start + 2 as int), 'N') as whole from v),
+w as (select *, left(whole, n) as ref_seq, left(concat(left(whole, off), alt_bases, substr(whole, off + length(ref_bases) + 1)), n) as alt_seq from f),
+b as (select unnest(range(4)) as track, unnest(['A', 'C', 'G', 'T']) as base),
+i as (select seq_id, len, start, n, off, d, track, base, unnest(range(n)) as i, ref_seq, alt_seq from w, b),
+e as (select seq_id, len, start, track, i, n, cast(substr(ref_seq, cast(i + 1 as int), 1) = base as int) as r, case
+    when i < off or (i = off and d <= 0) or d = 0 then cast(substr(alt_seq, cast(i + 1 as int), 1) = base as int)
+    when d > 0 and i = off then cast(contains(substr(alt_seq, off + 1, cast(d + 1 as int)), base) as int)
+    when d > 0 then cast(substr(alt_seq, cast(i + 1 + d as int), 1) = base as int)
+    when i <= off - d then 0 else cast(substr(alt_seq, cast(i + 1 + d as int), 1) = base as int) end as a from i)"""
+_PAS_SQL = _VARIANTS + """, site as (select seq_id, pos, k, least(pos - start + 1, n) as last from w, (select unnest([0, 1, 2]) as k), lateral (select case k when 0 then 10 + seq_id % 5 when 1 then 90 else 200 end as pos) where pos >= start and pos < stop),
+three as (select seq_id from site group by 1 having count(*) = 3),
+cov as (select seq_id, track, pos, sum(r) as r, sum(a) as a from e join site using (seq_id) where i < last and seq_id in (select seq_id from three) group by 1, 2, 3),
+c as (select *, coalesce(a / nullif(r, 0), 0) as c from cov),
+z as (select seq_id, track, row_number() over t as k, sum(c) over t as prox, sum(c) over (partition by seq_id, track) as tot from c window t as (partition by seq_id, track order by pos rows unbounded preceding)),
+x as (select seq_id, track, (3 - k) / k * prox / nullif(case when k = 3 then 0 else tot - prox end, 0) as x from z),
+polya as (select seq_id, track, max(coalesce(abs(log2(case when x > 0 then x end)), 0)) as score from x group by 1, 2)"""
+
+
+def _document_variants(seq: DataFrame) -> tuple[DataFrame, DataFrame, scoring.Annotation]:
+    """Variants, a genome of documents in chunks of 64 bases, and the annotation of one gene on each."""
+    s = _sequences(seq).withColumn("chrom", F.concat(F.lit("c"), F.col("seq_id").cast("string"))).filter("length(sequence) > 2").withColumn("at", F.expr("cast((seq_id * 7) % (length(sequence) - 2) as int)"))
+    first, kind = F.expr("substr(sequence, at + 1, 1)"), F.col("seq_id") % 3
+    alt = F.when(kind == 1, F.concat(first, F.lit("GG"))).when(kind == 2, first).when(first == "T", "A").otherwise("T")
+    variants = s.select(F.col("seq_id").cast("string").alias("variant_id"), "chrom", (F.col("at") + 1).cast("long").alias("position"), F.when(kind == 2, F.expr("substr(sequence, at + 1, 3)")).otherwise(first).alias("ref_bases"), alt.alias("alt_bases"))
+    gene = F.concat(F.lit("G"), F.col("seq_id").cast("string"))
+    genes = s.select(gene.alias("gene_id"), "chrom", F.lit("+").alias("strand"), F.lit(0).cast("long").alias("gstart"), F.length("sequence").cast("long").alias("gend"), F.when(F.col("seq_id") % 4 == 0, "lncRNA").otherwise("protein_coding").alias("gene_type"))
+    ranges = F.array(*(F.struct(F.lit(a).cast("long").alias("estart"), F.lit(b).cast("long").alias("eend")) for a, b in ((20, 50), (45, 80), (150, 400))))
+    exons = s.select(F.concat(gene, F.lit(".3")).alias("gene_id"), F.inline(ranges))
+    pas = s.select(F.concat(gene, F.lit(".2")).alias("gene_id"), "chrom", F.lit("+").alias("strand"), F.explode(F.array(10 + F.col("seq_id") % 5, F.lit(90).cast("long"), F.lit(200).cast("long"))).alias("pos"))
+    return variants, _chunks(s, 64), scoring.Annotation(genes, exons, pas)
+
+
+@query("a17_polya_driver", _PAS_SQL + " select seq_id as variant_id, concat('G', cast(seq_id as string)) as gene_id, track, round(score, 5) + 0.0 as score from polya", "seq")
+def _(seq):
+    variants, genome, annotation = _document_variants(seq)
+    made = scoring.score_all(variants, genome, scoring.base_content_model, [p for p in S.recommended("human") if p.scorer == "polyadenylation"], _WIDTH, 64, annotation)
+    return made.select(F.col("variant_id").cast("long").alias("variant_id"), "gene_id", "track", (F.round("score", 5) + 0.0).alias("score"))
+
+
+def _all_presets_sql() -> str:
+    gene = "concat('G', cast(seq_id as string))"
+    score = {
+        "center_mask": "select seq_id, cast(null as string) as gene_id, track, {agg} as score from total",
+        "contact_map": "select seq_id, null, track, avg(abs(log2(a * ac + 1) - log2(r * rc + 1))) from (select *, max(case when bin = own then a end) over g as ac, max(case when bin = own then r end) over g as rc from wide window g as (partition by seq_id, track)) group by 1, 3",
+        "gene_lfc": f"select seq_id, {gene}, track, ln(avg(a) + 1e-3) - ln(avg(r) + 1e-3) from exonic group by 1, 2, 3",
+        "gene_active": f"select seq_id, {gene}, track, greatest(avg(a), avg(r)) from exonic group by 1, 2, 3",
+        "gene_splicing": f"select seq_id, {gene}, track, max(abs(a - r)) from exonic group by 1, 2, 3",
+        "junction": f"select seq_id, {gene}, track, max(abs(ln(a + 1e-7) - ln(r + 1e-7))) from both_alleles where seq_id % 4 <> 0 and start + g > 0 and start + h < len group by 1, 2, 3",
+        "polyadenylation": f"select seq_id, {gene}, track, score from polya",
+    }
+    agg = {"diff_log2_sum": "log2(1 + a) - log2(1 + r)", "active_sum": "greatest(a, r)"}
+    parts = [f"select '{p.name}' as scorer, '{p.output}' as output_type, seq_id as variant_id, gene_id, track, round(score, 5) + 0.0 as score from ({score[p.scorer].replace('null,', 'cast(null as string) as gene_id,').replace(gene + ',', gene + ' as gene_id,').format(agg=agg.get(p.aggregation))}) t(seq_id, gene_id, track, score)" for p in S.recommended("human")]
+    count = "length(substr({s}, {a}, {n})) - length(replace(substr({s}, {a}, {n}), base, ''))"
+    span = {"a": "cast(g + 1 as int)", "n": "cast(h - g as int)"}
+    return _PAS_SQL + f""", total as (select seq_id, track, length(ref_seq) - length(replace(ref_seq, base, '')) as r, length(alt_seq) - length(replace(alt_seq, base, '')) as a from w, b),
+wide as (select seq_id, track, bin, off // 128 as own, {count.format(s="ref_seq", a="cast(bin * 128 + 1 as int)", n=128)} as r, {count.format(s="alt_seq", a="cast(bin * 128 + 1 as int)", n=128)} as a from (select *, unnest(range((n + 127) // 128)) as bin from w, b)),
+exonic as (select * from e where (start + i >= 20 and start + i < 80) or (start + i >= 150 and start + i < 400)),
+steps as (select seq_id, allele, s, unnest(range(length(s) - 1)) as g from (select seq_id, 'r' as allele, ref_seq as s from w union all select seq_id, 'a', alt_seq from w)),
+ends as (select seq_id, allele, s, g, substr(s, cast(g + 1 as int), 2) as two, min(case when substr(s, cast(g + 1 as int), 2) = 'AG' then g end) over (partition by seq_id, allele order by g rows between 1 following and unbounded following) as h from steps),
+junction as (select * from ends where two = 'GT' and h is not null),
+both_alleles as (select x.seq_id, w.len, w.start, x.g, x.h, track, {count.format(s="x.s", **{k: v.replace("g", "x.g").replace("h ", "x.h ") for k, v in span.items()})} as r, {count.format(s="y.s", **{k: v.replace("g", "x.g").replace("h ", "x.h ") for k, v in span.items()})} as a
+  from junction x join junction y on x.allele = 'r' and y.allele = 'a' and x.seq_id = y.seq_id and x.g = y.g and x.h = y.h join w on w.seq_id = x.seq_id, b)
+""" + " union all ".join(parts)
+
+
+@query("m02_all_presets", _all_presets_sql(), "seq")
+def _(seq):
+    variants, genome, annotation = _document_variants(seq)
+    made = scoring.score_all(variants, genome, scoring.base_content_model, S.recommended("human"), _WIDTH, 64, annotation)
+    return made.select("scorer", "output_type", F.col("variant_id").cast("long").alias("variant_id"), "gene_id", "track", (F.round("score", 5) + 0.0).alias("score"))
 
 
-@query("j13b_junction_coordinates", None, "exon", "gene")
+@query("j13b_junction_coordinates", _JUNCTION + """, h as (select d.*, gene_id from d join gene g on d.chrom = g.chrom and d.strand = g.strand and jstart > gstart and jend < gend where gene_type = 'protein_coding'),
+r as (select *, row_number() over (partition by variant_id, gene_id order by delta desc, track, junction) as k from h) select variant_id, gene_id, jstart as junction_start, jend as junction_end from r where k = 1""", "exon", "gene")
 def _(exons, genes):
     return S.junction_score(_junctions(exons), genes).select("variant_id", "gene_id", "junction_start", "junction_end").distinct()

@@ -16,6 +16,7 @@ from ..operators import etl as E
 from ..operators import evaluation as V
 from ..operators import intervals as I
 from ..operators import scorers as S
+from ..operators import signals as G
 from ..operators import tracks as M
 from ..operators import windows as W
 from .bridge import bridge, table, with_bridges
@@ -125,8 +126,7 @@ d as (select *, abs(ln(alt + 1e-7) - ln(ref + 1e-7)) as delta from j)"""
 @query("a13_junction_scorer", _JUNCTION + """, h as (select d.*, gene_id from d join gene g on d.chrom = g.chrom and d.strand = g.strand and jstart > gstart and jend < gend where gene_type = 'protein_coding')
 select variant_id, gene_id, track, round(max(delta), 6) + 0.0 as score from h group by 1, 2, 3""", "exon", "gene")
 def _(exons, genes):
-    spread = genes.withColumn("gend", F.col("gend"))
-    return S.junction_score(_junctions(exons), spread).select("variant_id", "gene_id", "track", r6("score").alias("score"))
+    return S.junction_score(_junctions(exons), genes).select("variant_id", "gene_id", "track", r6("score").alias("score"))
 
 
 @query("a14_junction_changes", _JUNCTION + " select variant_id, junction, track, round(delta, 6) + 0.0 as delta from d", "exon")
@@ -301,10 +301,10 @@ def _(exons):
 
 @query("j15_junctions_in_genes", _JUNCTION + " select d.junction, d.track, gene_id from d join gene g on d.chrom = g.chrom and d.strand = g.strand and jstart > gstart and jend < gend", "exon", "gene")
 def _(exons, genes):
-    return _junctions(exons).join(genes.select("gene_id", "chrom", "strand", "gstart", "gend"), ["chrom", "strand"]).filter("jstart > gstart and jend < gend").select("junction", "track", "gene_id")
+    return S.junctions_in_genes(_junctions(exons), genes).select("junction", "track", "gene_id")
 
 
-@query("j16_junction_pairs", """with s as (select variant_id as seq_id, case when track % 2 = 0 then '+' else '-' end as strand, bin, track, case when ref > 0.1 then bin * 8 + track else -1 end as pos from pair where variant_id < 200)
+@query("j16_junction_pairs", """with s as (select variant_id as seq_id, case when track % 2 = 0 then '+' else '-' end as strand, bin, track, case when ref > 0.1 then bin * 8 + track else -1 end as pos from pair)
 select d.seq_id, d.strand, least(d.pos, a.pos) as jstart, greatest(d.pos, a.pos) as jend from s d join s a on d.seq_id = a.seq_id and d.strand = a.strand where d.bin % 2 = 0 and a.bin % 2 = 1 and d.pos >= 0 and a.pos >= 0 and case when d.strand = '+' then d.pos < a.pos else a.pos < d.pos end""", "pair")
 def _(p):
     sites = p.select(F.col("variant_id").alias("seq_id"), F.when(F.col("track") % 2 == 0, "+").otherwise("-").alias("strand"), F.when(F.col("bin") % 2 == 0, "donor").otherwise("acceptor").alias("role"), F.when(F.col("ref") > 0.1, F.col("bin") * 8 + F.col("track")).otherwise(-1).alias("pos"))
@@ -351,27 +351,27 @@ def _spliser(lines: DataFrame) -> DataFrame:
 
 
 _SPLISER = """with u as (select l_orderkey, l_linenumber, l_partkey, l_partkey * 400 as site, case when l_orderkey % 2 = 0 then '+' else '-' end as strand, l_linenumber * 10 - 30 as d1, cast(l_quantity as bigint) as n1, 50 - l_linenumber * 10 as d2, l_orderkey % 50 as n2 from lineitem),
-v as (select *, (case when d1 > 0 then n1 else 0 end) + (case when d2 > 0 and d2 <> d1 then n2 else 0 end) as up, (case when d1 < 0 then n1 else 0 end) + (case when d2 < 0 and d2 <> d1 then n2 else 0 end) as down, (d1 > 0 or d2 > 0) as hu, (d1 < 0 or d2 < 0) as hd from u),
+v as (select *, (case when d1 > 0 and d1 <> d2 then n1 else 0 end) + (case when d2 > 0 then n2 else 0 end) as up, (case when d1 < 0 and d1 <> d2 then n1 else 0 end) + (case when d2 < 0 then n2 else 0 end) as down, (d1 > 0 or d2 > 0) as hu, (d1 < 0 or d2 < 0) as hd from u),
 t as (select *, case when strand = '+' then hu else hd end as dn, case when strand = '+' then hd else hu end as ac, case when strand = '+' then up else down end as ds, case when strand = '+' then down else up end as acs from v),
-k as (select *, case when dn and ac then case when ds >= acs then 'Donor' else 'Acceptor' end when dn then 'Donor' when ac then 'Acceptor' else 'None' end as kind from t where d1 <> d2)"""
+k as (select *, case when dn and ac then case when ds >= acs then 'Donor' else 'Acceptor' end when dn then 'Donor' when ac then 'Acceptor' else 'None' end as kind from t)"""
 
 
 @query("a39_site_type", _SPLISER + " select l_orderkey, l_linenumber, l_partkey, kind from k")
 @on("lineitem")
 def _(lines):
-    rows = _spliser(lines.filter("l_linenumber * 10 - 30 <> 50 - l_linenumber * 10"))
+    rows = _spliser(lines)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", E.site_type("site", "strand", E.parse_partners("partners")).alias("kind"))
 
 
 @query("p25_site_shift", _SPLISER + " select l_orderkey, l_linenumber, l_partkey, case when (strand = '+' and kind = 'Donor') or (strand = '-' and kind = 'Acceptor') then site - 2 else site end as pos from k")
 @on("lineitem")
 def _(lines):
-    rows = _spliser(lines.filter("l_linenumber * 10 - 30 <> 50 - l_linenumber * 10"))
+    rows = _spliser(lines)
     kind = rows.withColumn("kind", E.site_type("site", "strand", E.parse_partners("partners")))
     return kind.select("l_orderkey", "l_linenumber", "l_partkey", E.adjusted_site("site", "strand", "kind").alias("pos"))
 
 
-@query("c25_parse_partners", "select l_orderkey, l_linenumber, l_partkey, l_partkey * 400 + l_linenumber * 10 - 30 as p, cast(l_quantity as bigint) as n from lineitem union all select l_orderkey, l_linenumber, l_partkey, l_partkey * 400 - l_linenumber * 10 + 50, l_orderkey % 50 from lineitem")
+@query("c25_parse_partners", "select l_orderkey, l_linenumber, l_partkey, l_partkey * 400 + l_linenumber * 10 - 30 as p, cast(l_quantity as bigint) as n from lineitem where l_linenumber <> 4 union all select l_orderkey, l_linenumber, l_partkey, l_partkey * 400 - l_linenumber * 10 + 50, l_orderkey % 50 from lineitem")
 @on("lineitem")
 def _(lines):
     return _spliser(lines).select("l_orderkey", "l_linenumber", "l_partkey", F.inline(E.parse_partners("partners")))
@@ -437,7 +437,7 @@ def _(wins):
     return sized.withColumn("w", K.fold_window("wstart", "wend", "len")).filter("w is not null").select("wid", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 
-@query("a43_fold_splits", """with n as (select *, case when fold in ('fold3') then 'valid' when fold in ('fold4') then 'test' else 'train' end as split from win where wid % 3 = 0),
+@query("a43_fold_splits", """with n as (select *, case when fold in ('fold3') then 'valid' when fold in ('fold4') then 'test' else 'train' end as split from win),
 k as (select * from n where split = 'train' or not exists (select 1 from n t where t.split = 'train' and t.chrom = n.chrom and t.wstart < n.wend and n.wstart < t.wend))
 select fold, split, count(*) as n from k group by 1, 2""", "win")
 def _(wins):
@@ -574,12 +574,12 @@ def _(seq):
     return _sequences(seq).select("seq_id", Q.pad_or_trim("sequence", 50).alias("fixed"), Q.circular_shift("sequence", 7).alias("rolled"))
 
 
-@query("s12_padded_fetch", f"select seq_id, concat('NNNNN', substr(rpad(s, 60, 'N'), 1, 60), repeat('N', 10)) as fetched from (select seq_id, {_SEQ} as s from seq)", "seq")
+@query("s12_padded_fetch", f"select seq_id, concat('NNNNN', s, repeat('N', cast(greatest(60 - length(s), 0) + 10 as int))) as fetched from (select seq_id, {_SEQ} as s from seq)", "seq")
 def _(seq):
     return _sequences(seq).select("seq_id", Q.padded_fetch("sequence", F.lit(-5), F.greatest(F.length("sequence"), F.lit(60)) + 10).alias("fetched"))
 
 
-@query("s09_chunked_fetch", f"select wid as rid, substr(s, cast(wid % 10 as int) + 1, 25) as sequence from (select wid from win where wid < 3000) w join (select seq_id, {_SEQ} as s from seq where length(raw) = 60) q on q.seq_id = w.wid % 200", "win", "seq")
+@query("s09_chunked_fetch", f"select wid as rid, substr(s, cast(wid % length(s) as int) + 1, 25) as sequence from win join (select seq_id, {_SEQ} as s from seq) q on q.seq_id = wid % (select max(seq_id) + 1 from seq) where length(s) > 0", "win", "seq")
 def _(wins, seq):
     named = _sequences(seq).withColumn("chrom", F.concat(F.lit("c"), F.col("seq_id").cast("string")))
     lengths = named.select("chrom", F.length("sequence").alias("n")).filter("n > 0")
@@ -595,8 +595,16 @@ def _transform(name: str, sql: str, column: Callable[[], F.Column]) -> None:
     query(name, f"select variant_id, bin, track, round({sql}, 6) + 0.0 as v from signal where allele = 'REF'", "signal")(lambda s: s.filter("allele = 'REF'").select("variant_id", "bin", "track", r6(column()).alias("v")))
 
 
-_transform("c15_normalize_to_total", "case when sum(value) over (partition by variant_id, track) = 0 then value else value * 1000 / sum(value) over (partition by variant_id, track) end", lambda: X.normalize_to_total("value", ["variant_id", "track"], 1000.0))
-_transform("c16_mean_normalize", "value / (avg(case when value > 0 then value end) over (partition by variant_id, track) + 1e-8)", lambda: X.mean_normalize("value", ["variant_id", "track"]))
+@query("c15_normalize_to_total", "select variant_id, bin, track, round(case when sum(value) over (partition by variant_id, track) = 0 then value else value * 1000 / sum(value) over (partition by variant_id, track) end, 6) + 0.0 as v from signal where allele = 'REF'", "signal")
+def _(s):
+    return G.normalize_to_total(s.filter("allele = 'REF'"), "value", ["variant_id", "track"], 1000.0).select("variant_id", "bin", "track", r6("value").alias("v"))
+
+
+@query("c16_mean_normalize", "select variant_id, bin, track, round(value / (avg(case when value > 0 then value end) over (partition by variant_id, track) + 1e-8), 6) + 0.0 as v from signal where allele = 'REF'", "signal")
+def _(s):
+    return G.mean_normalize(s.filter("allele = 'REF'"), "value", ["variant_id", "track"]).select("variant_id", "bin", "track", r6("value").alias("v"))
+
+
 _transform("c17_power", "pow(value, 0.75) + pow(value, 1 / 0.75)", lambda: X.power_transform("value") + X.power_inverse("value"))
 _transform("c18_smooth_clip", "case when value > 0.1 then 0.1 + 2 * sqrt(value - 0.1) else value end + case when value > 0.2 then 0.2 + pow((value - 0.2) / 2, 2) else value end", lambda: X.smooth_clip("value", 0.1) + X.smooth_clip_inverse("value", 0.2))
 _transform("c20_scale_prediction", "pow(case when value * 100 > 10 then pow(value * 100 + 10, 2) / 40 else value * 100 end, 1 / 0.75) * 2.5 * 128", lambda: X.scale_prediction(F.col("value") * 100, F.lit(2.5), 128, True))
@@ -608,9 +616,13 @@ _transform("c29_gelu", "value / (1 + exp(-1.702 * value))", lambda: X.gelu("valu
 m as (select *, a / (avg(case when a > 0 then a end) over (partition by variant_id, track) + 1e-8) as b from t)
 select variant_id, bin, track, round(case when b > 1.5 then 1.5 + 2 * sqrt(b - 1.5) else b end, 6) + 0.0 as atac from m""", "signal")
 def _(s):
-    by = ["variant_id", "track"]
-    a = s.filter("allele = 'REF'").withColumn("a", X.normalize_to_total("value", by, 1000.0)).withColumn("b", X.mean_normalize("a", by))
-    return a.select("variant_id", "bin", "track", r6(X.smooth_clip("b", 1.5)).alias("atac"))
+    return G.atac_pipeline(s.filter("allele = 'REF'"), "value", ["variant_id", "track"], 1000.0, 1.5).select("variant_id", "bin", "track", r6("value").alias("atac"))
+
+
+@query("c19b_rna_pipeline", """with m as (select *, pow(value / (avg(case when value > 0 then value end) over (partition by variant_id, track) + 1e-8), 0.75) as b from signal where allele = 'ALT')
+select variant_id, bin, track, round(case when b > 1.5 then 1.5 + 2 * sqrt(b - 1.5) else b end, 6) + 0.0 as rna from m""", "signal")
+def _(s):
+    return G.rna_pipeline(s.filter("allele = 'ALT'"), "value", ["variant_id", "track"], threshold=1.5).select("variant_id", "bin", "track", r6("value").alias("rna"))
 
 
 @query("c22_widths", "select p_partkey, case p_partkey % 4 when 0 then 2048 when 1 then 131072 when 2 then 1048576 else -1 end as width from part")
@@ -826,9 +838,7 @@ def _(e):
 
 @query("w07_cumulative_precision", "with s as (select s1, sum(toxic) as tp, count(*) as n from eval group by 1) select s1, cast(sum(tp) over (order by s1 desc rows unbounded preceding) as bigint) as ctp, cast(sum(n) over (order by s1 desc rows unbounded preceding) as bigint) as cn from s", "eval")
 def _(e):
-    steps = e.groupBy("s1").agg(F.sum("toxic").alias("tp"), F.count("*").alias("n"))
-    run = Window.orderBy(F.desc("s1")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("s1", F.sum("tp").over(run).alias("ctp"), F.sum("n").over(run).alias("cn"))
+    return V.cumulative_positives(e, "s1", "toxic")
 
 
 @query("a34_accuracy", "select lang, round(avg(case when (s1 >= 0.5) = (toxic = 1) then 1.0 else 0.0 end), 6) + 0.0 as accuracy, count(*) as n from eval group by 1", "eval")
@@ -848,7 +858,8 @@ def _(e):
 
 @query("a38_tissue_rollup", "select regexp_replace(concat(lang, '_x_', cast(doc_id % 3 as string)), '_[^_]*$', '') as tissue, count(*) as n, round(avg(s1), 6) as mean from eval group by 1", "eval")
 def _(e):
-    return e.groupBy(F.regexp_replace(F.concat(F.col("lang"), F.lit("_x_"), (F.col("doc_id") % 3).cast("string")), "_[^_]*$", "").alias("tissue")).agg(F.count("*").alias("n"), F.round(F.avg("s1"), 6).alias("mean"))
+    named = e.withColumn("condition", F.concat(F.col("lang"), F.lit("_x_"), (F.col("doc_id") % 3).cast("string")))
+    return V.tissue_rollup(named, "condition", "s1").withColumn("mean", F.round("mean", 6))
 
 
 @query("a42_value_counts", "select gene_type, count(*) as n, count(distinct chrom) as n_chrom from gene group by 1", "gene")
@@ -951,9 +962,7 @@ def _(pas):
 
 @query("w04_prefix_suffix", "select variant_id, track, bin, round(sum(ref) over w, 6) + 0.0 as prefix, round(sum(ref) over (partition by variant_id, track) - sum(ref) over w, 5) + 0.0 as suffix from pair window w as (partition by variant_id, track order by bin rows unbounded preceding)", "pair")
 def _(p):
-    g = Window.partitionBy("variant_id", "track")
-    run = F.sum("ref").over(g.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    return p.select("variant_id", "track", "bin", r6(run).alias("prefix"), (F.round(F.sum("ref").over(g) - run, 5) + 0.0).alias("suffix"))
+    return W.prefix_suffix(p, ["variant_id", "track"], "bin", "ref").select("variant_id", "track", "bin", r6("prefix").alias("prefix"), (F.round("suffix", 5) + 0.0).alias("suffix"))
 
 
 @query("w05_local_maxima", "select vec_id, track, bin from (select *, lag(value, 1, 0) over w as l, lead(value, 1, 0) over w as r, avg(value) over (partition by vec_id, track) as m from signal window w as (partition by vec_id, track order by bin)) where value > l and value > r and value > m", "signal")
@@ -1012,9 +1021,12 @@ def _(p, tracks):
     return M.tidy_scores(rows, cat).select("variant_id", "output_type", "track_index", "track_name", "ontology_curie", r6("raw_score").alias("raw_score"))
 
 
-@query("g03_ism_variants", f"with q as (select seq_id, start, {_SEQ} as s from seq), e as (select seq_id, start, unnest(range(length(s))) as i, unnest(string_split(s, '')) as ref from q where length(s) > 0) select seq_id, start + i + 1 as position, ref, alt from e, (select unnest(['A', 'C', 'G', 'T']) as alt) b where ref in ('A', 'C', 'G', 'T') and alt <> ref", "seq")
+@query("g03_ism_variants", f"""with q as (select seq_id, start, {_SEQ} as s from seq), e as (select seq_id, start, unnest(range(length(s))) as i, unnest(string_split(s, '')) as ref from q where length(s) > 0),
+v as (select seq_id, start + i + 1 as position, ref, alt from e, (select unnest(['A', 'C', 'G', 'T']) as alt) b where ref in ('A', 'C', 'G', 'T') and alt <> ref)
+select seq_id, ref, alt, count(*) as n, min(position) as first, max(position) as last, cast(sum(position * position % 1000003) as bigint) as mixed from v group by 1, 2, 3""", "seq")
 def _(seq):
-    return W.ism_variants(_sequences(seq).select("seq_id", "start", "sequence"))
+    made = W.ism_variants(_sequences(seq).select("seq_id", "start", "sequence"))
+    return made.groupBy("seq_id", "ref", "alt").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"), F.sum(F.col("position") * F.col("position") % 1000003).alias("mixed"))
 
 
 @query("g04_ism_matrix", """with s as (select variant_id as seq_id, bin as position, 'A' as ref, substr('ACGT', cast(track as int) + 1, 1) as alt, alt as score from pair where track between 1 and 3), c as (select seq_id, position, max(case when alt = 'C' then score end) as c, max(case when alt = 'G' then score end) as g, max(case when alt = 'T' then score end) as t, avg(score) / 3 as m from s group by 1, 2)
@@ -1061,7 +1073,8 @@ def _(usage, wins):
 @query("l01_sorted_sites", f"select row_number() over (order by chrom, pos) as k, chrom, pos from ({_SITES})", "exon")
 def _(exons):
     sites = exons.select("chrom", F.col("estart").alias("pos")).distinct()
-    return sites.orderBy("chrom", "pos").withColumn("k", F.row_number().over(Window.orderBy("chrom", "pos"))).select(F.col("k").cast("bigint").alias("k"), "chrom", "pos")
+    ranked = W.running_totals(sites.withColumn("one", F.lit(1).cast("bigint")), F.struct("chrom", K.floor_div("pos", 1 << 16).alias("block")), [F.col("chrom"), F.col("pos")], "one")
+    return ranked.select(F.col("run_one").alias("k"), "chrom", "pos").orderBy("chrom", "pos")
 
 
 @query("l04_caps", "select gene, pos from (select split_part(gene_id, '.', 1) as gene, pos, row_number() over (partition by split_part(gene_id, '.', 1) order by pos) as n from (select distinct gene_id, pos from pas)) where n <= 5", "pas")
@@ -1081,7 +1094,7 @@ def _(wins):
     return wins.orderBy("wid").limit(20).select("wid")
 
 
-@query("l05_hash_sample", None, "win")
+@query("l05_hash_sample", "select wid, chrom from win order by md5(concat(cast(wid as string), ':42')), wid limit 100", "win")
 def _(wins):
     return W.hash_sample(wins, "wid", 100).select("wid", "chrom")
 
@@ -1091,8 +1104,8 @@ def _(wins):
     return W.grouped_batches(wins, "chrom", "wid", 16).groupBy("chrom", "batch").agg(F.count("*").alias("n"))
 
 
-@query("a40_motif_rate", f"""with g as (select seq_id, {_SEQ} as s from seq where length(raw) = 60), p as (select seq_id, s, unnest(range(0, 58, 7)) as pos from g)
-select case when pos % 2 = 0 then 'Donor' else 'Acceptor' end as site_type, round(avg(case when substr(s, cast(pos + 1 as int), 2) = case when pos % 2 = 0 then 'GT' else 'AG' end then 1.0 else 0.0 end), 6) + 0.0 as rate, count(*) as n from p group by 1""", "seq")
+@query("a40_motif_rate", f"""with g as (select seq_id, string_split({_SEQ}, '') as c from seq), p as (select seq_id, c, unnest(range(0, len(c) - 1, 7)) as pos from g)
+select case when pos % 2 = 0 then 'Donor' else 'Acceptor' end as site_type, round(avg(case when concat(c[pos + 1], c[pos + 2]) = case when pos % 2 = 0 then 'GT' else 'AG' end then 1.0 else 0.0 end), 6) + 0.0 as rate, count(*) as n from p group by 1""", "seq")
 def _(seq):
     g = _sequences(seq).withColumn("chrom", F.col("seq_id").cast("string"))
     chunks = _chunks(g, 10)

@@ -94,6 +94,109 @@ def test_scoring_plan(spark):
         scoring.scorer("nothing")
 
 
+VARIANTS = "variant_id string, chrom string, position long, ref_bases string, alt_bases string"
+
+
+def test_sequences_at_the_ends(spark):
+    genome = spark.createDataFrame([("chr1", 0, "ACGTAC"), ("chr1", 1, "GTAC")], "chrom string, chunk long, seq string")
+    variants = spark.createDataFrame([("first", "chr1", 1, "A", "T"), ("last", "chr1", 10, "C", "CGG"), ("gone", "chr1", 8, "TAC", "T")], VARIANTS)
+    got = {r.variant_id: (r.ref_seq, r.alt_seq) for r in scoring.sequences(variants, genome, 8, 6).collect()}
+    assert got == {"first": ("ACGTA", "TCGTA"), "last": ("GTACNNNN"[:8], "GTACGGNN"), "gone": ("ACGTACNN", "ACGTNNNN")}
+    lost = spark.createDataFrame([("v", "chrZ", 5, "A", "T")], VARIANTS)
+    with pytest.raises(Exception, match="no chromosome chrZ"):
+        scoring.sequences(lost, genome, 8, 6).collect()
+
+
+@pytest.mark.parametrize(("ref", "alt"), [("A", "C"), ("A", "ACCG"), ("ACG", "A"), ("A", "AT"), ("ACGTA", "AC")])
+def test_aligned_rows_are_the_aligned_array(spark, ref, alt):
+    from strandlake.functions.sequence import align_alternate
+
+    values = [float((7 * i) % 11) for i in range(12)]
+    variants = spark.createDataFrame([("v", "c", 106, ref, alt, 100, 112)], VARIANTS + ", interval_start long, interval_end long")
+    rows = [("v", a, i, 0, v if a == "ALT" else 1.0) for a in ("REF", "ALT") for i, v in enumerate(values)]
+    pred = spark.createDataFrame(rows, "variant_id string, allele string, bin long, track long, value double")
+    got = [r.alt for r in S.pair_alleles(S.align_alternates(pred, variants), fill=True).orderBy("bin").collect()]
+    want = spark.range(1).select(align_alternate(F.array(*map(F.lit, values)), F.lit(105), F.lit(len(ref)), F.lit(len(alt)), F.lit(100))).collect()[0][0]
+    assert got == want
+
+
+def test_no_preset_is_left_out(spark):
+    genome = spark.createDataFrame([("chr1", i, "ACGTTAGGTACCAGTA" * 4) for i in range(8)], "chrom string, chunk long, seq string")
+    variants = spark.createDataFrame([("v1", "chr1", 200, "A", "G")], VARIANTS).withColumn("ref_bases", F.lit("GGTACCAG"[0]))
+    text = "ACGTTAGGTACCAGTA" * 32
+    variants = variants.withColumn("ref_bases", F.lit(text[199]))
+    seqs = scoring.sequences(variants, genome, 256, 64)
+    presets = S.recommended("human")
+    genes = spark.createDataFrame([("G1.4", "chr1", "+", 0, 500, "protein_coding")], "gene_id string, chrom string, strand string, gstart long, gend long, gene_type string")
+    exons = spark.createDataFrame([("G1", 100, 150), ("G1", 190, 260)], "gene_id string, estart long, eend long")
+    pas = spark.createDataFrame([("G1.1", "chr1", "+", p) for p in (120, 180, 260)], "gene_id string, chrom string, strand string, pos long")
+    pred = scoring.predict(seqs, scoring.base_content_model, scoring.needs(presets), scoring.read_bins(seqs, presets)).cache()
+    whole = scoring.predict(seqs, scoring.base_content_model, scoring.needs(presets))
+    assert whole.count() >= pred.count()
+    placed = seqs.drop("ref_seq", "alt_seq")
+    scores = {}
+    for linked in (True, False):
+        made = scoring.score_variants(pred, placed, presets, scoring.Annotation(genes, exons, pas, linked)).collect()
+        assert {r.scorer for r in made} == {p.name for p in presets} and len({p.name for p in presets}) == 19
+        scores[linked] = sorted((r.scorer, r.track, r.score) for r in made)
+    assert scores[True] == scores[False]
+    for lacking, name in ((scoring.Annotation(None, exons, pas), "genes"), (scoring.Annotation(genes, None, pas), "exons")):
+        with pytest.raises(ValueError, match=name):
+            scoring.score_variants(pred, placed, presets, lacking)
+    with pytest.raises(ValueError, match="human only"):
+        scoring.score_variants(pred, placed, presets, scoring.Annotation(genes, exons, pas), "mouse")
+    with pytest.raises(KeyError):
+        scoring.score_variants(pred, placed, [S.Preset("nothing", "atac")])
+    with pytest.raises(ValueError):
+        scoring.score_variants(pred, placed, [])
+    peaks = scoring.score_variants(pred, placed, [p for p in presets if p.scorer == "polyadenylation"]).collect()
+    assert len(peaks) == 4 and {r.gene_id for r in peaks} == {None}
+    junctions = scoring.score_variants(pred, placed, [p for p in presets if p.scorer == "junction"]).collect()
+    assert junctions and all(r.junction_start < r.junction_end and r.gene_id is None for r in junctions)
+
+
+def test_own_scorers(spark):
+    scoring.register_scorer("own", lambda task: task.pairs().groupBy("variant_id", "track").agg(F.count("*").cast("double").alias("score")))
+    pred = spark.createDataFrame([("v", a, "atac", 1, b, None, None, 0, 1.0) for a in ("REF", "ALT") for b in range(3)], scoring.PRED)
+    variants = spark.createDataFrame([("v", "c", 2, "A", "G", 0, 3)], VARIANTS + ", interval_start long, interval_end long")
+    got = scoring.score_variants(pred, variants, [S.Preset("own", "atac", 501)]).collect()
+    assert [(r.scorer, r.score) for r in got] == [("own(atac, 501, None)", 3.0)]
+
+
+def test_fasta_over_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    want, text = {}, "junk before any header\n"
+    for name, length in (("1", 5000), ("chr2", 0), ("3", 7), ("chrX", 3333), ("MT", 64)):
+        seq = "".join(rng.choice("acgtnACGTN") for _ in range(length))
+        text += f">{name} some > words\n" + "".join(seq[i : i + 61] + ("\r\n" if name == "3" else "\n") for i in range(0, length, 61))
+        want[name if name.startswith("chr") else f"chr{name}"] = seq.upper()
+    (tmp_path / "g.fa").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        chunks = R.read_fasta(spark, f"file://{tmp_path}/g.fa", 64)
+        assert chunks.rdd.getNumPartitions() >= 1
+        got = {}
+        for r in chunks.orderBy("chrom", "chunk").collect():
+            assert len(r.seq) == 64 or r.chunk == len(want[r.chrom]) // 64
+            got[r.chrom] = got.get(r.chrom, "") + r.seq
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_log_header(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    Wr.append_log(spark.createDataFrame([(1, 0.5)], "step long, loss double"), path)
+    Wr.append_log(spark.createDataFrame([(2,)], "step long"), path)
+    got = spark.read.option("header", True).csv(path).orderBy("step").collect()
+    assert [(r.step, r.loss) for r in got] == [("1", "0.5"), ("2", None)]
+    with pytest.raises(ValueError, match="other"):
+        Wr.append_log(spark.createDataFrame([(3, 1)], "step long, other long"), path)
+
+
 def test_streaming(spark, tmp_path):
     genes = spark.createDataFrame([("G", "n", "t", "chr1", 0, 100, "+")], "gene_id string, gene_name string, gene_type string, chrom string, gstart long, gend long, strand string")
     spark.createDataFrame([(1, "chr1", 50), (2, "chr1", 500)], "variant_id long, chrom string, position long").write.parquet(f"file://{tmp_path}/in")

@@ -10,9 +10,11 @@ from strandlake.functions import coords as K
 from strandlake.functions import sequence as Q
 from strandlake.functions import transforms as X
 from strandlake.operators import annotation as N
+from strandlake.operators import etl as E
 from strandlake.operators import evaluation as V
 from strandlake.operators import intervals as I
 from strandlake.operators import scorers as S
+from strandlake.operators import signals as G
 from strandlake.operators import windows as W
 
 P, T = [[1, 2, 3], [0.5, 1.5, 2.5]], [[0.8, 2.2, 2.9], [0.6, 1.4, 2.6]]
@@ -39,13 +41,9 @@ def test_losses(spark, pt):
 
 def test_multinomial(spark):
     pred, true = [[1, 2, 0.5, 3], [0.5, 1.5, 0.8, 2]], [[10, 30, 5, 20], [8, 15, 3, 12]]
-    # Two channels of four positions.
-    df = spark.createDataFrame([(c, s, float(pred[c][s]), float(true[c][s])) for c in range(2) for s in range(4)], "c long, s long, p double, t double")
-    by_channel = V.multinomial_loss(df, ["c"], "s", "p", "t", 2).collect()[0]
-    # The constants belong to two channels of four positions or to four channels of two.
-    turned = spark.createDataFrame([(c, s, float(pred[s][c]), float(true[s][c])) for c in range(4) for s in range(2)], "c long, s long, p double, t double")
-    by_position = V.multinomial_loss(turned, ["c"], "s", "p", "t", 2).collect()[0]
-    got = min((by_channel, by_position), key=lambda r: abs(r["loss"] - 26.4599399567))
+    # Two positions of four channels: rows are positions.
+    df = spark.createDataFrame([(c, s, float(pred[s][c]), float(true[s][c])) for c in range(4) for s in range(2)], "c long, s long, p double, t double")
+    got = V.multinomial_loss(df, ["c"], "s", "p", "t", 2).collect()[0]
     assert got["loss"] == pytest.approx(26.4599399567, abs=1e-4)
     assert got["loss_total"] == pytest.approx(17.7364959717, abs=1e-4)
     assert got["loss_positional"] == pytest.approx(8.7234439850, abs=1e-4)
@@ -82,10 +80,10 @@ def test_sequences(spark):
 
 def test_transforms(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 4.0), (1, 0.0), (1, 0.0)], "g long, x double")
-    got = sorted((r.g, r.y) for r in df.withColumn("y", X.normalize_to_total("x", ["g"], 70.0)).collect())
+    got = sorted((r.g, r.y) for r in G.normalize_to_total(df.withColumn("y", F.col("x")), "y", ["g"], 70.0).collect())
     assert got == [(0, 10.0), (0, 20.0), (0, 40.0), (1, 0.0), (1, 0.0)]
-    mean = spark.createDataFrame([(0, float(v)) for v in (0, 2, 4, 6)], "g long, x double").withColumn("y", X.mean_normalize("x", ["g"]))
-    assert sorted(r.y for r in mean.collect()) == pytest.approx([0, 0.5, 1, 1.5], abs=1e-6)
+    mean = spark.createDataFrame([(0, float(v)) for v in (0, 2, 4, 6)], "g long, x double")
+    assert sorted(r.x for r in G.mean_normalize(mean, "x", ["g"]).collect()) == pytest.approx([0, 0.5, 1, 1.5], abs=1e-6)
     clip = spark.createDataFrame([(100.0,), (200.0,), (500.0,)], "x double").withColumn("y", X.smooth_clip("x", 100.0)).withColumn("z", X.smooth_clip_inverse("y", 100.0))
     assert [(r.y, r.z) for r in clip.collect()] == [(100.0, 100.0), (120.0, 200.0), (140.0, 500.0)]
     back = spark.createDataFrame([(5.0,), (5000.0,)], "x double").withColumn("y", X.scale_prediction(X.scale_target("x", F.lit(2.0), 128, True), F.lit(2.0), 128, True))
@@ -136,6 +134,58 @@ def test_binned_join_is_the_naive_join(spark):
     assert semi == {i for i, _ in naive} and anti == {x[0] for x in a} - semi
 
 
+@pytest.mark.parametrize("block", [16, 64, 1 << 20])
+def test_merge_across_blocks(spark, block):
+    import random
+
+    rng = random.Random(block)
+    rows = [(rng.choice(["a", "b", None]), s := rng.randrange(2000), s + rng.choice([0, 1, 3, 10, 200])) for _ in range(150)]
+    want = []
+    for chrom in ("a", "b", None):
+        for start, end in sorted((s, e) for c, s, e in rows if c == chrom):
+            if want and want[-1][0] == chrom and start <= want[-1][2]:
+                want[-1] = (chrom, want[-1][1], max(end, want[-1][2]), want[-1][3] + 1)
+            else:
+                want.append((chrom, start, end, 1))
+    got = I.merge_intervals(spark.createDataFrame(rows, "chrom string, s long, e long"), ["chrom"], "s", "e", block).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_running_totals(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice("xy"), k, rng.randrange(5)) for k in rng.sample(range(1000), 80)]
+    got = W.running_totals(spark.createDataFrame(rows, "g string, k long, v long"), K.floor_div("k", 100), [F.col("k")], "v", by=("g",)).collect()
+    for r in got:
+        assert r.run_v == sum(v for g, k, v in rows if g == r.g and k <= r.k) and r.all_v == sum(v for g, _, v in rows if g == r.g)
+    assert len(got) == 80 and len(W.every_nth(spark.createDataFrame(rows, "g string, k long, v long"), "k", 7, 64).collect()) == 7
+
+
+def test_partners(spark):
+    rows = spark.createDataFrame([(10, "+", "{5: 1, 5: 2}"), (10, "-", "{12: 4, 8: 9, 12: 9}"), (10, "+", "{}"), (10, "+", None), (10, "+", "{12:3, 8: 1}")], "site long, strand string, t string")
+    got = rows.select(E.parse_partners("t").alias("p"), E.site_type("site", "strand", E.parse_partners("t")).alias("k")).collect()
+    assert [sorted(map(tuple, r.p or [])) for r in got] == [[(5, 2)], [(8, 9), (12, 9)], [], [], [(8, 1), (12, 3)]]
+    assert [r.k for r in got] == ["Acceptor", "Donor", "None", "None", "Donor"]
+
+
+def test_user_metrics(spark):
+    df = spark.createDataFrame([("h", r, t, float(r + t + i), float(i * i)) for r in range(2) for t in range(2) for i in range(4)], "head string, region long, track long, x double, y double")
+    got = V.head_metrics(df, "head", "region", "track", "x", "y", far=F.max(F.abs(F.col("x") - F.col("y")))).collect()[0]
+    want = [max(abs(r + t + i - i * i) for i in range(4)) for r in range(2) for t in range(2)]
+    assert got.far == pytest.approx(sum(want) / 4) and got.count_r is not None
+    with pytest.raises(ValueError):
+        V.head_metrics(df, "head", "region", "track", "x", "y", profile_r=F.max("x"))
+    with pytest.raises(Exception, match="(?i)aggregat|group"):
+        V.head_metrics(df, "head", "region", "track", "x", "y", wrong=F.col("x"))
+
+
+def test_gene_logo(spark):
+    scores = spark.createDataFrame([(1, g, 5, b, float(v)) for g, vs in (("a", (1, 2, 6)), ("b", (0, 0, 0))) for b, v in zip("CGT", vs, strict=True)], "seq_id long, gene_id string, position long, alt string, score double")
+    got = {(r.gene_id, r.alt): r.centered for r in W.gene_logo(scores).collect()}
+    assert got["a", "T"] == 1.0 and got["a", "C"] == pytest.approx(-2 / 3) and got["b", "T"] == 0.0
+
+
 def test_merge_is_idempotent(spark):
     df = spark.createDataFrame([("c", 0, 5), ("c", 5, 9), ("c", 20, 30), ("d", 1, 2), ("c", 21, 22)], "chrom string, s long, e long")
     once = I.merge_intervals(df, ["chrom"], "s", "e")
