@@ -16,6 +16,7 @@ from ..operators import tracks as M
 from ..operators import windows as W
 from ..sources import readers as R
 from ..sources import writers as Wr
+from ..sources.bigwig import read_bigwig, write_bigwig
 from ..sources.scratch import scratch
 from . import scoring
 from .queries import _CAT, _JUNCTION, _P, _SEL, _SEQ, _catalog, _chunks, _head, _junctions, _sequences, on, query, r6
@@ -146,50 +147,83 @@ def _(seq):
 _BG = "select track as track_index, concat('chr', cast(vec_id % 5 + 1 as string)) as chrom, vec_id * 64 + bin * 8 as start, vec_id * 64 + bin * 8 + 8 as \"end\", cast(value as float) as value from signal"
 
 
-def _bedgraph(signal: DataFrame, track: int, path: str) -> str:
-    rows = signal.filter(F.col("track") == track).select(F.concat_ws("\t", F.concat(F.lit("chr"), (F.col("vec_id") % 5 + 1).cast("string")), (F.col("vec_id") * 64 + F.col("bin") * 8).cast("string"), (F.col("vec_id") * 64 + F.col("bin") * 8 + 8).cast("string"), F.col("value").cast("float").cast("string")).alias("value"))
-    return _text(rows, path)
+def _placed_signal(signal: DataFrame) -> DataFrame:
+    return signal.select("track", F.concat(F.lit("chr"), (F.col("vec_id") % 5 + 1).cast("string")).alias("chrom"), (F.col("vec_id") * 64 + F.col("bin") * 8).alias("start"), (F.col("vec_id") * 64 + F.col("bin") * 8 + 8).alias("end"), F.col("value").cast("float").alias("value"))
 
 
-@query("s13_bedgraph_scan", f"select chrom, start, \"end\", round(value, 5) as value from ({_BG}) where track_index = 0", "signal")
+def _bedgraphs(signal: DataFrame) -> list[str]:
+    """A folder of bedGraph text for each of the eight tracks."""
+    base = scratch(signal.sparkSession, "bg")
+    line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), F.col("value").cast("string"))
+    _placed_signal(signal).select("track", line.alias("value")).write.partitionBy("track").text(base)
+    return [f"{base}/track={t}" for t in range(8)]
+
+
+def _sizes(signal: DataFrame) -> dict[str, int]:
+    """The lengths of the five chromosomes."""
+    end = signal.agg(F.max(F.col("vec_id") * 64 + 64)).collect()[0][0]
+    return {f"chr{k}": end for k in range(1, 6)}
+
+
+def _bigwigs(signal: DataFrame) -> list[str]:
+    """A BigWig file for each track, in order; a written manifest names them."""
+    spark, manifest = signal.sparkSession, scratch(signal.sparkSession, "manifest")
+    write_bigwig(_placed_signal(signal), _sizes(signal), scratch(spark, "bw")).write.parquet(manifest)
+    return [r.path for r in spark.read.parquet(manifest).orderBy("track").collect()]
+
+
+@query("s13_bedgraph_scan", f"select cast(track_index as int) as track_index, chrom, start, \"end\", round(value, 5) as value from ({_BG})", "signal")
 def _(signal):
-    spark = signal.sparkSession
-    return R.read_bedgraph(spark, [_bedgraph(signal, 0, scratch(spark, "bg"))]).select("chrom", "start", "end", F.round("value", 5).alias("value"))
+    return R.read_bedgraph(signal.sparkSession, _bedgraphs(signal)).select("track_index", "chrom", "start", "end", F.round("value", 5).alias("value"))
 
 
-@query("s15_bedgraph_files", f"select cast(track_index as int) as track_index, chrom, count(*) as n, max(\"end\") as last from ({_BG}) where track_index < 3 group by 1, 2", "signal")
+@query("s13b_bigwig_scan", f"select cast(track_index as int) as track_index, chrom, start, \"end\", round(value, 5) as value from ({_BG}) where chrom in ('chr2', 'chr5')", "signal")
 def _(signal):
-    spark = signal.sparkSession
-    return R.read_bedgraph(spark, [_bedgraph(signal, t, scratch(spark, "bg")) for t in range(3)]).groupBy("track_index", "chrom").agg(F.count("*").alias("n"), F.max("end").alias("last"))
+    return read_bigwig(signal.sparkSession, _bigwigs(signal), ["chr2", "chr5", "chrM"]).select("track_index", "chrom", "start", "end", F.round("value", 5).alias("value"))
 
 
-def _stored(signal: DataFrame) -> DataFrame:
-    return signal.filter("track = 1").select(F.concat(F.lit("chr"), (F.col("vec_id") % 5 + 1).cast("string")).alias("chrom"), (F.col("vec_id") * 64 + F.col("bin") * 8).alias("start"), (F.col("vec_id") * 64 + F.col("bin") * 8 + 8).alias("end"), F.col("value").cast("float").alias("value"))
+@query("s15_bedgraph_files", f"select cast(track_index as int) as track_index, chrom, count(*) as n, max(\"end\") as last from ({_BG}) group by 1, 2", "signal")
+def _(signal):
+    return R.read_bedgraph(signal.sparkSession, _bedgraphs(signal)).groupBy("track_index", "chrom").agg(F.count("*").alias("n"), F.max("end").alias("last"))
+
+
+@query("s15b_bigwig_files", f"select cast(track_index as int) as track_index, chrom, count(*) as n, max(\"end\") as last, round(sum(value), 4) as total from ({_BG}) group by 1, 2", "signal")
+def _(signal):
+    return read_bigwig(signal.sparkSession, _bigwigs(signal)).groupBy("track_index", "chrom").agg(F.count("*").alias("n"), F.max("end").alias("last"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
 
 
-@query("s14_partitioned_signal", f"select chrom, start, \"end\", round(value, 5) as value from ({_BG}) where track_index = 1 and chrom in ('chr1', 'chr4')", "signal")
+@query("s14_partitioned_signal", f"select track_index, chrom, start, \"end\", round(value, 5) as value from ({_BG}) where chrom in ('chr1', 'chr4')", "signal")
 def _(signal):
     path = scratch(signal.sparkSession, "signal")
-    Wr.write_signal(_stored(signal), path)
-    return R.read_signal(signal.sparkSession, path, ["chr1", "chr4"]).select("chrom", "start", "end", F.round("value", 5).alias("value"))
+    Wr.write_signal(_placed_signal(signal).withColumnRenamed("track", "track_index"), path)
+    return R.read_signal(signal.sparkSession, path, ["chr1", "chr4"]).select("track_index", "chrom", "start", "end", F.round("value", 5).alias("value"))
 
 
-@query("k06_partitioned_signal_writer", f"select chrom, count(*) as n, min(start) as first from ({_BG}) where track_index = 1 group by 1", "signal")
+@query("k06_partitioned_signal_writer", f"select track_index, chrom, count(*) as n, min(start) as first from ({_BG}) group by 1, 2", "signal")
 def _(signal):
     path = scratch(signal.sparkSession, "signal")
-    Wr.write_signal(_stored(signal), path)
-    return signal.sparkSession.read.parquet(path).groupBy("chrom").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+    Wr.write_signal(_placed_signal(signal).withColumnRenamed("track", "track_index"), path)
+    return signal.sparkSession.read.parquet(path).groupBy("track_index", "chrom").agg(F.count("*").alias("n"), F.min("start").alias("first"))
 
 
-@query("k07_fixed_step_writer", "select concat('v', cast(vec_id as string)) as chrom, bin * 128 as start, bin * 128 + 128 as \"end\", cast(track as int) as track, round(value, 5) as value from signal where track < 2", "signal")
+@query("k07_fixed_step_writer", "select concat('v', cast(vec_id as string)) as chrom, bin * 128 as start, bin * 128 + 128 as \"end\", cast(track as int) as track, round(value, 5) as value from signal", "signal")
 def _(signal):
     spark = signal.sparkSession
     path = scratch(spark, "wig")
-    Wr.write_bedgraph(signal.filter("track < 2").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chrom"), "bin", "track", "value"), path, 128)
+    Wr.write_bedgraph(signal.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chrom"), "bin", "track", "value"), path, 128)
     parts = F.split("value", "\t")
     return spark.read.text(path).select(parts[0].alias("chrom"), parts[1].cast("long").alias("start"), parts[2].cast("long").alias("end"), F.col("track").cast("int").alias("track"), F.round(parts[3].cast("double"), 5).alias("value"))
 
 
+@query("k07b_bigwig_writer", "select concat('chr', cast(vec_id % 5 + 1 as string)) as chrom, (vec_id * 8 + bin) * 128 as start, (vec_id * 8 + bin) * 128 + 128 as \"end\", cast(track as int) as track_index, round(cast(value as float), 5) as value from signal", "signal")
+def _(signal):
+    spark, manifest = signal.sparkSession, scratch(signal.sparkSession, "manifest")
+    rows = signal.select("track", F.concat(F.lit("chr"), (F.col("vec_id") % 5 + 1).cast("string")).alias("chrom"), (F.col("vec_id") * 8 + F.col("bin")).alias("bin"), "value")
+    write_bigwig(rows, {c: 16 * n for c, n in _sizes(signal).items()}, scratch(spark, "bw"), 128).write.parquet(manifest)
+    paths = [r.path for r in spark.read.parquet(manifest).orderBy("track").collect()]
+    return read_bigwig(spark, paths).select("chrom", "start", "end", "track_index", F.round("value", 5).alias("value"))
+
+
 @query("s16_track_files", _CAT.replace("case when ontology_curie <> 'nan' then ontology_curie end", "1") + " select cast(organism as int) as organism, output_name, track_name, strand from cat", "track")
 def _(tracks):
     spark = tracks.sparkSession
@@ -257,11 +291,11 @@ def _(exons):
     return exons.sparkSession.read.parquet(path)
 
 
-@query("s23_saved_predictions", "select variant_id, bin, track, round(value, 6) as value from signal where allele = 'ALT'", "signal")
+@query("s23_saved_predictions", "select variant_id, allele, bin, track, round(value, 6) as value from signal", "signal")
 def _(signal):
     path = scratch(signal.sparkSession, "pred")
-    signal.filter("allele = 'ALT'").write.parquet(path)
-    return signal.sparkSession.read.parquet(path).select("variant_id", "bin", "track", F.round("value", 6).alias("value"))
+    signal.write.parquet(path)
+    return signal.sparkSession.read.parquet(path).select("variant_id", "allele", "bin", "track", F.round("value", 6).alias("value"))
 
 
 @query("k09_prediction_writer", "select allele, count(*) as n from signal group by 1", "signal")

@@ -588,21 +588,21 @@ def _(wins, seq):
     return W.fetch(asked, _chunks(named, 10), 10).select("rid", "sequence")
 
 
-_T = "select variant_id, bin, track, value, {} as out from signal where allele = 'REF'"
+def _transform(name: str, sql: str, column: Callable[[], F.Column]) -> None:
+    query(name, f"select variant_id, allele, bin, track, round({sql}, 6) + 0.0 as v from signal", "signal")(lambda s: s.select("variant_id", "allele", "bin", "track", r6(column()).alias("v")))
 
 
-def _transform(name: str, sql: str, column: Callable[[], F.Column]) -> None:
-    query(name, f"select variant_id, bin, track, round({sql}, 6) + 0.0 as v from signal where allele = 'REF'", "signal")(lambda s: s.filter("allele = 'REF'").select("variant_id", "bin", "track", r6(column()).alias("v")))
+_TRACK = ["variant_id", "allele", "track"]
 
 
-@query("c15_normalize_to_total", "select variant_id, bin, track, round(case when sum(value) over (partition by variant_id, track) = 0 then value else value * 1000 / sum(value) over (partition by variant_id, track) end, 6) + 0.0 as v from signal where allele = 'REF'", "signal")
+@query("c15_normalize_to_total", "select variant_id, allele, bin, track, round(case when sum(value) over w = 0 then value else value * 1000 / sum(value) over w end, 6) + 0.0 as v from signal window w as (partition by variant_id, allele, track)", "signal")
 def _(s):
-    return G.normalize_to_total(s.filter("allele = 'REF'"), "value", ["variant_id", "track"], 1000.0).select("variant_id", "bin", "track", r6("value").alias("v"))
+    return G.normalize_to_total(s, "value", _TRACK, 1000.0).select("variant_id", "allele", "bin", "track", r6("value").alias("v"))
 
 
-@query("c16_mean_normalize", "select variant_id, bin, track, round(value / (avg(case when value > 0 then value end) over (partition by variant_id, track) + 1e-8), 6) + 0.0 as v from signal where allele = 'REF'", "signal")
+@query("c16_mean_normalize", "select variant_id, allele, bin, track, round(value / (avg(case when value > 0 then value end) over (partition by variant_id, allele, track) + 1e-8), 6) + 0.0 as v from signal", "signal")
 def _(s):
-    return G.mean_normalize(s.filter("allele = 'REF'"), "value", ["variant_id", "track"]).select("variant_id", "bin", "track", r6("value").alias("v"))
+    return G.mean_normalize(s, "value", _TRACK).select("variant_id", "allele", "bin", "track", r6("value").alias("v"))
 
 
 _transform("c17_power", "pow(value, 0.75) + pow(value, 1 / 0.75)", lambda: X.power_transform("value") + X.power_inverse("value"))
@@ -612,17 +612,17 @@ _transform("c21_scale_target", "case when x > 10 then 2 * sqrt(10 * x) - 10 else
 _transform("c29_gelu", "value / (1 + exp(-1.702 * value))", lambda: X.gelu("value"))
 
 
-@query("c19_pipelines", """with t as (select *, case when sum(value) over w = 0 then value else value * 1000 / sum(value) over w end as a from signal where allele = 'REF' window w as (partition by variant_id, track)),
-m as (select *, a / (avg(case when a > 0 then a end) over (partition by variant_id, track) + 1e-8) as b from t)
-select variant_id, bin, track, round(case when b > 1.5 then 1.5 + 2 * sqrt(b - 1.5) else b end, 6) + 0.0 as atac from m""", "signal")
+@query("c19_pipelines", """with t as (select *, case when sum(value) over w = 0 then value else value * 1000 / sum(value) over w end as a from signal window w as (partition by variant_id, allele, track)),
+m as (select *, a / (avg(case when a > 0 then a end) over (partition by variant_id, allele, track) + 1e-8) as b from t)
+select variant_id, allele, bin, track, round(case when b > 1.5 then 1.5 + 2 * sqrt(b - 1.5) else b end, 6) + 0.0 as atac from m""", "signal")
 def _(s):
-    return G.atac_pipeline(s.filter("allele = 'REF'"), "value", ["variant_id", "track"], 1000.0, 1.5).select("variant_id", "bin", "track", r6("value").alias("atac"))
+    return G.atac_pipeline(s, "value", _TRACK, 1000.0, 1.5).select("variant_id", "allele", "bin", "track", r6("value").alias("atac"))
 
 
-@query("c19b_rna_pipeline", """with m as (select *, pow(value / (avg(case when value > 0 then value end) over (partition by variant_id, track) + 1e-8), 0.75) as b from signal where allele = 'ALT')
-select variant_id, bin, track, round(case when b > 1.5 then 1.5 + 2 * sqrt(b - 1.5) else b end, 6) + 0.0 as rna from m""", "signal")
+@query("c19b_rna_pipeline", """with m as (select *, pow(value / (avg(case when value > 0 then value end) over (partition by variant_id, allele, track) + 1e-8), 0.75) as b from signal)
+select variant_id, allele, bin, track, round(case when b > 1.5 then 1.5 + 2 * sqrt(b - 1.5) else b end, 6) + 0.0 as rna from m""", "signal")
 def _(s):
-    return G.rna_pipeline(s.filter("allele = 'ALT'"), "value", ["variant_id", "track"], threshold=1.5).select("variant_id", "bin", "track", r6("value").alias("rna"))
+    return G.rna_pipeline(s, "value", _TRACK, threshold=1.5).select("variant_id", "allele", "bin", "track", r6("value").alias("rna"))
 
 
 @query("c22_widths", "select p_partkey, case p_partkey % 4 when 0 then 2048 when 1 then 131072 when 2 then 1048576 else -1 end as width from part")

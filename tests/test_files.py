@@ -1,5 +1,8 @@
 """Files: what the writers write, the readers read; the scoring plan end to end; streaming."""
 
+import io
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +190,52 @@ def test_fasta_over_splits(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_bigwig(spark, tmp_path, monkeypatch):
+    import random
+
+    from strandlake.sources import bigwig as B
+
+    monkeypatch.setattr(B, "NODE", 3)  # trees of several levels
+    rng = random.Random(8)
+    sizes = {f"chr{k}": 100_000 for k in (1, 2, 10, 11, 3, 4, 5, "X")}
+    sink, want = io.BytesIO(), []
+    writer = B.BigWigWriter(sink, dict.fromkeys(sorted(sizes), 100_000))
+    for chrom in sorted(sizes):
+        for k in range(rng.randrange(1, 9)):
+            n = rng.randrange(1, 40)
+            starts = np.arange(n, dtype=np.int64) * 10 + k * 1000
+            values = np.array([rng.choice([0.5, -2.0, float("nan")]) for _ in range(n)], dtype=np.float32)
+            step = 10 if k % 2 else None
+            writer.add(chrom, starts, starts + (10 if step else 7), values, step)
+            want += [(chrom, int(s), int(s) + (10 if step else 7), 0.0 if v != v else float(v)) for s, v in zip(starts, values, strict=True)]
+    raw = writer.head() + sink.getvalue() + writer.tail()
+    (tmp_path / "a.bw").write_bytes(raw)
+    assert B.chromosomes(lambda at, n: raw[at : at + n]) == sizes and raw[-4:] == raw[:4]
+    got = sorted((r.chrom, r.start, r.end, r.value) for r in B.read_bigwig(spark, [f"file://{tmp_path}/a.bw"]).collect())
+    assert got == sorted(want)
+    some = B.read_bigwig(spark, [f"file://{tmp_path}/a.bw"], ["chrX", "chrM"]).collect()
+    assert sorted((r.chrom, r.start, r.end, r.value) for r in some) == sorted(w for w in want if w[0] == "chrX")
+    with pytest.raises(ValueError):
+        list(B.sections(lambda at, n: (b"x" * 64)[at : at + n]))
+
+
+def test_bigwig_made_by_hand(spark, tmp_path):
+    """An uncompressed file with variable steps, laid out byte by byte."""
+    import struct
+
+    from strandlake.sources.bigwig import read_bigwig
+
+    tree = struct.pack("<IIIIQQ", 0x78CA8C91, 1, 4, 8, 1, 0) + struct.pack("<BBH4sII", 1, 0, 1, b"chr7", 0, 500)
+    section = struct.pack("<IIIIIBBH", 0, 10, 45, 0, 5, 2, 0, 2) + struct.pack("<IfIf", 10, 1.5, 40, 2.5)
+    data_at = 64 + len(tree)
+    index_at = data_at + 8 + len(section)
+    index = struct.pack("<IIQIIIIQII", 0x2468ACE0, 1, 1, 0, 10, 0, 45, index_at, 1, 0) + struct.pack("<BBHIIIIQQ", 1, 0, 1, 0, 10, 0, 45, data_at + 8, len(section))
+    head = struct.pack("<IHHQQQHHQQIQ", 0x888FFC26, 4, 0, 64, data_at, index_at, 0, 0, 0, 0, 0, 0)
+    (tmp_path / "b.bw").write_bytes(head + tree + struct.pack("<Q", 1) + section + index + head[:4])
+    got = sorted((r.track_index, r.chrom, r.start, r.end, r.value) for r in read_bigwig(spark, [f"file://{tmp_path}/b.bw"]).collect())
+    assert got == [(0, "chr7", 10, 15, 1.5), (0, "chr7", 40, 45, 2.5)]
+
+
 def test_log_header(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     Wr.append_log(spark.createDataFrame([(1, 0.5)], "step long, loss double"), path)
