@@ -234,7 +234,11 @@ def look_up(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
                         source.close()
                     now, source = i, fs.open_input_file(parts[i][2])
                     part = IndexPart(_reader(source), parts[i][3])
-                out += part.find(key)
+                for capture in part.find(key):
+                    out.append(capture)
+                    if len(out) == 4096:  # a key may have any number of captures
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
         if source is not None:
