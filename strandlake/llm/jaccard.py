@@ -11,8 +11,9 @@
 4. Within a cluster sketches are compared again, nearest first, and a pair is verified on its sets unless it is in one
    component already; components join the verified links.
 A gathering or cluster beyond a fixed size is dealt into blocks. Its sets are first compared with a few pivots, block by
-block; what hangs together by then needs no further comparison, and only the sets that stay loose meet all blocks, a
-pair of blocks a task. A task returns at most one pair for each of its sets. No pair that could add a link is left out,
+block, then with the sets that lie closest to these, as the original of many copies does; what hangs together by then
+needs no further comparison, and only the sets that stay loose meet all blocks, a pair of blocks a task. A task returns
+at most one pair for each of its sets. No pair that could add a link is left out,
 and none is written out for being in a group.
 
 Shingles are 64-bit values under a key that is drawn for each run, so texts cannot be made to collide; a set's identity
@@ -34,7 +35,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, small_batches, utf8_rows
@@ -49,8 +50,10 @@ POPULAR = 64
 BLOCK_SHINGLES = 1_000_000
 #: Sets of such a block, about.
 BLOCK_SETS = 2000
-#: Sets of a large group that all others are compared with first, about, and how often pivots are drawn.
-PIVOTS, PIVOT_ROUNDS = 16, 2
+#: Sets of a large group that all others are compared with at first, about.
+PIVOTS = 16
+#: What a task gives: links (a, b), and with a score, a = b, the set of its block that is closest to the pivots.
+FOUND = "a long, b long, score long"
 #: Bits of the widest whole sketch.
 WIDEST = 1 << 13
 #: Bits of the widest maps that spare rows a shuffle; where more values are to be marked, a join does without.
@@ -239,33 +242,38 @@ def links_in_groups(rows: DataFrame, group: str, weight: str, most_weight: int,
     """Edges (a, b) that connect, over all groups, whatever rows of one group should be connected.
 
     rows: node, ``group``, ``weight`` and what ``compare`` reads; a written table. ``compare`` gets them with own, x and y: a
-    task (group, x, y) with x = y compares all its rows, others compare rows of different ``own`` only. A group that fits
-    one block is one task. Of a larger one each block meets the pivots; then the rows outside the group's main component
-    are loose and meet all blocks. So rows grow with the number of loose rows, not with the square of the group.
+    task (group, x, y) with x = y compares all its rows, others compare rows of different ``own`` only; it returns ``FOUND``. A
+    group that fits one block is one task. Of a larger one each block meets the pivots, drawn by hash, then the sets that
+    came out closest to them; the rows outside the group's main component by then are loose and meet all blocks. So rows
+    grow with the number of loose rows, not with the square of the group.
     """
     need = F.greatest(F.ceil(F.sum(weight) / most_weight), F.ceil(F.count("*") / most_rows)).cast("int")
     # Written first, so that the joins below have one plain row per group and can deal a large group to several tasks.
     sizes = materialize(rows.groupBy(group).agg(need.alias("blocks"), F.count("*").alias("n")).filter("n > 1"), "blocks")
     small = rows.join(sizes.filter("blocks = 1").select(group), group).withColumns({"own": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
-    edges = materialize(compare(small), "links")
+    edges = materialize(compare(small), "links").select("a", "b")
     if sizes.filter("blocks > 1").isEmpty():
         return edges
     big = rows.join(sizes.filter("blocks > 1"), group)
     state = materialize(big.select("node", group, weight, "blocks", F.col("n").alias("loose_rows"), F.lit(True).alias("loose")), "loose")
-    known = rows.drop(group, weight)
-    for turn in range(PIVOT_ROUNDS):
+    known = rows.drop(group, weight).dropDuplicates(["node"])
+    drawn = state.filter(F.pmod(F.xxhash64("node"), F.col("loose_rows")) < PIVOTS)
+    for turn in range(2):
         own = _place("node", blocks="blocks")
         members = state.withColumns({"own": own, "x": F.lit(-1), "y": own})
-        drawn = F.col("loose") & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("loose_rows")) < PIVOTS)
-        pivots = state.filter(drawn).withColumns({"own": F.lit(-1), "x": F.lit(-1), "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-        tasks = members.unionByName(pivots).drop("blocks", "loose_rows", "loose").join(known.dropDuplicates(["node"]), "node")
-        edges = edges.unionByName(materialize(compare(tasks), "links"))
+        pivots = drawn.withColumns({"own": F.lit(-1), "x": F.lit(-1), "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+        tasks = members.unionByName(pivots).drop("blocks", "loose_rows", "loose").join(known, "node")
+        found = materialize(compare(tasks), "links")
+        edges = edges.unionByName(found.filter("score is null").select("a", "b"))
         labelled = state.drop("loose", "loose_rows").join(components(edges), "node", "left").withColumn("label", F.coalesce("component", "node"))
         counted = labelled.groupBy(group, "label").count()
         mains = counted.groupBy(group).agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("loose_rows")).filter("loose_rows > 0")
         state = materialize(labelled.join(materialize(mains, "mains"), group).withColumn("loose", F.col("label") != F.col("main")).drop("label", "main", "component"), "loose")
-        if state.filter(F.col("loose_rows") > most_rows).isEmpty():
+        if turn or state.filter(F.col("loose_rows") > PIVOTS).isEmpty():
             break
+        central = state.join(found.filter("score is not null").groupBy(F.col("a").alias("node")).agg(F.min("score").alias("score")), "node")
+        rank = F.row_number().over(Window.partitionBy(group).orderBy("score", "node"))
+        drawn = materialize(central.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).drop("rank", "score"), "pivots")
     both = [F.greatest(F.ceil(F.sum(F.when(c, F.col(weight))) / most_weight), F.ceil(F.count_if(c) / most_rows)).cast("int") for c in (F.col("loose"), ~F.col("loose"))]
     blocks = materialize(state.groupBy(group).agg(both[0].alias("free"), both[1].alias("tied")), "blocks")
     dealt = (
@@ -275,7 +283,23 @@ def links_in_groups(rows: DataFrame, group: str, weight: str, most_weight: int,
         .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
         .drop("other", "free", "tied", "loose")
     )
-    return edges.unionByName(materialize(compare(dealt.join(known.dropDuplicates(["node"]), "node")), "links"))
+    return edges.unionByName(materialize(compare(dealt.join(known, "node")), "links").select("a", "b"))
+
+
+def most_central(ids: list[int], sketches: list[bytes], pivot: list[bool]) -> tuple[int, int] | None:
+    """(id, score): of the sets that are no pivots the one whose sketch is closest to all pivots', the least of equals."""
+    mine, others = [i for i, p in enumerate(pivot) if not p], [i for i, p in enumerate(pivot) if p]
+    if not mine or not others:
+        return None
+    rows = folded(sketches, min(map(len, sketches)))
+    apart = sum(np.bitwise_count(rows[mine] ^ rows[o]).sum(axis=1, dtype=np.int64) for o in others)
+    score, at = min((int(d), ids[i]) for d, i in zip(apart, mine, strict=True))
+    return at, score
+
+
+def _found(links: list[tuple[int, int]], central: tuple[int, int] | None) -> pa.RecordBatch:
+    rows = [(p, q, None) for p, q in links] + ([(central[0], central[0], central[1])] if central else [])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "score"])
 
 
 def near_edges(gathered: DataFrame, sets: DataFrame, t: Fraction, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -287,13 +311,12 @@ def near_edges(gathered: DataFrame, sets: DataFrame, t: Fraction, block_sets: in
             x = group["x"][0]
             side = None if x == group["y"][0] else [o == x for o in group["own"]]
             links = connecting(group["node"], group["n_shingles"], group["sketch"], t, side)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
+            yield _found(links, most_central(group["node"], group["sketch"], side) if x < 0 else None)
 
     def compare(tasks: DataFrame) -> DataFrame:
         parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         whole = tasks.join(known.withColumnRenamed("set_id", "node"), "node").select("hub", "x", "y", "own", "node", "n_shingles", "sketch")
-        return whole.repartition(parts, "hub", "x", "y").sortWithinPartitions("hub", "x", "y", "own", "node").mapInArrow(run, "a long, b long")
+        return whole.repartition(parts, "hub", "x", "y").sortWithinPartitions("hub", "x", "y", "own", "node").mapInArrow(run, FOUND)
 
     rows = gathered.select(F.col("set_id").alias("node"), "hub", F.lit(0).alias("weight"))
     return links_in_groups(rows, "hub", "weight", 1, block_sets, compare)
@@ -391,14 +414,15 @@ def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fracti
         rows = [r for k, r in enumerate(rows) if not k or rows[k - 1][:2] != r[:2]]
         side = None if x == y else [r[1] == x for r in rows]
         sets = [r[2] for r in rows]
-        links = connecting([r[0] for r in rows], [len(s) for s in sets], [whole_sketch(s) for s in sets], t, side, sets)
-        return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
+        ids, sketches = [r[0] for r in rows], [whole_sketch(s) for s in sets]
+        links = connecting(ids, [len(s) for s in sets], sketches, t, side, sets)
+        return pa.Table.from_batches([_found(links, most_central(ids, sketches, side) if x < 0 else None)])
 
     picked = texts if wanted is None else texts.mapInArrow(pick, texts.schema)
 
     def compare(tasks: DataFrame) -> DataFrame:
         rows = picked.join(tasks, "doc_id").select("node", "cluster", "own", "x", "y", "set_id", "set_check", "text")
-        return rows.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
+        return rows.groupBy("cluster", "x", "y").applyInArrow(run, FOUND)
 
     return links_in_groups(members.select("node", "cluster", "n_shingles", "doc_id", "set_id", "set_check"), "cluster", "n_shingles", block_shingles, block_sets, compare)
 

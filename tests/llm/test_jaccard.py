@@ -82,6 +82,28 @@ def test_blocks_lose_no_link(spark, far):
     assert all(want[i][1] == want[j][1] for i, g in groups.items() for j in g)
 
 
+def test_copies_that_only_the_original_links(spark, monkeypatch):
+    """Rows that tasks read grow with a group of near copies, not with its square."""
+    rng, base = random.Random(4), [f"w{i}" for i in range(100)]
+    dealt = {}
+    for n in (400, 800):
+        rows = [(0, " ".join(base))] + [(i, edited(rng, base, 1 + (i % 5 == 0))) for i in range(1, n)]
+        texts = J._texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+        sets = J.materialize(J.set_table(texts, 5).dropDuplicates(["set_id"]), "sets")
+        read = []
+        whole = J.links_in_groups
+
+        def counted(*a, compare, read=read, whole=whole):
+            return whole(*a, compare=lambda tasks: read.append(tasks.count()) or compare(tasks))
+
+        monkeypatch.setattr(J, "links_in_groups", lambda *a, c=counted: c(*a[:-1], compare=a[-1]))
+        near = J.near_edges(sets.select("set_id", F.lit(0).cast("long").alias("hub")), sets, Fraction(4, 5), block_sets=40)
+        monkeypatch.undo()
+        assert len({r.component for r in components(near).collect()}) == 1 and components(near).count() == sets.count()
+        dealt[n] = sum(read)
+    assert dealt[800] < 2.6 * dealt[400]
+
+
 def test_sets_whose_short_identity_agrees(spark, monkeypatch):
     monkeypatch.setattr(J, "set_id", lambda s: (len(s) // 40, hash(s.tobytes()) >> 1) if len(s) else (0, 0))
     rows = corpus(3)
