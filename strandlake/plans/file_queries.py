@@ -465,6 +465,14 @@ def _(p):
     return W.peak_normalized(rows, "seq_id", "centered").select("seq_id", "position", "track", r6("centered").alias("v"))
 
 
+@query("g05b_gene_logos", """with s as (select variant_id as seq_id, track // 2 as g, bin as position, track, alt - avg(alt) over (partition by variant_id, track // 2, bin) as v from pair)
+select seq_id, concat('G', cast(cast(g as bigint) as string)) as gene_id, position, track, round(case when max(abs(v)) over (partition by seq_id, g) > 0 then v / max(abs(v)) over (partition by seq_id, g) else v end, 6) + 0.0 as v from s""", "pair")
+def _(p):
+    gene = F.concat(F.lit("G"), K.floor_div("track", 2).cast("string"))
+    rows = W.gene_logo(p.select(F.col("variant_id").alias("seq_id"), gene.alias("gene_id"), F.col("bin").alias("position"), "track", F.col("alt").alias("score")))
+    return rows.select("seq_id", "gene_id", "position", "track", r6("centered").alias("v"))
+
+
 @query("g06_pivot", "select variant_id, bin, round(max(case when track = 0 then alt end), 6) as a, round(max(case when track = 1 then alt end), 6) as c from pair group by 1, 2", "pair")
 def _(p):
     return p.groupBy("variant_id", "bin").pivot("track", [0, 1]).agg(F.max("alt")).select("variant_id", "bin", F.round("0", 6).alias("a"), F.round("1", 6).alias("c"))
