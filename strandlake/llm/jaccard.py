@@ -269,7 +269,7 @@ def links_in_groups(rows: DataFrame, group: str, weight: str, most_weight: int,
         counted = labelled.groupBy(group, "label").count()
         mains = counted.groupBy(group).agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("loose_rows")).filter("loose_rows > 0")
         state = materialize(labelled.join(materialize(mains, "mains"), group).withColumn("loose", F.col("label") != F.col("main")).drop("label", "main", "component"), "loose")
-        if turn or state.filter(F.col("loose_rows") > PIVOTS).isEmpty():
+        if turn or state.filter(F.col("loose_rows") > most_rows).isEmpty():
             break
         central = state.join(found.filter("score is not null").groupBy(F.col("a").alias("node")).agg(F.min("score").alias("score")), "node")
         rank = F.row_number().over(Window.partitionBy(group).orderBy("score", "node"))
