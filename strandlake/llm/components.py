@@ -24,9 +24,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each node has one parent and no parent has a parent."""
-    if not edges.groupBy("a").count().filter("count > 1").isEmpty():
-        return False
-    return edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+    one = F.lit(1)
+    ends = edges.select(F.col("a").alias("n"), one.alias("up"), (one - one).alias("down")).unionByName(edges.select(F.col("b").alias("n"), (one - one).alias("up"), one.alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

@@ -52,8 +52,8 @@ BLOCK_SHINGLES = 1_000_000
 BLOCK_SETS = 2000
 #: Sets of a large group that all others are compared with at first, about.
 PIVOTS = 16
-#: What a task gives: links (a, b), and with a score, a = b, the set of its block that is closest to the pivots.
-FOUND = "a long, b long, score long"
+#: What a task gives: links (a, b); from pivots also, without b, the loose sets of its block, and with a score the set closest to the pivots.
+FOUND = "grp long, a long, b long, score long"
 #: Bits of the widest whole sketch.
 WIDEST = 1 << 13
 #: Bits of the widest maps that spare rows a shuffle; where more values are to be marked, a join does without.
@@ -241,49 +241,95 @@ def _place(*columns: str, blocks: str) -> Column:
 def links_in_groups(rows: DataFrame, group: str, weight: str, most_weight: int, most_rows: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) that connect, over all groups, whatever rows of one group should be connected.
 
-    rows: node, ``group``, ``weight`` and what ``compare`` reads; a written table. ``compare`` gets them with own, x and y: a
-    task (group, x, y) with x = y compares all its rows, others compare rows of different ``own`` only; it returns ``FOUND``. A
+    rows: node, ``group``, ``weight`` and what ``compare`` reads; a written table. ``compare`` gets them with own, x, y, tied and held (whether the group has tied rows):
+    a task (group, x, y) with x = y compares all its rows, others compare rows of different ``own`` only; it returns ``FOUND``. A
     group that fits one block is one task. Of a larger one each block meets the pivots, drawn by hash, then the sets that
-    came out closest to them; the rows outside the group's main component by then are loose and meet all blocks. So rows
-    grow with the number of loose rows, not with the square of the group.
+    came out closest to them; what is not linked to the main ones of these is loose and meets all blocks. So rows grow with
+    the number of loose rows, not with the square of the group.
     """
     need = F.greatest(F.ceil(F.sum(weight) / most_weight), F.ceil(F.count("*") / most_rows)).cast("int")
     # Written first, so that the joins below have one plain row per group and can deal a large group to several tasks.
     sizes = materialize(rows.groupBy(group).agg(need.alias("blocks"), F.count("*").alias("n")).filter("n > 1"), "blocks")
-    small = rows.join(sizes.filter("blocks = 1").select(group), group).withColumns({"own": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
-    edges = materialize(compare(small), "links").select("a", "b")
-    if sizes.filter("blocks > 1").isEmpty():
-        return edges
-    big = rows.join(sizes.filter("blocks > 1"), group)
-    state = materialize(big.select("node", group, weight, "blocks", F.col("n").alias("loose_rows"), F.lit(True).alias("loose")), "loose")
-    known = rows.drop(group, weight).dropDuplicates(["node"])
-    drawn = state.filter(F.pmod(F.xxhash64("node"), F.col("loose_rows")) < PIVOTS)
-    for turn in range(2):
-        own = _place("node", blocks="blocks")
-        members = state.withColumns({"own": own, "x": F.lit(-1), "y": own})
-        pivots = drawn.withColumns({"own": F.lit(-1), "x": F.lit(-1), "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-        tasks = members.unionByName(pivots).drop("blocks", "loose_rows", "loose").join(known, "node")
-        found = materialize(compare(tasks), "links")
-        edges = edges.unionByName(found.filter("score is null").select("a", "b"))
-        labelled = state.drop("loose", "loose_rows").join(components(edges), "node", "left").withColumn("label", F.coalesce("component", "node"))
-        counted = labelled.groupBy(group, "label").count()
-        mains = counted.groupBy(group).agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("loose_rows")).filter("loose_rows > 0")
-        state = materialize(labelled.join(materialize(mains, "mains"), group).withColumn("loose", F.col("label") != F.col("main")).drop("label", "main", "component"), "loose")
-        if turn or state.filter(F.col("loose_rows") > most_rows).isEmpty():
-            break
-        central = state.join(found.filter("score is not null").groupBy(F.col("a").alias("node")).agg(F.min("score").alias("score")), "node")
-        rank = F.row_number().over(Window.partitionBy(group).orderBy("score", "node"))
-        drawn = materialize(central.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).drop("rank", "score"), "pivots")
-    both = [F.greatest(F.ceil(F.sum(F.when(c, F.col(weight))) / most_weight), F.ceil(F.count_if(c) / most_rows)).cast("int") for c in (F.col("loose"), ~F.col("loose"))]
-    blocks = materialize(state.groupBy(group).agg(both[0].alias("free"), both[1].alias("tied")), "blocks")
-    dealt = (
-        state.drop("blocks", "loose_rows").join(blocks, group)
-        .withColumn("own", F.when(F.col("loose"), _place("node", blocks="free")).otherwise(F.col("free") + _place("node", blocks="tied")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("loose"), F.col("free") + F.col("tied")).otherwise(F.col("free")) - 1)))
+    small = rows.join(sizes.filter("blocks = 1").select(group), group).withColumns({"own": F.lit(0), "x": F.lit(0), "y": F.lit(0), "tied": F.lit(False), "held": F.lit(False)})
+    found = [materialize(compare(small), "links")]
+    if not sizes.filter("blocks > 1").isEmpty():
+        big = rows.join(sizes.filter("blocks > 1"), group)
+        state = materialize(big.select("node", group, weight, "blocks", "n", F.lit(False).alias("tied"), F.lit(False).alias("held")), "state")
+        known = rows.drop(group, weight).dropDuplicates(["node"])
+        drawn = state.filter(F.pmod(F.xxhash64("node"), F.col("n")) < PIVOTS)
+        for turn in range(2):
+            own = _place("node", blocks="blocks")
+            members = state.withColumns({"own": own, "x": F.lit(-1), "y": own})
+            pivots = drawn.withColumns({"own": F.lit(-1), "x": F.lit(-1), "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+            found.append(materialize(compare(members.unionByName(pivots).drop("blocks", "n").join(known, "node")), "links"))
+            loose = found[-1].filter("b is null and score is null").select(F.col("grp").alias(group), F.col("a").alias("node")).distinct().withColumn("loose", F.lit(True))
+            now = state.drop("tied").join(loose, [group, "node"], "left").withColumn("tied", F.col("loose").isNull()).drop("loose")
+            left = materialize(now.groupBy(group).agg(F.count_if(~F.col("tied")).alias("loose_rows")).filter("loose_rows > 0"), "left")
+            # Pivots that less than half of a group are linked to say nothing of the rest.
+            held = F.col("loose_rows") * 2 < F.col("n") if not turn else F.lit(True)
+            state = materialize(now.join(left, group).withColumn("held", held).withColumn("tied", F.col("tied") & F.col("held")), "state").drop("loose_rows")
+            if turn or left.filter(F.col("loose_rows") > most_rows).isEmpty():
+                break
+            central = found[-1].filter("score is not null").select(F.col("grp").alias(group), F.col("a").alias("node"), "score").distinct()
+            rank = F.row_number().over(Window.partitionBy(group).orderBy("score", "node"))
+            drawn = state.join(central, [group, "node"]).withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).drop("rank", "score")
+        found.append(materialize(compare(_loose_tasks(state, group, weight, most_weight, most_rows).join(known, "node")), "links"))
+    edges = found[0]
+    for part in found[1:]:
+        edges = edges.unionByName(part)
+    return edges.filter("b is not null").select("a", "b")
+
+
+def _loose_tasks(state: DataFrame, group: str, weight: str, most_weight: int, most_rows: int) -> DataFrame:
+    """The rows of ``state`` for the tasks that compare loose rows with each other and with tied ones."""
+    loose = ~F.col("tied")
+    both = [F.greatest(F.ceil(F.sum(F.when(c, F.col(weight))) / most_weight), F.ceil(F.count_if(c) / most_rows)).cast("int") for c in (loose, ~loose)]
+    blocks = materialize(state.groupBy(group).agg(both[0].alias("free"), F.coalesce(both[1], F.lit(0)).alias("fast")), "blocks")
+    return (
+        state.drop("blocks", "n").join(blocks, group)
+        .withColumn("own", F.when(loose, _place("node", blocks="free")).otherwise(F.col("free") + _place("node", blocks="fast")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(loose, F.col("free") + F.col("fast")).otherwise(F.col("free")) - 1)))
         .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        .drop("other", "free", "tied", "loose")
+        .drop("other", "free", "fast")
     )
-    return edges.unionByName(materialize(compare(dealt.join(known, "node")), "links").select("a", "b"))
+
+
+def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        parent[root(x)] = root(y)
+    return [root(x) for x in range(n)]
+
+
+def loose_rows(ids: list[int], pivot: list[bool], tied: list[bool], held: bool, links: list[tuple[int, int]], among: list[tuple[int, int]]) -> list[int]:
+    """The ids of rows that are no pivots and not linked to the main pivots, by ``links`` and those ``among`` pivots.
+
+    In a group that is ``held`` the rows tied before are linked to each other elsewhere, and main, wherever they are; in others
+    the largest component of the pivots is, which is the same in every task of a group as all have the same pivots.
+    """
+    place: dict[int, list[int]] = {}
+    for i, x in enumerate(ids):
+        place.setdefault(x, []).append(i)
+    same = [(v[0], i) for v in place.values() for i in v[1:]]
+    before = [i for i, t in enumerate(tied) if t]
+    pairs = [(place[a][0], place[b][0]) for a, b in among]
+    mains = before[:1]
+    if not held:
+        alone = _roots(len(ids), iter(pairs))
+        size: dict[int, list[int]] = {}
+        for i, p in enumerate(pivot):
+            if p:
+                size.setdefault(alone[i], []).append(ids[i])
+        mains = [place[min(max(size.values(), key=lambda v: (len(v), -min(v))))][0]] if size else []
+    root = _roots(len(ids), iter([*same, *pairs, *((place[a][0], place[b][0]) for a, b in links), *((before[0], i) for i in before[1:])]))
+    return [x for i, x in enumerate(ids) if not pivot[i] and (not mains or root[i] != root[mains[0]])]
 
 
 def most_central(ids: list[int], sketches: list[bytes], pivot: list[bool]) -> tuple[int, int] | None:
@@ -297,9 +343,21 @@ def most_central(ids: list[int], sketches: list[bytes], pivot: list[bool]) -> tu
     return at, score
 
 
-def _found(links: list[tuple[int, int]], central: tuple[int, int] | None) -> pa.RecordBatch:
-    rows = [(p, q, None) for p, q in links] + ([(central[0], central[0], central[1])] if central else [])
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "score"])
+def compared(group: int, x: int, y: int, own: list[int], tied: list[bool], held: bool, ids: list[int], n: list[int], sketches: list[bytes], t: Fraction, sets: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """What one task finds, as rows of ``FOUND``."""
+    side = None if x == y else [o == x for o in own]
+    links = connecting(ids, n, sketches, t, side, sets)
+    rows = [(group, a, b, None) for a, b in links]
+    if x < 0:
+        at = [i for i, p in enumerate(side) if p]
+        pick = lambda values: [values[i] for i in at]
+        among = connecting(pick(ids), pick(n), pick(sketches), t, None, pick(sets) if sets is not None else None)
+        rows += [(group, a, b, None) for a, b in among]
+        rows += [(group, a, None, None) for a in loose_rows(ids, side, tied, held, links, among)]
+        central = most_central(ids, sketches, side)
+        if central is not None:
+            rows.append((group, central[0], None, central[1]))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["grp", "a", "b", "score"])
 
 
 def near_edges(gathered: DataFrame, sets: DataFrame, t: Fraction, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -308,14 +366,12 @@ def near_edges(gathered: DataFrame, sets: DataFrame, t: Fraction, block_sets: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("hub", "x", "y")):
-            x = group["x"][0]
-            side = None if x == group["y"][0] else [o == x for o in group["own"]]
-            links = connecting(group["node"], group["n_shingles"], group["sketch"], t, side)
-            yield _found(links, most_central(group["node"], group["sketch"], side) if x < 0 else None)
+            first = (group[c][0] for c in ("hub", "x", "y"))
+            yield compared(*first, group["own"], group["tied"], group["held"][0], group["node"], group["n_shingles"], group["sketch"], t)
 
     def compare(tasks: DataFrame) -> DataFrame:
         parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        whole = tasks.join(known.withColumnRenamed("set_id", "node"), "node").select("hub", "x", "y", "own", "node", "n_shingles", "sketch")
+        whole = tasks.join(known.withColumnRenamed("set_id", "node"), "node").select("hub", "x", "y", "own", "tied", "held", "node", "n_shingles", "sketch")
         return whole.repartition(parts, "hub", "x", "y").sortWithinPartitions("hub", "x", "y", "own", "node").mapInArrow(run, FOUND)
 
     rows = gathered.select(F.col("set_id").alias("node"), "hub", F.lit(0).alias("weight"))
@@ -406,22 +462,20 @@ def links_in_clusters(texts: DataFrame, members: DataFrame, size: int, t: Fracti
             yield batch.filter(pa.array(in_bit_map(wanted, ids)))
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
-        x, y = group[1].as_py(), group[2].as_py()
         table = table.sort_by([("own", "ascending"), ("node", "ascending")])
         sets = (shingle_set(v, size, key) for chunk in table.column("text").chunks for v in utf8_rows(chunk))
-        found = zip(*(table.column(c).to_pylist() for c in ("node", "own", "set_id", "set_check")), sets, strict=True)
-        rows = [(node, own, s) for node, own, *identity, s in found if set_id(s) == tuple(identity)]  # ids may repeat with other texts
+        found = zip(*(table.column(c).to_pylist() for c in ("own", "node", "tied", "set_id", "set_check")), sets, strict=True)
+        rows = [(own, node, tied, s) for own, node, tied, *identity, s in found if set_id(s) == tuple(identity)]  # ids may repeat with other texts
         rows = [r for k, r in enumerate(rows) if not k or rows[k - 1][:2] != r[:2]]
-        side = None if x == y else [r[1] == x for r in rows]
-        sets = [r[2] for r in rows]
-        ids, sketches = [r[0] for r in rows], [whole_sketch(s) for s in sets]
-        links = connecting(ids, [len(s) for s in sets], sketches, t, side, sets)
-        return pa.Table.from_batches([_found(links, most_central(ids, sketches, side) if x < 0 else None)])
+        own, ids, tied, sets = ([r[k] for r in rows] for k in range(4))
+        held = table.column("held")[0].as_py()
+        made = compared(*(g.as_py() for g in group), own, tied, held, ids, [len(s) for s in sets], [whole_sketch(s) for s in sets], t, sets)
+        return pa.Table.from_batches([made])
 
     picked = texts if wanted is None else texts.mapInArrow(pick, texts.schema)
 
     def compare(tasks: DataFrame) -> DataFrame:
-        rows = picked.join(tasks, "doc_id").select("node", "cluster", "own", "x", "y", "set_id", "set_check", "text")
+        rows = picked.join(tasks, "doc_id").select("node", "cluster", "own", "x", "y", "tied", "held", "set_id", "set_check", "text")
         return rows.groupBy("cluster", "x", "y").applyInArrow(run, FOUND)
 
     return links_in_groups(members.select("node", "cluster", "n_shingles", "doc_id", "set_id", "set_check"), "cluster", "n_shingles", block_shingles, block_sets, compare)

@@ -10,6 +10,7 @@ def odd_docs(spark):
     rows = [
         (1, "the quick brown fox jumps over the lazy dog and runs away", "en", "s", 5), (1, "the quick brown fox jumps over the lazy dog and runs away", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0),
         (4, long, "en", "s", 1), (5, "the quick brown fox jumps over the lazy dog and runs away", "en", "s", 5), (None, "no id here at all", "en", None, 3), (6, "  \n\t ", None, "s", 1), (7, "día 日本語 😀 <|im_end|>\x00", "es", "s", 9), (8, "12 34 !!", "en", "s", 2),
+        (9, "langeswort" * 5000, None, "s", 50000),
     ]
     return spark.createDataFrame([(*r, 0.5, "x", "y") for r in rows], DOCS + ", score double, lang_pred string, _text string")
 

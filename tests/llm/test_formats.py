@@ -135,7 +135,7 @@ def test_gif_query(odd_docs, no_docs):
         raw = (r.text or "").encode()
         full = raw + b" " * (-len(raw) % 192 if raw else 192)
         want[r.doc_id] = (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
-    assert len(got) == 10 and all(r[1:5] == want[r[0]] for r in got)
+    assert len(got) == 11 and all(r[1:5] == want[r[0]] for r in got)
     stored = {r.doc_id: bytes(r.media) for r in media.collect()}
     assert all(r[5] == len(stored[r[0]]) and r[6] == hashlib.sha256(stored[r[0]]).hexdigest() for r in got)
     frames = gif.frame_table(media.filter("doc_id = 4")).orderBy("frame").collect()

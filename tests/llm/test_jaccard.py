@@ -82,6 +82,15 @@ def test_blocks_lose_no_link(spark, far):
     assert all(want[i][1] == want[j][1] for i, g in groups.items() for j in g)
 
 
+def test_loose_rows():
+    ids, pivot = [1, 2, 3, 4, 5, 6], [True, True, True, False, False, False]
+    none = [False] * 6
+    assert J.loose_rows(ids, pivot, none, False, [(4, 2), (5, 3)], [(1, 2)]) == [5, 6]
+    assert J.loose_rows(ids, pivot, none, False, [(4, 2), (5, 3), (3, 4)], [(1, 2)]) == [6]
+    assert J.loose_rows(ids, pivot, [False, False, True, False, False, True], True, [(4, 2), (5, 3)], [(1, 2)]) == [4]
+    assert J.loose_rows(ids, pivot, none, True, [(4, 2), (5, 3)], [(1, 2)]) == [4, 5, 6]
+
+
 def test_copies_that_only_the_original_links(spark, monkeypatch):
     """Rows that tasks read grow with a group of near copies, not with its square."""
     rng, base = random.Random(4), [f"w{i}" for i in range(100)]
@@ -148,10 +157,25 @@ def test_odd_rows(odd_docs, no_docs):
     assert [(k[1], n, c) for k, n, c in got if not k[0]][:4] == [(1, 8, 1), (1, 8, 1), (2, 0, 2), (3, 0, 3)]
     assert [c for k, n, c in got if k == (False, 5)] == [1] and [c for k, n, c in got if k[0]] == [None]
     kept = J.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 3, 4, 6, 7, 8]
+    assert kept.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 3, 4, 6, 7, 8, 9]
     assert J.linked_components(no_docs).count() == 0 and J.keep_one(no_docs).count() == 0
 
 
+def test_maps_are_bounded(spark):
+    shared = spark.range(300_000).select(F.col("id").alias("key"), F.when(F.col("id") < 1000, 1000).otherwise(100).alias("n"))
+    assert J.bit_map(shared, "key", 1 << 20) is None and J.in_bit_map(J.bit_map(shared, "key"), np.arange(5, dtype=np.uint64)).all()
+    popular = J.popular_keys(shared, 1 << 20)
+    assert J.in_bit_map(popular, np.arange(1000, dtype=np.uint64)).all() and not J.in_bit_map(popular, np.arange(1000, 2000, dtype=np.uint64)).any()
+
+
+def test_joins_do_where_maps_are_too_wide(spark, monkeypatch):
+    monkeypatch.setattr(J, "bit_map", lambda *a: None)
+    monkeypatch.setattr(J, "popular_keys", lambda shared: np.zeros(1 << 10, dtype=np.uint8))
+    rows = corpus(5)
+    got = J.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, Fraction(4, 5)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 5, Fraction(4, 5))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.component for r in components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
