@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, keep_rows, slices, small_batches
+from .common import crc_bucket, give_back, keep_rows, slices, small_batches
 from .ftrl import Ftrl, softmax, temperature
 
 #: Hashed n-gram features, and the lengths of the n-grams.
@@ -139,7 +139,10 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
     held = np.arange(len(labels)) % 5 == 4
     weights, bias = fit([v for v, h in zip(vectors, held, strict=True) if not h], labels[~held], len(languages))
     logits = np.array([v @ weights[i] + bias for (i, v), h in zip(vectors, held, strict=True) if h]).reshape(-1, len(languages))
-    return Model(languages, idf, weights.astype(np.float32), bias, temperature(logits, labels[held]))
+    model = Model(languages, idf, weights.astype(np.float32), bias, temperature(logits, labels[held]))
+    del got, vectors, index, value
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, *columns: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, keep_rows, slices, small_batches
+from .common import crc_bucket, give_back, keep_rows, slices, small_batches
 from .ftrl import Ftrl
 from .words import word_values
 
@@ -107,7 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     if not got.num_rows:
         return np.zeros(1 << FEATURE_BITS, dtype=np.float32), -1e-9
     own, gone, come = ([x.values.to_numpy().astype(np.int64) for x in got.column(c)] for c in ("own", "gone", "come"))
-    return fit(own, list(zip(gone, come, strict=True)), got.column("toxic").to_numpy().astype(np.float64), strength)
+    model = fit(own, list(zip(gone, come, strict=True)), got.column("toxic").to_numpy().astype(np.float64), strength)
+    del got, own, gone, come
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *columns: str) -> DataFrame:
