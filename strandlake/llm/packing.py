@@ -26,7 +26,7 @@ from .common import materialize, slices, small_batches
 
 WINDOW = 2048
 #: Pieces of one length that are ranked together, about; a length with more has more groups, so that none is one task.
-RANK_ROWS = 1 << 17
+RANK_ROWS = 1 << 10
 
 
 class CapacityTree:
