@@ -79,17 +79,21 @@ def merge_intervals(df: DataFrame, by: list[str], start: str, end: str, block: i
     """Unions of overlapping or touching ranges of each group: by, start, end, n.
 
     Rows are sorted within blocks of bases only. From one row per block follow the farthest end before a block, which
-    says whether its first rows begin a new island, and the number of islands before it.
+    says whether its first rows begin a new island, and the number of islands before it. Equal rows keep the number that
+    they got where islands begin: sorted anew, as after a spill, they may come in another order.
     """
     rows = df.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), floor_div(start, block).alias("_b"))
     own, chain = [*by, "_b"], Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     reach = rows.groupBy(*own).agg(F.max("_e").alias("_far")).withColumn("_carry", F.max("_far").over(chain)).drop("_far")
     order = Window.partitionBy(*own).orderBy("_s", "_e")
-    before = F.greatest("_carry", F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)))  # null if both are
-    marked = same_keys(rows, reach, own).withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull() | (F.col("_s") > F.col("_before")), 1).otherwise(0))
-    islands = marked.groupBy(*own).agg(F.sum("_new").alias("_k")).withColumn("_base", F.coalesce(F.sum("_k").over(chain), F.lit(0))).drop("_k")
-    numbered = same_keys(marked, islands, own).withColumn("_island", F.col("_base") + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "_island").agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.count("*").alias("n")).drop("_island")
+    sorted_ = same_keys(rows, reach, own).withColumns({"_i": F.row_number().over(order), "_top": F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    before = F.greatest("_carry", "_top")  # null if both are
+    marked = sorted_.withColumn("_new", F.when(before.isNull() | (F.col("_s") > before), 1).otherwise(0))
+    local = marked.withColumn("_k", F.sum("_new").over(Window.partitionBy(*own).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
+    parts = local.groupBy(*own, "_k").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count("*").alias("_n"))
+    islands = parts.groupBy(*own).agg(F.max("_k").alias("_all")).withColumn("_base", F.coalesce(F.sum("_all").over(chain), F.lit(0))).drop("_all")
+    numbered = same_keys(parts, islands, own).withColumn("_island", F.col("_base") + F.col("_k"))
+    return numbered.groupBy(*by, "_island").agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.sum("_n").alias("n")).drop("_island")
 
 
 def same_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

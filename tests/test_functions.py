@@ -151,6 +151,29 @@ def test_merge_across_blocks(spark, block):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_merge_of_equal_rows_that_spill(spark):
+    import random
+
+    rng, rows, want = random.Random(1), [], []
+    for _ in range(1500):
+        s = rng.randrange(60000)
+        rows += [("c", s, s + rng.choice([1, 3, 5, 5000 if rng.random() < 0.01 else 3]))] * rng.randrange(1, 9)
+    for chrom, start, end in sorted(rows):
+        if want and start <= want[-1][2]:
+            want[-1] = (chrom, want[-1][1], max(end, want[-1][2]), want[-1][3] + 1)
+        else:
+            want.append((chrom, start, end, 1))
+    conf, spill, join = spark.sparkContext._jsc.sc().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold", "spark.sql.autoBroadcastJoinThreshold"
+    conf.set(spill, "100")  # sorts spill after so many rows
+    spark.conf.set(join, "-1")
+    try:
+        got = I.merge_intervals(spark.createDataFrame(rows, "chrom string, s long, e long").repartition(5), ["chrom"], "s", "e", 4096).collect()
+    finally:
+        conf.remove(spill)
+        spark.conf.unset(join)
+    assert sorted(map(tuple, got)) == want
+
+
 def test_running_totals(spark):
     import random
 
