@@ -188,6 +188,17 @@ def motif_rate(sites: DataFrame, chunks: DataFrame, chunk: int, expected: Column
     return whole.groupBy("site_type").agg(F.avg((F.upper("motif") == expected).cast("double")).alias("rate"), F.count("*").alias("n"))
 
 
+def bases_at(sites: DataFrame, chunks: DataFrame, chunk: int, width: int) -> DataFrame:
+    """(chrom, pos, bases): the ``width`` bases from each site on, for sites that come in lists.
+
+    sites: chrom, chunk and ``offsets``, the sites of a chunk from its start; chunks: chrom, chunk, seq, which goes on for
+    ``width`` - 1 bases of the next chunk. So the join moves one row per chunk of either side, not one per site. A
+    substring is found by walking, so chunks are some hundred bases long.
+    """
+    found = sites.join(chunks, ["chrom", "chunk"]).select("chrom", "chunk", "seq", F.explode("offsets").alias("_o"))
+    return found.select("chrom", (F.col("chunk") * chunk + F.col("_o")).alias("pos"), F.upper(F.col("seq").substr(F.col("_o") + 1, F.lit(width))).alias("bases"))
+
+
 def fetch(requests: DataFrame, chunks: DataFrame, chunk: int, fill: str | None = None) -> DataFrame:
     """Sequences of ranges (rid, chrom, start, end) from a chunked genome, upper-cased; a range may go over many chunks.
 

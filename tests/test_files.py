@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from strandlake.operators import scorers as S
 from strandlake.operators.annotation import splice_sites_from_exons
 from strandlake.operators.windows import fetch
-from strandlake.plans import scoring
+from strandlake.plans import file_queries, scoring  # noqa: F401
+from strandlake.plans import queries as engine
 from strandlake.sources import readers as R
 from strandlake.sources import writers as Wr
 from strandlake.streaming import arrivals
@@ -259,3 +260,17 @@ def test_tables_of_scores(spark):
     obs, var, x = Wr.scores_tables(tidy)
     joined = x.join(obs, "obs").join(var, "var").select("variant_id", "track_name", F.col("value"))
     assert [tuple(r) for r in joined.collect()] == [("v", "t", 1.5)]
+
+
+def test_sites_with_motif_move_chunks_only(spark, tmp_path):
+    """Each fifth position of texts around the borders of chunks; sites go through the join in lists and no row per site is grouped."""
+    import random
+
+    rng = random.Random(5)
+    texts = {n: "".join(rng.choice("GTAC\n") for _ in range(n)) for n in (0, 1, 2, 6, 255, 256, 257, 258, 512, 513, 514, 1300)}
+    spark.createDataFrame([*texts.items(), (7, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = engine.queries()["j19_sites_with_motif"](spark, str(tmp_path))
+    letters = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGT" * 6 + "AC")
+    want = sorted((n, p, t.translate(letters)[p : p + 2] == "GT") for n, t in texts.items() for p in range(0, n - 1, 5))
+    assert sorted(map(tuple, made.collect())) == want and any(m for *_, m in want)
+    assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
