@@ -106,6 +106,29 @@ def test_tiles_cover(spark, length, window, crop):
         assert [r[1:] for r in got] == [(0, 131072, 0, 131072)]
 
 
+def test_tiles_are_dealt_out(spark, monkeypatch):
+    """One row of chromosomes becomes tiles in many tasks, and none is lost or doubled between runs and tasks."""
+    monkeypatch.setattr(W, "TILE_RUN", 16, raising=False)
+    monkeypatch.setattr(W, "TILES_PER_TASK", 64, raising=False)
+    chroms = spark.createDataFrame([("c", 100_000), ("d", 1601), (None, 7), ("e", 0)], "chrom string, length long").coalesce(1)
+    got = W.tiles(chroms, 120, 10)
+    want = [(c, s) for c, n in (("c", 100_000), ("d", 1601), (None, 7)) for s in range(-10, n, 100) if s + 10 < n]
+    assert sorted(((r.chrom, r.window_start) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert len(set(got.select(F.spark_partition_id()).toPandas().iloc[:, 0])) > 4
+
+
+@pytest.mark.parametrize(("window", "crop", "resolution"), [(120, 10, 8), (128, 16, 16), (100, 0, 7), (64, 31, 2)])
+def test_stitch_tiles_is_stitch(spark, window, crop, resolution):
+    chroms = spark.createDataFrame([("c", 1000), ("d", 37), ("e", 1), ("f", 128)], "chrom string, length long")
+    n = -(-window // resolution)
+    tiles = W.tiles(chroms, window, crop, "length").withColumns({"track": F.lit(0), "values": F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("window_start") * 1000.0 + i)})
+    rows = tiles.select("chrom", "window_start", "track", F.posexplode("values").alias("i", "value"))
+    want = sorted(map(tuple, W.stitch(rows, chroms, crop, window, resolution).collect()))
+    made = W.stitch_tiles(tiles, crop, window, resolution)
+    got = made.select("chrom", "track", "bin", F.posexplode("values").alias("i", "value")).select("chrom", F.col("bin") + F.col("i"), "track", "value")
+    assert sorted(map(tuple, got.collect())) == want and all(r.n == len(r["values"]) for r in made.collect())
+
+
 def test_tiles_of_nothing(spark):
     assert W.tiles(spark.createDataFrame([("c", 0)], "chrom string, length long"), 1000, 10).count() == 0
 
