@@ -274,3 +274,15 @@ def test_sites_with_motif_move_chunks_only(spark, tmp_path):
     want = sorted((n, p, t.translate(letters)[p : p + 2] == "GT") for n, t in texts.items() for p in range(0, n - 1, 5))
     assert sorted(map(tuple, made.collect())) == want and any(m for *_, m in want)
     assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variants_are_dealt_out_to_the_model(spark, monkeypatch):
+    """The model's tasks follow from the number of variants: sequences are too few bytes to be dealt out by them."""
+    monkeypatch.setattr(scoring, "VARIANTS_PER_TASK", 4, raising=False)
+    predict, parts = scoring.predict, []
+    monkeypatch.setattr(scoring, "predict", lambda seqs, *rest: parts.append(seqs.rdd.getNumPartitions()) or predict(seqs, *rest))
+    genome = spark.createDataFrame([("c", k, "ACGT" * 16) for k in range(8)], "chrom string, chunk long, seq string")
+    variants = spark.createDataFrame([(f"v{k}", "c", 100 + 10 * k, "ACGT"[(99 + 10 * k) % 4], "T") for k in range(30)], "variant_id string, chrom string, position long, ref_bases string, alt_bases string")
+    got = scoring.score_all(variants, genome, scoring.base_content_model, [S.Preset("center_mask", "atac", 501, "diff_sum")], 64, 64).collect()
+    assert parts == [8] and len({r.variant_id for r in got}) == 30
+    assert all(r.score == (r.track == 3) - (r.track == "ACGT".index("ACGT"[(99 + 10 * int(r.variant_id[1:])) % 4])) for r in got)
