@@ -117,6 +117,18 @@ def test_tiles_are_dealt_out(spark, monkeypatch):
     assert len(set(got.select(F.spark_partition_id()).toPandas().iloc[:, 0])) > 4
 
 
+def test_tiles_of_many_chromosomes_take_turns(spark, monkeypatch, tmp_path):
+    """Written tiles take a small part of the bytes that they take chromosome by chromosome, and none is lost or doubled."""
+    monkeypatch.setattr(W, "TILES_PER_TASK", 1 << 17)
+    lengths = {k: 200_000 + 10 * k for k in range(256)} | {1000 + k: 1 + 90 * k for k in range(100)}
+    chroms = spark.createDataFrame([*lengths.items(), (7, 350)], "chrom long, length long")
+    W.tiles(chroms, 120, 10).write.parquet(out := str(tmp_path / "tiles"))
+    got = spark.read.parquet(out).select("chrom", "window_start").toPandas()
+    want = [(c, s) for c, n in [*lengths.items(), (7, 350)] for s in range(-10, n, 100) if s + 10 < n]
+    assert sorted(zip(*(got[c].tolist() for c in got), strict=True)) == sorted(want)
+    assert sum(p.stat().st_size for p in (tmp_path / "tiles").glob("*.parquet")) < len(want)
+
+
 @pytest.mark.parametrize(("window", "crop", "resolution"), [(120, 10, 8), (128, 16, 16), (100, 0, 7), (64, 31, 2)])
 def test_stitch_tiles_is_stitch(spark, window, crop, resolution):
     chroms = spark.createDataFrame([("c", 1000), ("d", 37), ("e", 1), ("f", 128)], "chrom string, length long")
