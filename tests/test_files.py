@@ -286,3 +286,28 @@ def test_variants_are_dealt_out_to_the_model(spark, monkeypatch):
     got = scoring.score_all(variants, genome, scoring.base_content_model, [S.Preset("center_mask", "atac", 501, "diff_sum")], 64, 64).collect()
     assert parts == [8] and len({r.variant_id for r in got}) == 30
     assert all(r.score == (r.track == 3) - (r.track == "ACGT".index("ACGT"[(99 + 10 * int(r.variant_id[1:])) % 4])) for r in got)
+
+
+def test_alleles_are_paired_where_they_are_predicted(spark, monkeypatch):
+    """score_all shuffles no predictions to pair them, and scores as from a row for each allele; a user's scorer gets those rows."""
+    scoring.register_scorer("rows", lambda task: task.pred.groupBy("variant_id", "track").agg((F.sum("value") * F.count("allele")).cast("double").alias("score")))
+    genome = spark.createDataFrame([("c", k, "ACGTTAGTCCAGAGTA" * 4) for k in range(8)], "chrom string, chunk long, seq string")
+    text = "ACGTTAGTCCAGAGTA" * 32
+    variants = spark.createDataFrame([(f"v{k}", "c", 100 + 9 * k, text[99 + 9 * k : 100 + 9 * k + 2 * (k % 3 == 2)], text[99 + 9 * k] + "GG" if k % 3 == 1 else "T" if k % 3 else "A") for k in range(24)], "variant_id string, chrom string, position long, ref_bases string, alt_bases string")
+    genes = spark.createDataFrame([("g.1", "c", "+", 0, 512, "protein_coding")], "gene_id string, chrom string, strand string, gstart long, gend long, gene_type string")
+    exons = spark.createDataFrame([("g.1", 80, 150), ("g.1", 200, 300)], "gene_id string, estart long, eend long")
+    presets = [S.Preset("center_mask", "atac", 501, "diff_sum"), S.Preset("gene_lfc", "rna_seq"), S.Preset("junction", "splice_junctions"), S.Preset("contact_map", "contact_maps"), S.Preset("rows", "atac", 501)]
+    notes, seqs = scoring.Annotation(genes, exons), scoring.sequences(variants, genome, 64, 64)
+    rows = scoring.predict(seqs, scoring.base_content_model, scoring.needs(presets), scoring.read_bins(seqs, presets))
+    value = lambda df: sorted((r.variant_id, r.scorer, r.gene_id or "", r.track, None if r.score is None else round(r.score, 9)) for r in df.collect())
+    want, calls, pair = value(scoring.score_variants(rows, scoring.placed(variants, 64), presets, notes)), [], S.pair_alleles
+    monkeypatch.setattr(S, "pair_alleles", lambda *args, **more: calls.append(args) or pair(*args, **more))
+    assert value(scoring.score_all(variants, genome, scoring.base_content_model, presets, 64, 64, notes)) == want and len({r[1] for r in want}) == 5
+    assert not calls
+
+
+def test_pair_places_of_rows_in_any_order():
+    ref, alt = [np.array([3, 1, 1, 2]), np.array([0, 0, 0, 1])], [np.array([1, 3, 5]), np.array([0, 0, 0])]
+    for fill, want in ((False, [(1, 0, 7, 4), (3, 0, 5, 9)]), (True, [(1, 0, 7, 4), (2, 1, 8, 0), (3, 0, 5, 9)])):
+        places, r, a = scoring.pair_places(ref, np.array([5, 6, 7, 8], dtype=np.float32), alt, np.array([4, 9, 1], dtype=np.float32), fill)
+        assert list(zip(*(x.tolist() for x in (*places, r, a)), strict=True)) == want
